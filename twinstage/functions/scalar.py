@@ -34,7 +34,7 @@ DB_PORTS = (3306, 5432, 1433)
 # ---------------------------------------------------------------------------
 
 _SUFFIXED_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[dDfF]\s*$"
-_INF = F.lit(float("inf"))
+
 
 
 def col_of(c) -> Column:
@@ -61,7 +61,7 @@ def to_numeric(c) -> Column:
 def finite_or_null(c) -> Column:
     """±inf and NaN → null. Spark orders NaN above +inf, so one comparison clears all three."""
     c = col_of(c)
-    return F.when(F.abs(c) < _INF, c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def bool_text_to_int(c) -> Column:
@@ -135,9 +135,10 @@ def has_xss(c) -> Column:
 
 
 def ua_flags(c, python_variant: str = "broad") -> dict[str, Column]:
-    low = F.lower(clean_text(c))
+    raw = clean_text(c)
+    low = F.lower(raw)
     return {
-        "ua_len": F.length(low),
+        "ua_len": F.length(raw),
         "ua_is_curl": low.contains("curl").cast("int"),
         "ua_is_wget": low.contains("wget").cast("int"),
         "ua_is_python": low.rlike(UA_PYTHON_PATTERNS[python_variant]).cast("int"),

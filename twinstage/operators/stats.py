@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from .small import bounded, join_small
 
-_ALL = Window.partitionBy()  # only ever applied to class-sized tables
+
+
+def _all() -> Window:
+    """Window over a whole class-sized table (never applied to row-sized data)."""
+    return Window.partitionBy()
 
 
 def class_counts(df: DataFrame, y: str) -> DataFrame:
@@ -22,7 +26,7 @@ def class_counts(df: DataFrame, y: str) -> DataFrame:
 def class_shares(df: DataFrame, y: str) -> DataFrame:
     """A2: ``value_counts(normalize=True)``; the total comes from the k-row table."""
     c = df.groupBy(y).agg(F.count(F.lit(1)).alias("count"))
-    return c.withColumn("share", F.col("count") / F.sum("count").over(_ALL))
+    return c.withColumn("share", F.col("count") / F.sum("count").over(_all()))
 
 
 def top_classes(df: DataFrame, y: str, k: int) -> DataFrame:
@@ -35,7 +39,7 @@ def balanced_weights(df: DataFrame, y: str) -> DataFrame:
     c = df.groupBy(y).agg(F.count(F.lit(1)).alias("count"))
     return c.withColumn(
         "weight",
-        F.sum("count").over(_ALL) / (F.count(F.lit(1)).over(_ALL) * F.col("count")),
+        F.sum("count").over(_all()) / (F.count(F.lit(1)).over(_all()) * F.col("count")),
     )
 
 
