@@ -30,7 +30,8 @@ def learner(kind: str, label_col: str, features_col: str = "features", weight_co
     if kind == "gbt":
         p = dict(maxIter=20, maxDepth=5, stepSize=0.1, subsamplingRate=0.9, featureSubsetStrategy="0.9")
         p.update(params)
-        return GBTClassifier(seed=seed, **out, **prob, **w, **p)
+        g = GBTClassifier(seed=seed, **out, **w, **p)
+        return g.setProbabilityCol(prob["probabilityCol"]).setRawPredictionCol(prob["rawPredictionCol"])
     if kind == "ovr_gbt":
         p = dict(maxIter=10, maxDepth=5, stepSize=0.1, subsamplingRate=0.9)
         p.update(params)
@@ -67,6 +68,13 @@ def replicate_by_weight(df: DataFrame, weight_col: str, id_col: str, seed: int =
         .where(F.col(copy_col) <= n)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that many jobs will re-read (a split reused by every fit)
+    to the shared checkpoint folder: lineage is cut, and a lost executor costs
+    a re-read, not a recomputation of features and split ranks."""
+    return df.checkpoint(eager=True)
+
+
 def stable_order(df: DataFrame, id_col: str, partitions: int | None = None) -> DataFrame:
     """Repeatable MLlib training: tree learners sample per partition, so fix the
     partitioning (hash of the id) and the order inside each partition."""

@@ -1 +1,167 @@
-"""Rows-only registered queries: trained models (placeholder, filled below)."""
+"""Rows-only registered queries: trained MLlib models on the SIEM stand-in.
+
+Learned models have no SQL twin; the driver checks rows and schema. Trees are
+kept small so the queries stay quick at the check scale; ``bench.py`` times the
+same code paths at sf0.1.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import cascade as C
+from ..operators import metrics as E
+from ..operators import models as D
+from ..operators import split as R
+from ..operators import stats as A
+from ..operators.features import BASE_COLS, PORT_COLS, TIME_COLS, UA_COLS, URL_COLS, feature_group_columns
+from ..operators.prep import build_preprocessor
+from ..sources import io
+from .catalog import r6, register, siem_features
+
+NUM_COLS = list(dict.fromkeys([*BASE_COLS, *PORT_COLS, *TIME_COLS, *URL_COLS, *UA_COLS]))
+CAT_COLS = ["protocol"]
+LABEL = "attack_group"
+BENIGN = "benign"
+
+STAGE1 = dict(maxIter=10, maxDepth=4)
+STAGE2 = dict(numTrees=20, maxDepth=6)
+
+
+def spec(**kw) -> C.CascadeSpec:
+    base = dict(num_cols=NUM_COLS, cat_cols=CAT_COLS, label_col=LABEL, benign=BENIGN, stage1="gbt",
+                stage2="rf", stage1_params=STAGE1, stage2_params=STAGE2, threshold=0.5)
+    base.update(kw)
+    return C.CascadeSpec(**base)
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """SIEM stand-in with features and the grouped label (L1); raw text dropped."""
+    from ..functions.labels import attack_group
+    f = siem_features(spark, d).withColumn(LABEL, attack_group("attack_type"))
+    return f.drop("timestamp", "src_ip", "dst_ip", "url", "user_agent", "attack_type")
+
+
+def holdout(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = D.materialize(R.holdout_split(labelled(spark, d), LABEL, "event_id", test_size=0.3, seed=42))
+    return s.filter(F.col("is_test") == 0), s.filter(F.col("is_test") == 1)
+
+
+@register("two_stage_predict")
+def two_stage_predict(spark: SparkSession, d: str) -> DataFrame:
+    """C1–C4 trained: stage 1 GBT (benign vs attack), stage 2 RF on routed rows only."""
+    train, test = holdout(spark, d)
+    model = C.fit_two_stage(D.stable_order(train, "event_id"), spec())
+    out = model.predict(test)
+    return out.select("event_id", F.col(LABEL).alias("y_true"), "y_pred", r6("p_attack").alias("p_attack"))
+
+
+@register("single_stage_predict")
+def single_stage_predict(spark: SparkSession, d: str) -> DataFrame:
+    """One multi-class random forest on the same split, class-weighted (A4/A5)."""
+    train, test = holdout(spark, d)
+    train = A.attach_weights(train, LABEL)
+    model = C.fit_single_stage(D.stable_order(train, "event_id"), spec(weight_col="weight"))
+    return model.predict(test).select("event_id", F.col(LABEL).alias("y_true"), "y_pred")
+
+
+@register("cv_scores")
+def cv_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Single vs two-stage on the SAME repeated stratified folds → scores table."""
+    folded = D.materialize(R.repeated_folds(labelled(spark, d), LABEL, "event_id", k=3, runs=1, seed=42))
+    return C.cv_compare(folded, spec(), "siem_events")
+
+
+@register("ablation_scores")
+def ablation_scores(spark: SparkSession, d: str) -> DataFrame:
+    """CV macro-F1 per feature-group mode."""
+    lab = labelled(spark, d)
+    folded = D.materialize(R.stratified_folds(lab, LABEL, "event_id", k=3, seed=42))
+    groups = {}
+    for mode in ("BASE", "BASE+TIME", "BASE+URL", "BASE+UA", "ALL"):
+        cols = feature_group_columns(lab.columns, mode)
+        groups[mode] = ([c for c in cols if c not in CAT_COLS], [c for c in cols if c in CAT_COLS])
+    return C.ablation(folded, spec(), groups, "siem_events")
+
+
+@register("learning_curve")
+def learning_curve(spark: SparkSession, d: str) -> DataFrame:
+    """Stage-1 boosted trees with a validation slice cut from TRAIN;
+    loss per iteration on that slice."""
+    from pyspark.ml import Pipeline
+    from ..functions.labels import binary_label
+    train, _ = holdout(spark, d)
+    t = train.withColumn("y", binary_label(LABEL, BENIGN).cast("double")) \
+        .withColumn("is_val", D.validation_flag("event_id", 0.15))
+    prep = build_preprocessor(NUM_COLS, CAT_COLS, features_col="features", tag="lc")
+    gbt = D.learner("gbt", "y", "features", seed=42, maxIter=15, maxDepth=4,
+                    validationIndicatorCol="is_val", validationTol=0.0)
+    pm = Pipeline(stages=[*prep.getStages(), gbt]).fit(D.stable_order(t, "event_id"))
+    val = pm.transform(t.filter(F.col("is_val")))
+    return D.learning_curve(pm.stages[-1], val).withColumn("loss", r6("loss"))
+
+
+@register("mlp_weighted")
+def mlp_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """D4 + D5: multi-class perceptron (no weightCol in MLlib) trained on rows
+    replicated by their balanced class weight; report per class."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IndexToString, StringIndexer
+    train, test = holdout(spark, d)
+    rep = D.replicate_by_weight(A.attach_weights(train, LABEL), "weight", "event_id")
+    idx = StringIndexer(inputCol=LABEL, outputCol="y", stringOrderType="alphabetAsc").fit(train)
+    prep = build_preprocessor(NUM_COLS, CAT_COLS, scale=True, features_col="features", tag="mp").fit(rep)
+    n_feat = len(prep.transform(rep.limit(1)).first()["features"])
+    mlp = D.learner("mlp", "y", "features", seed=42, layers=D.mlp_layers(n_feat, len(idx.labels), (32, 16)),
+                    maxIter=30)
+    fitted = Pipeline(stages=[idx, mlp]).fit(D.stable_order(prep.transform(rep), "event_id"))
+    pred = IndexToString(inputCol="prediction", outputCol="y_pred", labels=idx.labels) \
+        .transform(fitted.transform(prep.transform(test)))
+    return E.class_report(pred, LABEL, "y_pred")
+
+
+@register("model_compare")
+def model_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Several learners on one split; a failing one scores null and the loop goes on."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IndexToString, StringIndexer
+    train, test = holdout(spark, d)
+    idx = StringIndexer(inputCol=LABEL, outputCol="y", stringOrderType="alphabetAsc").fit(train)
+
+    def builder(kind, **p):
+        def build():
+            prep = build_preprocessor(NUM_COLS, CAT_COLS, scale=kind == "lr", features_col="features", tag="mc")
+            return Pipeline(stages=[idx, *prep.getStages(), D.learner(kind, "y", "features", **p)])
+        return build
+
+    def score(pred):
+        pred = IndexToString(inputCol="prediction", outputCol="y_pred", labels=idx.labels).transform(pred)
+        return E.macro_f1(pred, LABEL, "y_pred").first()["macro_f1"]
+
+    builders = {"rf": builder("rf", numTrees=20, maxDepth=6), "lr": builder("lr", maxIter=30),
+                "broken": builder("gbt")}  # binary-only learner on 6 classes → fails → null
+    rows = D.compare_models(builders, D.stable_order(train, "event_id"), test, score)
+    return spark.createDataFrame([("siem_events", n, 0, 0, s) for n, s in rows],
+                                 "dataset string, model string, run int, fold int, macro_f1 double")
+
+
+@register("save_load")
+def save_load(spark: SparkSession, d: str) -> DataFrame:
+    """A fitted pipeline written to the shared checkpoint folder and read
+    back predicts exactly as before."""
+    import uuid
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer
+    train, test = holdout(spark, d)
+    idx = StringIndexer(inputCol=LABEL, outputCol="y", stringOrderType="alphabetAsc")
+    prep = build_preprocessor(NUM_COLS, CAT_COLS, features_col="features", tag="sl")
+    pm = Pipeline(stages=[idx, *prep.getStages(), D.learner("rf", "y", "features", numTrees=10, maxDepth=5)]) \
+        .fit(D.stable_order(train, "event_id"))
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/models/{uuid.uuid4().hex}"
+    io.save_model(pm, path, NUM_COLS + CAT_COLS)
+    back = io.load_model(path)
+    a = pm.transform(test).select("event_id", F.col("prediction").alias("p_before"))
+    b = back.transform(test).select("event_id", F.col("prediction").alias("p_after"))
+    return a.join(b, "event_id").select("event_id", "p_before", "p_after",
+                                        (F.col("p_before") == F.col("p_after")).cast("int").alias("same"))
