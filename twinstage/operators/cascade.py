@@ -22,6 +22,7 @@ from ..functions.labels import binary_label
 from .clean import filter_attacks
 from .metrics import macro_f1
 from .models import learner, positive_probability
+from .parallel import spread
 from .prep import build_preprocessor
 
 
@@ -77,7 +78,7 @@ class TwoStageModel:
 
     def predict(self, df: DataFrame, pred_col: str = "y_pred", persist: bool = True) -> DataFrame:
         s = self.spec
-        s1 = positive_probability(self.stage1.transform(df), "s1_probability", "p_attack")
+        s1 = positive_probability(self.stage1.transform(spread(df)), "s1_probability", "p_attack")
         s1 = s1.drop(*[c for c in s1.columns if c.startswith(("s1_", "p1_"))])
         if persist:
             s1 = s1.persist(StorageLevel.MEMORY_AND_DISK)
@@ -125,7 +126,7 @@ class SingleStageModel:
     labels: list[str]
 
     def predict(self, df: DataFrame, pred_col: str = "y_pred") -> DataFrame:
-        out = self.model.transform(df)
+        out = self.model.transform(spread(df))
         out = IndexToString(inputCol="ss_prediction", outputCol=pred_col, labels=self.labels).transform(out)
         return out.drop(*[c for c in out.columns if c.startswith(("ss_", "ps_"))])
 

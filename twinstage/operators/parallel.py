@@ -1,0 +1,19 @@
+"""Parallelism guard for CPU-heavy narrow work.
+
+Regexes over whole documents and model scoring are narrow (no shuffle), so
+they run with the scan's parallelism. A cluster-scale input has thousands of
+splits and this is a no-op; a small input that arrives as one split would
+otherwise run on one core. Only then are rows round-robined over the cluster's
+cores (an explicit partition count, which AQE does not coalesce away).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * factor)

@@ -24,6 +24,7 @@ from ..operators import stats as A
 from ..operators.features import FeatureOptions, add_features, select_features
 from ..operators.models import replicate_by_weight
 from ..operators.prep import MedianImputer, ModeImputer, PopStandardScaler, one_hot_stages
+from ..operators.parallel import spread
 from ..operators.small import bounded_rows
 from ..session import table
 from . import fixtures as X
@@ -114,7 +115,7 @@ SELECT doc_id,
        CAST(regexp_matches(lt, '{S.UA_BROWSER_PATTERN}') AS INTEGER) AS ua_is_browser
 FROM l""")
 def text_attack_flags(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents")
+    t = spread(table(spark, d, "documents"))
     ua = S.ua_flags("text")
     return t.select("doc_id", S.has_ip("text").alias("has_ip"), S.has_sql_chars("text").alias("has_sql_chars"),
                     S.has_cmd_chars("text").alias("has_cmd_chars"),
@@ -229,7 +230,7 @@ FROM siem"""
 
 def siem_features(spark: SparkSession, d: str, opts: FeatureOptions = FeatureOptions()) -> DataFrame:
     """The SIEM stand-in with every engineered column (used by the trained queries too)."""
-    return add_features(X.siem(spark, d), opts)
+    return add_features(spread(X.siem(spark, d)), opts)
 
 
 @register("feature_groups", _siem_feature_sql())
@@ -556,13 +557,13 @@ def _single_rule() -> Column:
 
 
 def cascade_predictions(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("y_true"), "text")
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.col("lang").alias("y_true"), "text")
     out = C.rule_cascade(docs, _stage1_score(), _stage2_rule(), RULE_THRESHOLD, "en")
     return out.drop("text")
 
 
 def single_predictions(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("y_true"), "text")
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.col("lang").alias("y_true"), "text")
     return docs.select("doc_id", "y_true", _single_rule().alias("y_pred"))
 
 
