@@ -149,7 +149,7 @@ def one_hot_stages(cat_cols: list[str], out_cols: list[str] | None = None, tag:
     idx = [f"{o}_idx" for o in out_cols]
     return [
         StringIndexer(inputCols=cat_cols, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=idx, outputCols=out_cols, dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=idx, outputCols=out_cols, dropLast=True),  # drops the keep slot
     ]
 
 
