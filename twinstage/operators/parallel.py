@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    if df.isStreaming:  # a stream's parallelism comes from its source
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df

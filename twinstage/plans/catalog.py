@@ -860,3 +860,42 @@ def all_sql() -> dict[str, str]:
 
 __all__ = ["QUERIES", "SQL", "all_queries", "all_sql", "siem_features", "cascade_predictions",
            "bounded_rows"]
+
+
+# ---------------------------------------------------------------------------
+# X1 stream scoring: the SIEM stand-in read as a stream, rule cascade, alerts
+# per (1-day window, class). Stage 1 = share of five risk flags; stage 2 = the
+# flag family. Same rows, same windows as the batch SQL below.
+# ---------------------------------------------------------------------------
+
+def _risk_score() -> Column:
+    flags = ["ua_is_curl", "ua_is_wget", "ua_is_python", "dst_port_is_db", "dst_port_is_ssh"]
+    return sum((F.col(c) for c in flags), F.lit(0)) / F.lit(float(len(flags)))
+
+
+def _risk_class() -> Column:
+    return (F.when(F.col("dst_port_is_db") == 1, "injection")
+            .when(F.col("dst_port_is_ssh") == 1, "credential_attack").otherwise("scanning"))
+
+
+@register("stream_alerts", f"""
+WITH {SIEM}, f AS (
+  SELECT event_id, TRY_CAST(timestamp AS TIMESTAMP) AS t, lower(COALESCE(user_agent, '')) AS ua,
+         CAST(COALESCE(dst_port IN (3306, 5432, 1433), false) AS INTEGER) AS db,
+         CAST(COALESCE(dst_port IN (22), false) AS INTEGER) AS ssh FROM siem),
+s AS (SELECT t, db, ssh, (CAST(contains(ua, 'curl') AS INTEGER) + CAST(contains(ua, 'wget') AS INTEGER)
+         + CAST(regexp_matches(ua, 'python|requests|urllib') AS INTEGER) + db + ssh) / 5.0 AS p FROM f),
+c AS (SELECT t, CASE WHEN p > 0.1 THEN CASE WHEN db = 1 THEN 'injection' WHEN ssh = 1 THEN 'credential_attack'
+                                            ELSE 'scanning' END ELSE 'benign' END AS y_pred FROM s WHERE t IS NOT NULL)
+SELECT time_bucket(INTERVAL '1 day', t) AS window_start, y_pred, CAST(count(*) AS BIGINT) AS alerts
+FROM c GROUP BY 1, 2""")
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.features import add_features
+    from ..streaming.scoring import alert_counts, read_log_stream, run_available, score_stream_rules
+    schema = table(spark, d, "events").schema
+    ev = read_log_stream(spark, d, schema, file_glob="events.parquet")
+    feats = add_features(ev.selectExpr(*X.SIEM_EXPRS))
+    feats = feats.withColumn("_ts", S.parse_timestamp("timestamp")).where(F.col("_ts").isNotNull())
+    scored = score_stream_rules(feats, _risk_score(), _risk_class(), 0.1, "benign")
+    counts = run_available(alert_counts(scored, "_ts", "1 day", "1 day"))
+    return counts.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "y_pred", "alerts")
