@@ -94,3 +94,25 @@ def test_compare_models_records_failure(spark, separable):
         return Pipeline(stages=[D.learner("gbt", "missing_label", "features")])
     res = D.compare_models({"bad": bad}, separable, separable, lambda p: 1.0)
     assert res == [("bad", None)]
+
+
+def test_roles_fill_and_index_encoding(spark):
+    from twinstage.operators.clean import column_roles, drop_present, fill_constants
+    df = spark.createDataFrame([(1, "a", True, None)], "n int, c string, b boolean, s string")
+    assert column_roles(df) == (["n", "b"], ["c", "s"])
+    assert column_roles(df, cat_cols=["c"]) == (["n", "b", "s"], ["c"])
+    assert fill_constants(df, {"s": "missing", "zz": 0}).first().s == "missing"
+    assert drop_present(df, ["c", "absent"]).columns == ["n", "b", "s"]
+    train = spark.createDataFrame([(1.0, "x"), (2.0, "y")], "v double, c string")
+    pm = build_preprocessor(["v"], ["c"], encode="index", tag="ix").fit(train)
+    assert [list(r.features) for r in pm.transform(train).collect()] == [[1.0, 0.0], [2.0, 1.0]]
+
+
+def test_one_vs_rest_boosted_trees(spark, separable):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer
+    prep = build_preprocessor(["x", "z"], ["proto"], tag="ov")
+    ovr = D.learner("ovr_gbt", "yi", "features", maxIter=3, maxDepth=2)
+    pm = Pipeline(stages=[StringIndexer(inputCol="y", outputCol="yi"), *prep.getStages(), ovr]).fit(separable)
+    out = pm.transform(separable)
+    assert out.where("yi = prediction").count() / 600 > 0.9

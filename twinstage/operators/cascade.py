@@ -43,10 +43,12 @@ def assemble(routed_pred: DataFrame, rest: DataFrame, pred_col: str, benign: str
 
 def rule_cascade(df: DataFrame, score: Column, stage2: Column, threshold: float, benign: str,
                  pred_col: str = "y_pred") -> DataFrame:
-    """C3–C4 with expression stages: score → route → stage-2 expression on routed rows only."""
+    """C3–C4 with expression stages, in ONE pass: ``CASE WHEN p > t THEN stage2
+    ELSE benign`` evaluates the stage-2 expression only for routed rows (CASE
+    branches are lazy in codegen), so there is no union and no second scan."""
     scored = df.withColumn("p_attack", score)
-    routed, rest = route(scored, "p_attack", threshold)
-    return assemble(routed.withColumn(pred_col, stage2), rest, pred_col, benign)
+    routed = F.col("p_attack") > F.lit(threshold)
+    return scored.withColumn(pred_col, F.when(F.coalesce(routed, F.lit(False)), stage2).otherwise(F.lit(benign)))
 
 
 # ---------------------------------------------------------------------------

@@ -455,6 +455,17 @@ def standard_scale(spark: SparkSession, d: str) -> DataFrame:
     return m.transform(o).select("o_orderkey", r6("z").alias("z"))
 
 
+@register("column_stats", """
+WITH s AS (SELECT avg(o_totalprice) AS m1, stddev_pop(o_totalprice) AS s1, avg(o_custkey) AS m2,
+                  stddev_pop(o_custkey) AS s2 FROM orders)
+SELECT 'o_totalprice' AS "column", round(m1, 6) AS mean, round(s1, 6) AS std FROM s
+UNION ALL SELECT 'o_custkey', round(m2, 6), round(s2, 6) FROM s""")
+def column_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and population std of several columns in ONE aggregate pass."""
+    st = A.mean_std(table(spark, d, "orders"), ["o_totalprice", "o_custkey"])
+    return st.select("column", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
 # ---------------------------------------------------------------------------
 # R1–R4 splits, D5 replication
 # ---------------------------------------------------------------------------
@@ -698,6 +709,14 @@ def roc_auc(spark: SparkSession, d: str) -> DataFrame:
     return a.select(r6("auc").alias("auc"), "n_pos", "n_neg")
 
 
+@register("sigmoid_scores", f"""
+WITH {_SC} SELECT y, score, round(1 / (1 + exp(-((score - 1000.0) / 1000.0))), 6) AS p FROM sc""")
+def sigmoid_scores(spark: SparkSession, d: str) -> DataFrame:
+    """a logit (centred, scaled n_chars) turned into a probability."""
+    s = _scored(spark, d)
+    return s.select("y", "score", r6(S.sigmoid((F.col("score") - 1000.0) / 1000.0)).alias("p"))
+
+
 SWEEP = [500.0, 2000.0, 10000.0, 50000.0]
 
 
