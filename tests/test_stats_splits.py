@@ -127,3 +127,22 @@ def test_bounded_refuses_large(spark):
     from twinstage.operators.small import bounded
     with pytest.raises(ValueError):
         bounded(spark.range(100), max_rows=10)
+
+
+def test_kth_smallest_many_matches_sort(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.random() * 100, float(rnd.randint(0, 5)), rnd.choice([None, 1.0, 2.0, 2.0, 1e9])) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    targets = [("a", 0), ("a", 2499), ("a", 2500), ("b", 4999), ("b", 1234), ("c", 0), ("c", 100)]
+    got = RK.kth_smallest_many(df, targets, bins=16, finish_rows=50)
+    for (c, k), v in zip(targets, got):
+        col = sorted(r[["a", "b", "c"].index(c)] for r in rows if r[["a", "b", "c"].index(c)] is not None)
+        assert v == col[k], (c, k)
+
+
+def test_select_median_equals_exact(spark):
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(rnd.gauss(0, 1), rnd.choice([None, 3, 4, 4])) for _ in range(3001)], "x double, y int")
+    a = MedianImputer(inputCols=["x", "y"], method="select").fit(df)
+    b = MedianImputer(inputCols=["x", "y"], method="exact").fit(df)
+    assert a.getOrDefault(a.surrogates) == b.getOrDefault(b.surrogates)

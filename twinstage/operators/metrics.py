@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .small import bounded_rows
+from .small import bounded_rows, checkpointed
 
 MAX_LABELS = 1000
 
@@ -175,7 +175,7 @@ def running_totals(groups: DataFrame, key: str, values: Sequence[str], descendin
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """One point per distinct score (descending), plus the origin at +inf —
     ``roc_curve(drop_intermediate=False)``; rate 0/0 (one class absent) → null."""
-    g = score_groups(df, label, score)
+    g = checkpointed(score_groups(df, label, score))  # read 3×: run the scan/join once
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # one row
     P, N = F.lit(tot["P"] or 0).cast("double"), F.lit(tot["N"] or 0).cast("double")
     r = running_totals(g, "score", ["pos", "neg"], descending=True)
@@ -190,7 +190,7 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """AUC with ties counted half = Σ pos(s)·(neg below s + neg(s)/2) / (P·N)."""
-    g = score_groups(df, label, score)
+    g = checkpointed(score_groups(df, label, score))
     r = running_totals(g, "score", ["neg"], descending=False, inclusive=False)
     return r.agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") * F.lit(0.5))),

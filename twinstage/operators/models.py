@@ -19,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .small import checkpointed
+
 
 def learner(kind: str, label_col: str, features_col: str = "features", weight_col: str | None = None,
             seed: int = 42, prefix: str = "", **params):
@@ -69,10 +71,8 @@ def replicate_by_weight(df: DataFrame, weight_col: str, id_col: str, seed: int =
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a table that many jobs will re-read (a split reused by every fit)
-    to the shared checkpoint folder: lineage is cut, and a lost executor costs
-    a re-read, not a recomputation of features and split ranks."""
-    return df.checkpoint(eager=True)
+    """A split reused by every fit, written once to the shared checkpoint folder."""
+    return checkpointed(df)
 
 
 def stable_order(df: DataFrame, id_col: str, partitions: int | None = None) -> DataFrame:

@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from .stats import medians, modes
 
 
+EXACT_MEDIAN_MAX_ROWS = 2_000_000
+
+
 class _HasMethod(Params):
-    method = Param(Params._dummy(), "method", "median method: exact | approx | select",
+    method = Param(Params._dummy(), "method", "median method: auto | exact | select | approx",
                    typeConverter=TypeConverters.toString)
 
 
@@ -49,28 +52,35 @@ class MedianImputerModel(Model, HasInputCols, HasOutputCols, _HasSurrogates, Def
 
 
 class MedianImputer(Estimator, HasInputCols, HasOutputCols, _HasMethod, DefaultParamsReadable, DefaultParamsWritable):
-    """M1: null → column median of the fitting table (all-null column stays null)."""
+    """M1: null → column median of the fitting table (all-null column stays null).
+
+    ``select``: exact interpolated median by batched distributed selection — a
+    few scans, memory bounded by histograms. ``exact``: Spark's ``median``
+    (buffers the values in one task). ``auto`` (default): ``exact`` when every
+    column has at most EXACT_MEDIAN_MAX_ROWS values, else ``select``.
+    ``approx``: ``percentile_approx``."""
 
     @keyword_only
-    def __init__(self, inputCols=None, outputCols=None, method="exact"):
+    def __init__(self, inputCols=None, outputCols=None, method="auto"):
         super().__init__()
-        self._setDefault(method="exact")
+        self._setDefault(method="auto")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> MedianImputerModel:
         cols = self.getInputCols()
         method = self.getOrDefault(self.method)
+        counts = df.agg(*[F.count(c).alias(c) for c in cols]).first() if cols else {}
+        if method == "auto":
+            # Spark's exact median buffers up to n values in one task: allow it
+            # only where n is proven small, otherwise select (same result)
+            method = "exact" if max([counts[c] for c in cols], default=0) <= EXACT_MEDIAN_MAX_ROWS else "select"
         if method == "select":
-            from .rank import kth_smallest
-            vals = []
-            for c in cols:
-                n = df.where(F.col(c).isNotNull()).count()
-                if n == 0:
-                    vals.append("")
-                    continue
-                lo, _ = kth_smallest(df, c, (n - 1) // 2)
-                hi, _ = kth_smallest(df, c, n // 2)
-                vals.append(repr((float(lo) + float(hi)) / 2.0))
+            from .rank import kth_smallest_many
+            live = [c for c in cols if counts[c]]
+            targets = [(c, k) for c in live for k in ((counts[c] - 1) // 2, counts[c] // 2)]
+            got = kth_smallest_many(df, targets) if targets else []
+            med = {c: (got[2 * i] + got[2 * i + 1]) / 2.0 for i, c in enumerate(live)}
+            vals = [repr(float(med[c])) if c in med else "" for c in cols]
         else:
             row = medians(df, cols, method).first() if cols else None
             vals = ["" if row is None or row[c] is None else repr(float(row[c])) for c in cols]
@@ -155,7 +165,7 @@ def one_hot_stages(cat_cols: list[str], out_cols: list[str] | None = None, tag:
 
 def build_preprocessor(num_cols: list[str], cat_cols: list[str], scale: bool = False,
                        encode: str = "onehot", features_col: str = "features",
-                       median_method: str = "exact", tag: str = "pp") -> Pipeline:
+                       median_method: str = "auto", tag: str = "pp") -> Pipeline:
     """M5: numeric → median impute (→ scale); categorical → mode impute → one-hot
     (or M6: plain index for tree learners); then one feature vector.
 

@@ -148,3 +148,68 @@ def kth_in_order(df: DataFrame, ts: str, id_col: str, k: int):
         return t_us, id_k
     id_k, _ = kth_smallest(df, id_col, k - stat["nn"], where=F.col(ts).isNull())
     return None, id_k
+
+
+def kth_smallest_many(df: DataFrame, targets: list[tuple[str, int]], bins: int = 1024,
+                      max_rounds: int = 64, finish_rows: int = 65536) -> list[float]:
+    """Exact k-th smallest (0-based, as double) for many (column, k) targets at once.
+
+    Every round is ONE scan of all still-open columns: each row contributes, per
+    open value range, one (range, bin) key; a map-side aggregate reduces that to
+    ≤ ranges × bins rows of (count, min, max). Targets sharing a column and a
+    range share its histogram (both middle ranks of a median usually do).
+    Memory is bounded by the histogram, never by the column's distinct values.
+    """
+    cols = sorted({c for c, _ in targets})
+    stat = df.agg(*[x for c in cols for x in (F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
+                                                F.max(F.col(c).cast("double")).alias(f"hi_{c}"),
+                                                F.count(c).alias(f"n_{c}"))]).first()
+    st = []
+    for c, k in targets:
+        n = stat[f"n_{c}"]
+        if n == 0 or not 0 <= k < n:
+            raise ValueError(f"k={k} out of range for {n} values of {c}")
+        st.append({"col": c, "k": k, "lo": stat[f"lo_{c}"], "hi": stat[f"hi_{c}"], "n": n, "v": None})
+    for _ in range(max_rounds):
+        for t in st:
+            if t["v"] is None and t["lo"] == t["hi"]:
+                t["v"] = t["lo"]
+        open_ = [t for t in st if t["v"] is None]
+        if not open_:
+            return [t["v"] for t in st]
+        ranges = sorted({(t["col"], t["lo"], t["hi"], t["n"]) for t in open_})
+        small = [r for r in ranges if r[3] <= finish_rows]
+        if small:  # few rows left in a range: fetch them (bounded) and finish exactly
+            for c, lo, hi, n in small[: max(1, finish_rows // max(r[3] for r in small))]:
+                x = F.col(c).cast("double")
+                vals = sorted(r[0] for r in bounded_rows(df.select(x).where((x >= lo) & (x <= hi)),
+                                                         finish_rows, "selection range"))
+                for t in open_:
+                    if (t["col"], t["lo"], t["hi"]) == (c, lo, hi):
+                        t["v"] = vals[t["k"]]
+            continue
+        entries = []
+        for gid, (c, lo, hi, _) in enumerate(ranges):
+            x = F.col(c).cast("double")
+            width = (hi - lo) / bins
+            b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
+            entries.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
+                                  F.struct(F.lit(gid).alias("g"), b.alias("b"), x.alias("v"))))
+        hist = (df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+                .groupBy("e.g", "e.b").agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"),
+                                            F.max("e.v").alias("hi")))
+        rows = sorted(bounded_rows(hist, len(ranges) * bins, "histograms"), key=lambda r: (r["g"], r["b"]))
+        by_g: dict[int, list] = {}
+        for r in rows:
+            by_g.setdefault(r["g"], []).append(r)
+        for gid, (c, lo, hi, _) in enumerate(ranges):
+            for t in open_:
+                if (t["col"], t["lo"], t["hi"]) != (c, lo, hi):
+                    continue
+                k = t["k"]
+                for r in by_g.get(gid, []):
+                    if k < r["n"]:
+                        t.update(lo=r["lo"], hi=r["hi"], n=r["n"], k=k)
+                        break
+                    k -= r["n"]
+    raise RuntimeError("selection did not converge")

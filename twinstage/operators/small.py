@@ -32,3 +32,10 @@ def bounded_rows(df: DataFrame, max_rows: int = MAX_CLASSES, what: str = "table"
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
     """Broadcast hash join against a table already proven small by ``bounded``."""
     return big.join(F.broadcast(small), on=on, how=how)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write a table that several jobs re-read to ``spark.checkpoint.dir`` (shared
+    storage): lineage is cut, the producing scan/join runs once, and a lost
+    executor costs a re-read instead of a recomputation."""
+    return df.checkpoint(eager=True)

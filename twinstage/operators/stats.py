@@ -77,8 +77,23 @@ def medians(df: DataFrame, cols: Iterable[str], method: str = "exact", accuracy:
 
 
 def modes(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Most frequent non-null value per column, ties → smallest."""
-    return df.agg(*[F.mode(c, True).alias(c) for c in cols])
+    """Most frequent non-null value per column, ties → smallest — one row.
+
+    Distributed: values of all columns are stacked as (column, value), counted by
+    a hash aggregate, and the winner per column is a ``min_by`` over
+    (−count, value), which also aggregates partially. No task holds a column's
+    distinct values (``F.mode`` would, in its final merge).
+    """
+    cols = list(cols)
+    if not cols:
+        return df.sparkSession.range(1).select()
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])).alias("e")) \
+        .where(F.col("e.v").isNotNull())
+    counts = stacked.groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("i").agg(F.min_by("v", F.struct((-F.col("n")).alias("m"), F.col("v").alias("v"))).alias("v"))
+    wide = best.agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(c) for i, c in enumerate(cols)])
+    return wide
 
 
 def mean_std(df: DataFrame, cols: Iterable[str]) -> DataFrame:

@@ -407,7 +407,7 @@ def _clean_values(spark: SparkSession, d: str) -> DataFrame:
 WITH {_VALS} SELECT event_id, round(COALESCE(value, (SELECT median(value) FROM v)), 6) AS value FROM v""")
 def median_impute(spark: SparkSession, d: str) -> DataFrame:
     v = _clean_values(spark, d)
-    m = MedianImputer(inputCols=["value"], method="exact").fit(v)
+    m = MedianImputer(inputCols=["value"], method="exact").fit(v)  # Spark's median; see median_select
     return m.transform(v).select("event_id", r6("value").alias("value"))
 
 
@@ -721,7 +721,7 @@ SWEEP = [500.0, 2000.0, 10000.0, 50000.0]
 
 
 @register("threshold_sweep", f"""
-WITH {_SC}, th AS (SELECT unnest([{', '.join(map(str, SWEEP))}]) AS threshold),
+WITH {_SC}, th AS (SELECT CAST(unnest([{', '.join(map(str, SWEEP))}]) AS DOUBLE) AS threshold),
 k AS (SELECT threshold, CAST(sum(CASE WHEN y = 1 AND score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS tp,
              CAST(sum(CASE WHEN y <> 1 AND score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS fp,
              CAST(sum(CASE WHEN y = 1 AND NOT score > threshold THEN 1 ELSE 0 END) AS BIGINT) AS fn
