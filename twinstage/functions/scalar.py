@@ -72,10 +72,28 @@ def bool_text_to_int(c) -> Column:
 
 # -- F1–F4 time ------------------------------------------------------------
 
-def parse_timestamp(c, fmt: str | None = None) -> Column:
-    """Parse text to a timestamp; unparseable → null (never an ANSI error)."""
+def parse_timestamp(c, fmt: str | None = None, zoned: bool = False) -> Column:
+    """Parse text to a timestamp; unparseable → null (never an ANSI error).
+
+    Default: a zone-free TIMESTAMP_NTZ (pandas' naive parse), so hour, weekday
+    and windows are the written wall-clock values in any session time zone.
+    ``zoned=True`` (the ``utc=True`` variant) yields an instant in the session zone.
+    """
     c = col_of(c).cast("string")
-    return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
+    if zoned:
+        return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
+    if fmt:
+        return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    return c.try_cast("timestamp_ntz")
+
+
+def epoch_micros(ts, dtype: str) -> Column:
+    """Microseconds since 1970-01-01 as a long; for TIMESTAMP_NTZ without any
+    time-zone conversion (so ordering never depends on the session zone)."""
+    ts = col_of(ts)
+    if dtype == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def hour_of(ts, bad: str = "null") -> Column:

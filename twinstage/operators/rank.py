@@ -141,8 +141,9 @@ def kth_in_order(df: DataFrame, ts: str, id_col: str, k: int):
     """Key (ts, id) of the k-th row (0-based) in the order ts ascending nulls last, then id."""
     stat = df.agg(F.count(F.col(ts)).alias("nn"), F.count(F.lit(1)).alias("n")).first()
     if k < stat["nn"]:
-        # ts typed values: select on epoch microseconds so the integer path applies
-        micros = df.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(id_col))
+        # timestamps: select on epoch microseconds so the integer path applies
+        from ..functions.scalar import epoch_micros
+        micros = df.select(epoch_micros(ts, dict(df.dtypes)[ts]).alias("_us"), F.col(id_col))
         t_us, j = kth_smallest(micros, "_us", k)
         id_k, _ = kth_smallest(micros, id_col, j, where=F.col("_us") == F.lit(t_us))
         return t_us, id_k

@@ -86,7 +86,8 @@ def time_split(df: DataFrame, ts: str, id_col: str, train_frac: float = 0.7,
     if cut >= n:
         return df.withColumn(out, F.lit(1))
     t_us, id_k = kth_in_order(df, ts, id_col, cut - 1)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    from ..functions.scalar import epoch_micros
+    us = epoch_micros(ts, dict(df.dtypes)[ts])
     i = F.col(id_col)
     if t_us is None:
         train = us.isNotNull() | (i <= F.lit(id_k))

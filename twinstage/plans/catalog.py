@@ -917,4 +917,4 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     feats = feats.withColumn("_ts", S.parse_timestamp("timestamp")).where(F.col("_ts").isNotNull())
     scored = score_stream_rules(feats, _risk_score(), _risk_class(), 0.1, "benign")
     counts = run_available(alert_counts(scored, "_ts", "1 day", "1 day"))
-    return counts.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "y_pred", "alerts")
+    return counts.select("window_start", "y_pred", "alerts")

@@ -44,12 +44,26 @@ def score_stream_model(stream: DataFrame, model, pred_col: str = "y_pred") -> Da
 
 def alert_counts(scored: DataFrame, ts_col: str, window: str = "1 day", watermark: str = "1 day",
                  pred_col: str = "y_pred") -> DataFrame:
-    """Alerts per (tumbling window, predicted class) with a watermark on event time."""
-    ts = F.col(ts_col).cast("timestamp")
-    return (scored.withColumn("_evt", ts).withWatermark("_evt", watermark)
+    """Alerts per (tumbling window, predicted class) with a watermark on event time.
+
+    Wall-clock (TIMESTAMP_NTZ) event times are mapped to the instant with the
+    same digits in UTC — zone-free, via epoch microseconds — because watermarks
+    need instants; windows then start at wall-clock boundaries, and the window
+    start is mapped back to TIMESTAMP_NTZ the same way.
+    """
+    from ..functions.scalar import epoch_micros
+    dtype = dict(scored.dtypes)[ts_col]
+    if dtype == "timestamp":
+        evt, back = F.col(ts_col), (lambda c: c)
+    else:
+        ntz = F.col(ts_col) if dtype == "timestamp_ntz" else F.col(ts_col).cast("string").try_cast("timestamp_ntz")
+        evt = F.timestamp_micros(epoch_micros(ntz, "timestamp_ntz"))
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        back = lambda c: F.timestamp_add("MICROSECOND", F.unix_micros(c), epoch)
+    return (scored.withColumn("_evt", evt).withWatermark("_evt", watermark)
             .groupBy(F.window("_evt", window).alias("w"), F.col(pred_col))
             .agg(F.count(F.lit(1)).alias("alerts"))
-            .select(F.col("w.start").alias("window_start"), F.col(pred_col), "alerts"))
+            .select(back(F.col("w.start")).alias("window_start"), F.col(pred_col), "alerts"))
 
 
 def run_available(agg: DataFrame, base_dir: str | None = None, name: str | None = None) -> DataFrame:
