@@ -148,39 +148,55 @@ def fit_single_stage(train: DataFrame, spec: CascadeSpec, kind: str | None = Non
 # Cross-validated comparison and ablation → scores tables
 # ---------------------------------------------------------------------------
 
+def _run_parallel(tasks, parallelism: int) -> list:
+    """Run independent fits from a small thread pool (as MLlib's CrossValidator
+    does): each fit is a chain of small jobs, so several keep the cluster busy."""
+    from concurrent.futures import ThreadPoolExecutor
+    if parallelism <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(lambda t: t(), tasks))
+
+
 def cv_compare(folded: DataFrame, spec: CascadeSpec, dataset: str, fold_col: str = "fold",
-               run_col: str | None = "run", single_kind: str | None = None) -> DataFrame:
+               run_col: str | None = "run", single_kind: str | None = None, parallelism: int = 4) -> DataFrame:
     """For each (run, fold), single-stage and two-stage on the SAME split;
     only macro-F1 (a one-row aggregate) reaches the driver."""
     spark = folded.sparkSession
-    keys = folded.select(*( [run_col] if run_col else []), fold_col).distinct().collect()
-    rows = []
+    keys = folded.select(*([run_col] if run_col else []), fold_col).distinct().collect()
     y = spec.label_col
-    for k in sorted(keys, key=lambda r: tuple(r)):
-        run = k[run_col] if run_col else 0
-        f = k[fold_col]
-        part = folded.filter(F.col(run_col) == run) if run_col else folded
-        train, test = part.filter(F.col(fold_col) != f), part.filter(F.col(fold_col) == f)
-        single = fit_single_stage(train, spec, single_kind)
-        s_pred = single.predict(test)
-        rows.append((dataset, "single_stage", run, f, macro_f1(s_pred, y, "y_pred").first()["macro_f1"]))
-        two = fit_two_stage(train, spec)
-        t_pred = two.predict(test)
-        rows.append((dataset, "two_stage", run, f, macro_f1(t_pred, y, "y_pred").first()["macro_f1"]))
-        two.release()
+
+    def one(run, f):
+        def task():
+            part = folded.filter(F.col(run_col) == run) if run_col else folded
+            train, test = part.filter(F.col(fold_col) != f), part.filter(F.col(fold_col) == f)
+            single = fit_single_stage(train, spec, single_kind)
+            s_f1 = macro_f1(single.predict(test), y, "y_pred").first()["macro_f1"]
+            two = fit_two_stage(train, spec)
+            t_f1 = macro_f1(two.predict(test), y, "y_pred").first()["macro_f1"]
+            two.release()
+            return [(dataset, "single_stage", run, f, s_f1), (dataset, "two_stage", run, f, t_f1)]
+        return task
+
+    tasks = [one(k[run_col] if run_col else 0, k[fold_col]) for k in sorted(keys, key=lambda r: tuple(r))]
+    rows = [r for rs in _run_parallel(tasks, parallelism) for r in rs]
     return spark.createDataFrame(rows, "dataset string, model string, run int, fold int, macro_f1 double")
 
 
 def ablation(folded: DataFrame, spec: CascadeSpec, groups: dict[str, tuple[list[str], list[str]]],
-             dataset: str, fold_col: str = "fold") -> DataFrame:
+             dataset: str, fold_col: str = "fold", parallelism: int = 4) -> DataFrame:
     """Cross-validated macro-F1 of one learner per feature-group mode."""
     spark = folded.sparkSession
     folds = sorted(r[0] for r in folded.select(fold_col).distinct().collect())
-    rows = []
-    for mode, (num, cat) in groups.items():
-        s = CascadeSpec(**{**spec.__dict__, "num_cols": num, "cat_cols": cat})
-        for f in folds:
+
+    def one(mode, num, cat, f):
+        def task():
+            s = CascadeSpec(**{**spec.__dict__, "num_cols": num, "cat_cols": cat})
             train, test = folded.filter(F.col(fold_col) != f), folded.filter(F.col(fold_col) == f)
             pred = fit_single_stage(train, s).predict(test)
-            rows.append((dataset, mode, 0, f, macro_f1(pred, s.label_col, "y_pred").first()["macro_f1"]))
+            return (dataset, mode, 0, f, macro_f1(pred, s.label_col, "y_pred").first()["macro_f1"])
+        return task
+
+    tasks = [one(mode, num, cat, f) for mode, (num, cat) in groups.items() for f in folds]
+    rows = _run_parallel(tasks, parallelism)
     return spark.createDataFrame(rows, "dataset string, model string, run int, fold int, macro_f1 double")
