@@ -126,3 +126,19 @@ def test_speedup_golden(spark):
     t = spark.createDataFrame(rows, "dataset string, model string, repeat int, rows long, seconds double")
     sp = {r.dataset: round(r.speedup, 2) for r in RS.speedup(RS.throughput(t), "single_stage", "two_stage").collect()}
     assert sp == {"UNSW": 2.38, "SIEM": 1.33}
+
+
+def test_roc_drop_intermediate_matches_rule(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(rnd.randint(0, 1), float(rnd.randint(0, 40))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    full = sorted(((r.threshold, r.tp, r.fp) for r in E.roc_points(df, "y", "s").collect()
+                   if r.threshold != float("inf")), reverse=True)
+    tps, fps = [x[1] for x in full], [x[2] for x in full]
+    keep = [0] + [i for i in range(1, len(full) - 1)
+                  if tps[i + 1] - 2 * tps[i] + tps[i - 1] or fps[i + 1] - 2 * fps[i] + fps[i - 1]] + [len(full) - 1]
+    exp = sorted(full[i] for i in keep)
+    got = sorted((r.threshold, r.tp, r.fp) for r in E.roc_points(df, "y", "s", drop_intermediate=True).collect()
+                 if r.threshold != float("inf"))
+    assert got == exp and len(got) < len(full)

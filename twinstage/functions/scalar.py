@@ -47,13 +47,20 @@ def as_int(flag: Column) -> Column:
 
 # -- P4 / P5 / P9 -----------------------------------------------------------
 
-def to_numeric(c) -> Column:
+NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+
+
+def to_numeric(c, dtype: str | None = None) -> Column:
     """pandas ``to_numeric(errors='coerce')``: bad text → null.
 
     ``try_cast`` keeps ANSI mode from throwing; Spark alone would accept a
-    Java-style ``1d`` / ``2f`` suffix, so those are rejected first.
+    Java-style ``1d`` / ``2f`` suffix, so those are rejected first. A column
+    already typed numeric (``dtype``) is just widened to double — no text
+    round trip, which keeps wide feature projections small enough for codegen.
     """
     c = col_of(c)
+    if dtype is not None and (dtype in NUMERIC_TYPES or dtype.startswith("decimal")):
+        return c.cast("double")
     s = c.cast("string")
     return F.when(s.rlike(_SUFFIXED_NUMBER), F.lit(None).cast("double")).otherwise(s.try_cast("double"))
 
@@ -166,8 +173,8 @@ def ua_flags(c, python_variant: str = "broad") -> dict[str, Column]:
 
 # -- F13–F16 ports and bytes --------------------------------------------------
 
-def port_flags(c, prefix: str) -> dict[str, Column]:
-    p = to_numeric(c)
+def port_flags(c, prefix: str, dtype: str | None = None) -> dict[str, Column]:
+    p = to_numeric(c, dtype)
     return {
         f"{prefix}_is_web": F.coalesce(p.isin(*WEB_PORTS), F.lit(False)).cast("int"),
         f"{prefix}_is_ssh": F.coalesce(p.isin(*SSH_PORTS), F.lit(False)).cast("int"),
@@ -175,9 +182,10 @@ def port_flags(c, prefix: str) -> dict[str, Column]:
     }
 
 
-def byte_features(sent, received) -> dict[str, Column]:
-    bs = F.coalesce(to_numeric(sent), F.lit(0.0))
-    br = F.coalesce(to_numeric(received), F.lit(0.0))
+def byte_features(sent, received, sent_type: str | None = None, received_type: str | None = None
+                  ) -> dict[str, Column]:
+    bs = F.coalesce(to_numeric(sent, sent_type), F.lit(0.0))
+    br = F.coalesce(to_numeric(received, received_type), F.lit(0.0))
     total = bs + br
     return {
         "bytes_total": total,

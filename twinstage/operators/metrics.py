@@ -172,14 +172,31 @@ def running_totals(groups: DataFrame, key: str, values: Sequence[str], descendin
         for v in values])
 
 
-def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One point per distinct score (descending), plus the origin at +inf —
-    ``roc_curve(drop_intermediate=False)``; rate 0/0 (one class absent) → null."""
+def roc_points(df: DataFrame, label: str, score: str, drop_intermediate: bool = False) -> DataFrame:
+    """One point per distinct score (descending), plus the origin at +inf;
+    rate 0/0 (one class absent) → null.
+
+    ``drop_intermediate=True`` keeps, like ``roc_curve``'s default, only the
+    first and last thresholds and those where the curve bends (a non-zero second
+    difference of tp or fp). Neighbours are found by numbering the thresholds
+    (bucketed running count) and equi-joining on index ± 1 — no single-task window.
+    """
     g = checkpointed(score_groups(df, label, score))  # read 3×: run the scan/join once
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # one row
+    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                F.count(F.lit(1)).alias("K")).first()  # one row
     P, N = F.lit(tot["P"] or 0).cast("double"), F.lit(tot["N"] or 0).cast("double")
-    r = running_totals(g, "score", ["pos", "neg"], descending=True)
-    pts = r.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
+    g1 = g.withColumn("one", F.lit(1).cast("long"))
+    r = running_totals(g1, "score", ["pos", "neg", "one"], descending=True)
+    pts = r.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+                   F.col("cum_one").alias("i"))
+    if drop_intermediate and (tot["K"] or 0) > 2:
+        prev = pts.select((F.col("i") + 1).alias("i"), F.col("tp").alias("tp_p"), F.col("fp").alias("fp_p"))
+        nxt = pts.select((F.col("i") - 1).alias("i"), F.col("tp").alias("tp_n"), F.col("fp").alias("fp_n"))
+        j = pts.join(prev, "i", "left").join(nxt, "i", "left")
+        bend = ((F.col("tp_n") - 2 * F.col("tp") + F.col("tp_p")) != 0) | \
+               ((F.col("fp_n") - 2 * F.col("fp") + F.col("fp_p")) != 0)
+        pts = j.where(F.col("tp_p").isNull() | F.col("tp_n").isNull() | bend).select("threshold", "tp", "fp", "i")
+    pts = pts.drop("i")
     origin = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
                                              F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     return pts.unionByName(origin).select(

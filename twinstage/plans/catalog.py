@@ -138,7 +138,7 @@ SELECT l_orderkey, l_linenumber, {_port_sql('l_suppkey', 'src_port')}, {_port_sq
 FROM lineitem""")
 def port_flags(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    cols = {**S.port_flags("l_suppkey", "src_port"), **S.port_flags("l_partkey", "dst_port")}
+    cols = {**S.port_flags("l_suppkey", "src_port", "bigint"), **S.port_flags("l_partkey", "dst_port", "bigint")}
     return li.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in cols.items()])
 
 
@@ -149,7 +149,7 @@ SELECT l_orderkey, l_linenumber, round(s + r, 6) AS bytes_total, round(s / (r +
 FROM b""")
 def byte_features(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    cols = S.byte_features("l_extendedprice", "l_quantity")
+    cols = S.byte_features("l_extendedprice", "l_quantity", "double", "double")
     return li.select("l_orderkey", "l_linenumber", *[r6(v).alias(k) for k, v in cols.items()])
 
 
@@ -699,6 +699,22 @@ def roc_points(spark: SparkSession, d: str) -> DataFrame:
     return r.select("threshold", "tp", "fp", r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
 
 
+@register("roc_points_compact", f"""
+WITH {_SC}, c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp
+                 FROM g),
+n AS (SELECT score, tp, fp, lag(tp) OVER (ORDER BY score DESC) AS tp_p, lead(tp) OVER (ORDER BY score DESC) AS tp_n,
+             lag(fp) OVER (ORDER BY score DESC) AS fp_p, lead(fp) OVER (ORDER BY score DESC) AS fp_n FROM c),
+t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM g)
+SELECT score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / P, 6) AS tpr,
+       round(fp / N, 6) AS fpr FROM n, t
+WHERE tp_p IS NULL OR tp_n IS NULL OR tp_n - 2 * tp + tp_p <> 0 OR fp_n - 2 * fp + fp_p <> 0
+UNION ALL SELECT 'inf'::DOUBLE, 0, 0, 0.0, 0.0""")
+def roc_points_compact(spark: SparkSession, d: str) -> DataFrame:
+    """E7 as ``roc_curve`` returns it by default (collinear points dropped)."""
+    r = E.roc_points(_scored(spark, d), "y", "score", drop_intermediate=True)
+    return r.select("threshold", "tp", "fp", r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
+
+
 @register("roc_auc", f"""
 WITH {_SC}, c AS (SELECT pos, neg, COALESCE(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
                                                             AND 1 PRECEDING), 0) AS below FROM g)
