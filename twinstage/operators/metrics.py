@@ -144,21 +144,30 @@ def score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def running_totals(groups: DataFrame, key: str, values: Sequence[str], descending: bool,
-                   bins: int = 4096, inclusive: bool = True) -> DataFrame:
+                   bins: int = 1024, inclusive: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Running sums of ``values`` over ``key`` order, without a single-task window.
 
-    Distinct keys are bucketed by equal-width bins (monotone in the key), bucket
-    totals (≤ bins rows) give offsets, and the window runs inside each bucket.
+    Distinct keys are bucketed at approximate quantiles of the keys themselves
+    (≤ ``bins`` boundaries fetched to the driver), so buckets hold about equally
+    many keys however skewed the scores are; bucket totals (≤ bins rows) give
+    offsets, and the window runs inside each bucket. Exact: the buckets are
+    monotone in the key, only their sizes are approximate.
     """
-    st = groups.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if st["lo"] is None:
+    probs = [i / bins for i in range(1, bins)]
+    q = groups.agg(F.percentile_approx(F.col(key).cast("double"), probs, accuracy).alias("q")).first()["q"]
+    if q is None:
         return groups.select("*", *[F.lit(0).cast("long").alias(f"cum_{v}") for v in values])
-    lo, hi = float(st["lo"]), float(st["hi"])
-    width = (hi - lo) / bins if hi > lo else 1.0
-    b = F.least(F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(bins - 1))
+    from pyspark.ml.feature import Bucketizer
+    cuts = sorted(set(float(x) for x in q if x == x and abs(x) != float("inf")))
+    # bucket = number of cut points ≤ key, by binary search (NaN keys → last bucket,
+    # as Spark orders NaN above every number)
+    splits = [float("-inf"), *cuts, float("inf")]
+    t = Bucketizer(splits=splits, inputCol="_k", outputCol="_bk", handleInvalid="keep") \
+        .transform(groups.withColumn("_k", F.col(key).cast("double")))
+    b = F.col("_bk").cast("int")
     if descending:
-        b = F.lit(bins - 1) - b
-    t = groups.withColumn("_b", b)
+        b = F.lit(len(splits)) - b
+    t = t.withColumn("_b", b).drop("_k", "_bk")
     tot = t.groupBy("_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(F.col("_b").alias("_ob"),

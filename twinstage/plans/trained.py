@@ -53,7 +53,7 @@ def two_stage_predict(spark: SparkSession, d: str) -> DataFrame:
     """C1–C4 trained: stage 1 GBT (benign vs attack), stage 2 RF on routed rows only."""
     train, test = holdout(spark, d)
     model = C.fit_two_stage(D.stable_order(train, "event_id"), spec())
-    out = model.predict(test)
+    out = model.predict(test, persist=False)  # a returned lazy frame: no cache left behind
     return out.select("event_id", F.col(LABEL).alias("y_true"), "y_pred", r6("p_attack").alias("p_attack"))
 
 
