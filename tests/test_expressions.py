@@ -118,3 +118,9 @@ def test_add_features_missing_sources_and_groups(spark):
     with pytest.raises(ValueError):
         add_features(df, FeatureOptions(on_missing="error"))
     assert spark.range(1).select(S.sigmoid(F.lit(0.0))).first()[0] == 0.5
+
+
+def test_flag_to_int_operator(spark):
+    from twinstage.operators.clean import flag_to_int
+    df = spark.createDataFrame([("True", 1), ("false", 2)], "is_internal string, x int")
+    assert [r.is_internal for r in flag_to_int(df, ["is_internal", "absent"]).collect()] == [1, 0]

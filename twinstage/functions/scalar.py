@@ -41,10 +41,6 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def as_int(flag: Column) -> Column:
-    return flag.cast("int")
-
-
 # -- P4 / P5 / P9 -----------------------------------------------------------
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")

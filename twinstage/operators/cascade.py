@@ -24,6 +24,7 @@ from .metrics import macro_f1
 from .models import learner, positive_probability
 from .parallel import spread
 from .prep import build_preprocessor
+from .split import fold_rows
 
 
 # ---------------------------------------------------------------------------
@@ -169,7 +170,7 @@ def cv_compare(folded: DataFrame, spec: CascadeSpec, dataset: str, fold_col: str
     def one(run, f):
         def task():
             part = folded.filter(F.col(run_col) == run) if run_col else folded
-            train, test = part.filter(F.col(fold_col) != f), part.filter(F.col(fold_col) == f)
+            train, test = fold_rows(part, f, fold_col)
             single = fit_single_stage(train, spec, single_kind)
             s_f1 = macro_f1(single.predict(test), y, "y_pred").first()["macro_f1"]
             two = fit_two_stage(train, spec)
@@ -192,7 +193,7 @@ def ablation(folded: DataFrame, spec: CascadeSpec, groups: dict[str, tuple[list[
     def one(mode, num, cat, f):
         def task():
             s = CascadeSpec(**{**spec.__dict__, "num_cols": num, "cat_cols": cat})
-            train, test = folded.filter(F.col(fold_col) != f), folded.filter(F.col(fold_col) == f)
+            train, test = fold_rows(folded, f, fold_col)
             pred = fit_single_stage(train, s).predict(test)
             return (dataset, mode, 0, f, macro_f1(pred, s.label_col, "y_pred").first()["macro_f1"])
         return task

@@ -8,7 +8,6 @@ broadcast at ``transform``. Boosting internals are not re-implemented.
 
 from __future__ import annotations
 
-import math
 import traceback
 from collections.abc import Callable
 
@@ -119,7 +118,3 @@ def compare_models(builders: dict[str, Callable[[], Pipeline]], train: DataFrame
 
 def mlp_layers(n_features: int, n_classes: int, hidden=(256, 128, 64)) -> list[int]:
     return [n_features, *hidden, max(n_classes, 2)]
-
-
-def balanced_weight_floor(weights: dict) -> dict:
-    return {k: (v if v is not None and math.isfinite(v) else 1.0) for k, v in weights.items()}

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+def spread(df: DataFrame, factor: int = 1) -> DataFrame:
     if df.isStreaming:  # a stream's parallelism comes from its source
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism

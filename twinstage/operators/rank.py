@@ -32,11 +32,6 @@ ROWS_PER_BUCKET = 1 << 20      # target rows per (stratum, bucket) window partit
 MAX_OFFSET_ROWS = 1 << 21      # hard bound on the broadcast offset table
 
 
-def hash_key(id_col: str, seed: int | str) -> Column:
-    """Deterministic shuffle key: md5 of ``'<seed>:<id>'`` (same text in DuckDB)."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-
-
 def hash_bucket(h: Column, bits: int) -> Column:
     """Leading ``bits`` of the hex hash as an int; monotone in the hash order."""
     if bits <= 0:
