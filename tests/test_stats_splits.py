@@ -146,3 +146,24 @@ def test_select_median_equals_exact(spark):
     a = MedianImputer(inputCols=["x", "y"], method="select").fit(df)
     b = MedianImputer(inputCols=["x", "y"], method="exact").fit(df)
     assert a.getOrDefault(a.surrogates) == b.getOrDefault(b.surrogates)
+
+
+def test_hot_class_is_spread_over_buckets(spark):
+    """A class holding over a third of all rows still yields window partitions
+    near the bucket target, and ranks stay exact."""
+    n = 30000
+    df = spark.range(0, n).withColumn("y", F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.concat(F.lit("c"), (F.col("id") % 50).cast("string"))))
+    rows = R.class_count_rows(df, "y")
+    hot = max(r["count"] for r in rows)
+    assert hot >= n // 3
+    target = 500
+    bits = RK.choose_bits(hot, len(rows), target)
+    assert 2 ** bits >= hot / target
+    h = F.md5(F.concat(F.lit("42:"), F.col("id").cast("string")))
+    sizes = df.groupBy("y", RK.hash_bucket(h, bits).alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * target
+    ranked = RK.hashed_rank(df, "id", 42, ["y"], [], rows, rows_per_bucket=target)
+    per = ranked.groupBy("y").agg(F.min("_rank").alias("lo"), F.max("_rank").alias("hi"), F.count("*").alias("n"))
+    assert all(r.lo == 1 and r.hi == r.n for r in per.collect())
+    assert ranked.select("y", "_rank").distinct().count() == n
