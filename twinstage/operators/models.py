@@ -39,7 +39,10 @@ def learner(kind: str, label_col: str, features_col: str = "features", weight_co
         base = GBTClassifier(seed=seed, featuresCol=features_col, **p)
         return OneVsRest(classifier=base, rawPredictionCol=f"{prefix}rawPrediction", parallelism=4, **out, **w)
     if kind == "rf":
-        p = dict(numTrees=50, maxDepth=8, maxBins=64)
+        # deep forests: cache each row's node id between levels (checkpointed
+        # every checkpointInterval into spark.checkpoint.dir) and give node
+        # groups 1 GB of aggregation buffer, so fewer passes over the data
+        p = dict(numTrees=50, maxDepth=8, maxBins=64, cacheNodeIds=True, maxMemoryInMB=1024)
         p.update(params)
         return RandomForestClassifier(seed=seed, **out, **prob, **w, **p)
     if kind == "lr":
