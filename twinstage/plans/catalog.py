@@ -240,6 +240,41 @@ def feature_groups(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumns({c: r6(F.col(c).cast("double")) for c in dbl + ["bytes_received"]})
 
 
+@register("drop_raw_columns", f"""
+WITH {SIEM} SELECT event_id, src_port, dst_port, round(bytes_sent, 6) AS bytes_sent, bytes_received FROM siem""")
+def drop_raw_columns(spark: SparkSession, d: str) -> DataFrame:
+    """P1 + P11: targets, raw text and raw IPs dropped when present (absent names
+    ignored), then the categorical columns dropped by the ablation switch."""
+    s = X.siem(spark, d)
+    s = P.drop_present(s, ["attack_type", "label", "timestamp", "src_ip", "dst_ip", "url", "user_agent", "id"])
+    s = P.drop_present(s, ["protocol"])
+    return s.withColumn("bytes_sent", r6("bytes_sent"))
+
+
+@register("attack_rows", "SELECT doc_id, lang FROM documents WHERE lang IS NULL OR lang <> 'en'")
+def attack_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows stage 2 trains on (null class kept, as pandas ``!=`` does)."""
+    return P.filter_attacks(table(spark, d, "documents").select("doc_id", "lang"), "lang", "en")
+
+
+_FLAG_TXT = "CASE user_id % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'false' ELSE 'maybe' END"
+
+
+@register("flag_text", f"""
+SELECT event_id, CASE lower({_FLAG_TXT}) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END AS is_internal FROM events""")
+def flag_text(spark: SparkSession, d: str) -> DataFrame:
+    """A text flag column ('TRUE' / 'false' / other) → 1 / 0 / null."""
+    ev = table(spark, d, "events").selectExpr("event_id", f"{_FLAG_TXT} AS is_internal")
+    return P.flag_to_int(ev, ["is_internal"])
+
+
+@register("fill_constants", f"""
+WITH {PRIO} SELECT o_orderkey, COALESCE(priority, 'missing') AS priority FROM prio""")
+def fill_constants(spark: SparkSession, d: str) -> DataFrame:
+    """P10: constant null fill of a text column."""
+    return P.fill_constants(X.priorities(spark, d), {"priority": "missing"}).select("o_orderkey", "priority")
+
+
 # ---------------------------------------------------------------------------
 # S2–S6 sources and profile
 # ---------------------------------------------------------------------------
@@ -507,6 +542,18 @@ def repeated_folds(spark: SparkSession, d: str) -> DataFrame:
     return R.repeated_folds(docs, "lang", "doc_id", 5, 5, 42).select("doc_id", "lang", "run", "fold")
 
 
+@register("fold_rows", f"""
+WITH f AS (SELECT doc_id, CAST((row_number() OVER (ORDER BY lang, {_MD5.format(seed=42, id='doc_id')}, doc_id) - 1)
+                               % 5 AS INTEGER) AS fold FROM documents)
+SELECT doc_id, CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS part FROM f""")
+def fold_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Train and test rows of fold 0 (two filters on the fold column)."""
+    folds = R.stratified_folds(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 5, 42)
+    train, test = R.fold_rows(folds, 0)
+    return train.select("doc_id", F.lit("train").alias("part")).unionByName(
+        test.select("doc_id", F.lit("test").alias("part")))
+
+
 @register("time_split", """
 SELECT event_id, CAST(row_number() OVER (ORDER BY ts NULLS LAST, event_id) <= floor(count(*) OVER () * 0.7)
                       AS INTEGER) AS is_train

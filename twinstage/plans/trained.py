@@ -158,7 +158,8 @@ def save_load(spark: SparkSession, d: str) -> DataFrame:
     prep = build_preprocessor(NUM_COLS, CAT_COLS, features_col="features", tag="sl")
     pm = Pipeline(stages=[idx, *prep.getStages(), D.learner("rf", "y", "features", numTrees=10, maxDepth=5)]) \
         .fit(D.stable_order(train, "event_id"))
-    path = f"{spark.conf.get('spark.checkpoint.dir')}/models/{uuid.uuid4().hex}"
+    from ..session import checkpoint_root
+    path = f"{checkpoint_root(spark)}/models/{uuid.uuid4().hex}"
     io.save_model(pm, path, NUM_COLS + CAT_COLS)
     back = io.load_model(path)
     a = pm.transform(test).select("event_id", F.col("prediction").alias("p_before"))

@@ -40,17 +40,33 @@ def get_spark(master: str | None = None, app: str = "twinstage", **conf: str) ->
     return spark
 
 
+def checkpoint_root(spark: SparkSession) -> str | None:
+    """The shared folder for checkpoints, stream state and written tables."""
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        return conf
+    current = spark.sparkContext.getCheckpointDir()
+    return current.rsplit("/", 1)[0] if current else None  # Spark adds a per-app subfolder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only local runs get a scratch one."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(current)
         return current
+    existing = checkpoint_root(spark)
+    if existing:
+        return existing
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="twinstage-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # noqa: BLE001 — some deployments reject core confs at run time
+        pass
     spark.sparkContext.setCheckpointDir(path)
     return path
 

@@ -70,8 +70,9 @@ def run_available(agg: DataFrame, base_dir: str | None = None, name: str | None
     """Run a streaming aggregate over everything available now, then read back
     the final count per window. Output and stream checkpoint live under
     ``spark.checkpoint.dir`` (shared), never on a machine-local path."""
+    from ..session import checkpoint_root
     spark = agg.sparkSession
-    root = base_dir or spark.conf.get("spark.checkpoint.dir")
+    root = base_dir or checkpoint_root(spark)
     tag = name or uuid.uuid4().hex
     out, ckpt = f"{root}/streams/{tag}/out", f"{root}/streams/{tag}/checkpoint"
 
