@@ -38,6 +38,21 @@ SIEM_EXPRS = [
     "ELSE 'beaconing' END AS attack_type",
 ]
 
+# flow log from `lineitem` (ports, bytes per FIXTURES.md) in the SIEM log schema:
+# a large table to score with models trained on the SIEM stand-in
+FLOW_EXPRS = [
+    "l_orderkey * 8 + l_linenumber AS event_id",
+    "CAST(l_shipdate AS STRING) AS timestamp",
+    "'10.0.' || CAST(l_suppkey % 256 AS STRING) || '.1' AS src_ip",
+    "CASE WHEN l_partkey % 5 = 0 THEN '8.8.8.8' ELSE '192.168.0.' || CAST(l_partkey % 256 AS STRING) END AS dst_ip",
+    "l_suppkey AS src_port", "l_partkey AS dst_port",
+    "CASE l_linestatus WHEN 'F' THEN 'tcp' ELSE 'udp' END AS protocol",
+    "l_extendedprice AS bytes_sent", "l_quantity AS bytes_received",
+    "'/' || l_returnflag || '?q=' || CAST(l_linenumber AS STRING) AS url",
+    "CASE l_linenumber % 4 WHEN 0 THEN 'curl/8.0' WHEN 1 THEN 'Mozilla/5.0' ELSE NULL END AS user_agent",
+    "CASE l_returnflag WHEN 'N' THEN 'benign' WHEN 'A' THEN 'port-scan' ELSE 'ddos' END AS attack_type",
+]
+
 # events.value as text with ±inf / NaN and nulls put in (non-finite and missing roles)
 DIRTY_VALUE_EXPRS = [
     "event_id", "user_id", "event_type",
@@ -74,6 +89,10 @@ def siem(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").selectExpr(*SIEM_EXPRS)
 
 
+def flows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").selectExpr(*FLOW_EXPRS)
+
+
 def dirty_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").selectExpr(*DIRTY_VALUE_EXPRS)
 
