@@ -43,9 +43,11 @@ def holdout_split(df: DataFrame, y: str, id_col: str, test_size: float = 0.2, se
     n_test = math.ceil(test_size * n)
     alloc = allocate_test_counts(counts, n_test)
     ranked = hashed_rank(df, id_col, seed, partition=[y], lead=[], group_counts=rows)
-    quota = F.lit(0)
-    for c, m in alloc.items():
-        quota = F.when(F.col(y).eqNullSafe(F.lit(c)), F.lit(m)).otherwise(quota)
+    # per-class quota as a literal map (one lookup per row, any number of classes);
+    # map keys cannot be null, so a null class is looked up separately
+    pairs = [x for c, m in alloc.items() if c is not None for x in (F.lit(c), F.lit(m))]
+    lookup = F.element_at(F.create_map(*pairs), F.col(y)) if pairs else F.lit(None)
+    quota = F.when(F.col(y).isNull(), F.lit(alloc.get(None, 0))).otherwise(F.coalesce(lookup, F.lit(0)))
     return ranked.withColumn(out, (F.col("_rank") <= quota).cast("int")).drop("_rank")
 
 
