@@ -79,9 +79,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def stable_order(df: DataFrame, id_col: str, partitions: int | None = None) -> DataFrame:
     """Repeatable MLlib training: tree learners sample per partition, so fix the
-    partitioning (hash of the id) and the order inside each partition."""
+    partitioning (hash of the id) and the order inside each partition — and
+    write it once to the checkpoint folder, so the many fitting jobs (imputers,
+    indexers, every tree level) read it instead of re-running the shuffle."""
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, id_col).sortWithinPartitions(id_col)
+    return checkpointed(df.repartition(n, id_col).sortWithinPartitions(id_col))
 
 
 def validation_flag(id_col: str, frac: float = 0.1, seed: int = 7) -> F.Column:

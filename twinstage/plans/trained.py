@@ -166,3 +166,21 @@ def save_load(spark: SparkSession, d: str) -> DataFrame:
     b = back.transform(test).select("event_id", F.col("prediction").alias("p_after"))
     return a.join(b, "event_id").select("event_id", "p_before", "p_after",
                                         (F.col("p_before") == F.col("p_after")).cast("int").alias("same"))
+
+
+@register("stream_model_alerts")
+def stream_model_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """X1 with a trained cascade: fitted on the batch hold-out train rows, applied
+    to the events log read as a stream; alerts per (day, predicted class)."""
+    from ..functions.labels import attack_group
+    from ..functions.scalar import parse_timestamp
+    from ..operators.features import add_features
+    from ..session import table
+    from ..streaming.scoring import alert_counts, read_log_stream, run_available, score_stream_model
+    from . import fixtures as X
+    train, _ = holdout(spark, d)
+    model = C.fit_two_stage(D.stable_order(train, "event_id"), spec())
+    ev = read_log_stream(spark, d, table(spark, d, "events").schema, file_glob="events.parquet")
+    feats = add_features(ev.selectExpr(*X.SIEM_EXPRS)).withColumn(LABEL, attack_group("attack_type"))
+    feats = feats.withColumn("_ts", parse_timestamp("timestamp")).where(F.col("_ts").isNotNull())
+    return run_available(alert_counts(score_stream_model(feats, model), "_ts"))
