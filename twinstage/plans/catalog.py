@@ -973,9 +973,9 @@ SELECT time_bucket(INTERVAL '1 day', t) AS window_start, y_pred, CAST(count(*) A
 FROM c GROUP BY 1, 2""")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.features import add_features
-    from ..streaming.scoring import alert_counts, read_log_stream, run_available, score_stream_rules
+    from ..streaming.scoring import alert_counts, read_table_stream, run_available, score_stream_rules
     schema = table(spark, d, "events").schema
-    ev = read_log_stream(spark, d, schema, file_glob="events.parquet")
+    ev = read_table_stream(spark, d, "events", schema)
     feats = add_features(ev.selectExpr(*X.SIEM_EXPRS))
     feats = feats.withColumn("_ts", S.parse_timestamp("timestamp")).where(F.col("_ts").isNotNull())
     scored = score_stream_rules(feats, _risk_score(), _risk_class(), 0.1, "benign")

@@ -176,11 +176,11 @@ def stream_model_alerts(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.scalar import parse_timestamp
     from ..operators.features import add_features
     from ..session import table
-    from ..streaming.scoring import alert_counts, read_log_stream, run_available, score_stream_model
+    from ..streaming.scoring import alert_counts, read_table_stream, run_available, score_stream_model
     from . import fixtures as X
     train, _ = holdout(spark, d)
     model = C.fit_two_stage(D.stable_order(train, "event_id"), spec())
-    ev = read_log_stream(spark, d, table(spark, d, "events").schema, file_glob="events.parquet")
+    ev = read_table_stream(spark, d, "events", table(spark, d, "events").schema)
     feats = add_features(ev.selectExpr(*X.SIEM_EXPRS)).withColumn(LABEL, attack_group("attack_type"))
     feats = feats.withColumn("_ts", parse_timestamp("timestamp")).where(F.col("_ts").isNotNull())
     return run_available(alert_counts(score_stream_model(feats, model), "_ts"))

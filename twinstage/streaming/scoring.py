@@ -31,6 +31,16 @@ def read_log_stream(spark: SparkSession, folder: str, schema: T.StructType, file
     return r.load(folder)
 
 
+def read_table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
+    """A driver table as a file stream: a folder of parts is streamed as is; a
+    single ``<name>.parquet`` file is picked out of its folder by a glob."""
+    import os
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if os.path.isdir(path):
+        return read_log_stream(spark, path, schema)
+    return read_log_stream(spark, sf_dir, schema, file_glob=f"{name}.parquet")
+
+
 def score_stream_rules(stream: DataFrame, score: Column, stage2: Column, threshold: float, benign: str,
                        pred_col: str = "y_pred") -> DataFrame:
     """C3–C4 on a stream: the rule cascade is two filtered branches and a union."""
