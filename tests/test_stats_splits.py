@@ -167,3 +167,12 @@ def test_hot_class_is_spread_over_buckets(spark):
     per = ranked.groupBy("y").agg(F.min("_rank").alias("lo"), F.max("_rank").alias("hi"), F.count("*").alias("n"))
     assert all(r.lo == 1 and r.hi == r.n for r in per.collect())
     assert ranked.select("y", "_rank").distinct().count() == n
+
+
+def test_time_split_on_text_timestamps(spark):
+    rows = [(i, f"2024-01-{1 + i % 28:02d} 00:00:{i % 60:02d}" if i % 7 else "bad") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    s = R.time_split(df, "t", "id", 0.7)
+    assert s.columns == ["id", "t", "is_train"]
+    assert s.agg(F.sum("is_train")).first()[0] == 210
+    assert s.where("t = 'bad' AND is_train = 1").count() == 0  # unparseable sorts last

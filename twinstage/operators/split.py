@@ -79,8 +79,14 @@ def time_split(df: DataFrame, ts: str, id_col: str, train_frac: float = 0.7,
     """Sort by (ts nulls last, id), the first ⌊n·frac⌋ rows are train.
 
     The cut key is found by exact distributed selection; the split itself is
-    then a per-row comparison (no global sort, no shuffle).
+    then a per-row comparison (no global sort, no shuffle). A text ``ts`` is
+    parsed first (unparseable → null → last, like pandas' NaT).
     """
+    if dict(df.dtypes)[ts] not in ("timestamp", "timestamp_ntz"):
+        from ..functions.scalar import parse_timestamp
+        parsed = f"__{ts}_parsed"
+        out_df = time_split(df.withColumn(parsed, parse_timestamp(ts)), parsed, id_col, train_frac, out)
+        return out_df.drop(parsed)
     n = df.count()
     cut = int(n * train_frac)
     if cut <= 0:
