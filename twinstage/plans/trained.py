@@ -184,3 +184,20 @@ def stream_model_alerts(spark: SparkSession, d: str) -> DataFrame:
     feats = add_features(ev.selectExpr(*X.SIEM_EXPRS)).withColumn(LABEL, attack_group("attack_type"))
     feats = feats.withColumn("_ts", parse_timestamp("timestamp")).where(F.col("_ts").isNotNull())
     return run_available(alert_counts(score_stream_model(feats, model), "_ts"))
+
+
+@register("stage1_roc_auc")
+def stage1_roc_auc(spark: SparkSession, d: str) -> DataFrame:
+    """C1 + E5 + E8: the binary stage alone — its ROC AUC (ties half) and
+    accuracy at the routing cut on held-out rows, as the reference reports for
+    its benign-vs-attack stage."""
+    from ..functions.labels import binary_label
+    train, test = holdout(spark, d)
+    model = C.fit_two_stage(D.stable_order(train, "event_id"), spec())
+    scored = D.positive_probability(model.stage1.transform(test), "s1_probability", "p_attack") \
+        .withColumn("y", binary_label(LABEL, BENIGN)) \
+        .withColumn("y_hat", (F.col("p_attack") > F.lit(model.spec.threshold)).cast("int"))
+    scored = D.materialize(scored.select("y", "y_hat", "p_attack"))
+    auc = E.roc_auc(scored, "y", "p_attack")
+    acc = E.accuracy(scored, "y", "y_hat")
+    return auc.withColumn("accuracy", F.lit(acc.first()["accuracy"]))  # one-row result
