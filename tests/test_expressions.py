@@ -124,3 +124,17 @@ def test_flag_to_int_operator(spark):
     from twinstage.operators.clean import flag_to_int
     df = spark.createDataFrame([("True", 1), ("false", 2)], "is_internal string, x int")
     assert [r.is_internal for r in flag_to_int(df, ["is_internal", "absent"]).collect()] == [1, 0]
+
+
+def test_label_operators_and_format_list(spark):
+    from twinstage.operators import labels as LO
+    df = spark.createDataFrame([(" Normal ",), ("DoS",), ("Exploits",), ("DoS",)], "c string")
+    assert LO.find_label(df, "c", "normal") == " Normal "
+    assert LO.distinct_labels(df, "c") == [" Normal ", "DoS", "Exploits"]
+    enc = LO.fit_label_encoder(df, "c", "i")
+    back = LO.decode_labels(enc.transform(df), enc, "i", "c2").collect()
+    assert [r.c for r in back] == [r.c2 for r in back]
+    ts = S.parse_timestamp("t", ["dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss"])
+    out = one(spark, [("06/01/2024 10:30",), ("2024-01-07 23:00:00",), ("nope",)], "t string",
+              S.hour_of(ts).alias("h"), S.day_of_week(ts).alias("d"))
+    assert [(r.h, r.d) for r in out] == [(10, 5), (23, 6), (None, None)]

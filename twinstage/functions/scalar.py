@@ -75,14 +75,17 @@ def bool_text_to_int(c) -> Column:
 
 # -- F1–F4 time ------------------------------------------------------------
 
-def parse_timestamp(c, fmt: str | None = None, zoned: bool = False) -> Column:
+def parse_timestamp(c, fmt: str | list[str] | None = None, zoned: bool = False) -> Column:
     """Parse text to a timestamp; unparseable → null (never an ANSI error).
 
     Default: a zone-free TIMESTAMP_NTZ (pandas' naive parse), so hour, weekday
     and windows are the written wall-clock values in any session time zone.
-    ``zoned=True`` (the ``utc=True`` variant) yields an instant in the session zone.
+    ``fmt`` may be a list: the first format that parses wins (non-ISO logs mix
+    forms). ``zoned=True`` (the ``utc=True`` variant) yields an instant.
     """
     c = col_of(c).cast("string")
+    if isinstance(fmt, (list, tuple)):
+        return F.coalesce(*[parse_timestamp(c, f, zoned) for f in fmt])
     if zoned:
         return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
     if fmt:

@@ -351,26 +351,27 @@ def label_repair(spark: SparkSession, d: str) -> DataFrame:
 WITH b AS (SELECT min(lang) AS benign FROM documents WHERE lower(trim(lang)) = 'en')
 SELECT doc_id, lang, CAST(COALESCE(lang <> (SELECT benign FROM b), true) AS INTEGER) AS is_attack FROM documents""")
 def binary_label(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.labels import find_label
     docs = table(spark, d, "documents")
-    # L4: the benign spelling, found ignoring case and padding (a one-row result)
-    benign = docs.where(F.lower(F.trim("lang")) == "en").agg(F.min("lang")).first()[0]
+    benign = find_label(docs, "lang", "en")  # L4: ignoring case and padding
     return docs.select("doc_id", "lang", L.binary_label("lang", benign or "en").alias("is_attack"))
 
 
 @register("label_encode", """
 SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang_idx FROM documents""")
 def label_encode(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.feature import StringIndexer
+    from ..operators.labels import fit_label_encoder
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    m = StringIndexer(inputCol="lang", outputCol="lang_idx", stringOrderType="alphabetAsc").fit(docs)
+    m = fit_label_encoder(docs, "lang", "lang_idx")
     return m.transform(docs).withColumn("lang_idx", F.col("lang_idx").cast("int"))
 
 
 @register("distinct_labels", """
 SELECT lang, CAST(count(*) OVER () AS BIGINT) AS n_classes FROM (SELECT DISTINCT lang FROM documents)""")
 def distinct_labels(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.labels import distinct_labels as labels_of
     u = table(spark, d, "documents").select("lang").distinct()
-    n = u.count()  # L6: class count of a class-sized table
+    n = len(labels_of(u, "lang"))  # L6: class count of a class-sized table
     return u.withColumn("n_classes", F.lit(n).cast("long"))
 
 
