@@ -40,13 +40,13 @@ def confusion(df: DataFrame, y_true: str, y_pred: str, labels: Sequence | None =
 
     The k×k grid is generated from the bounded label list (no join of data to data).
     """
-    labels = list(labels) if labels is not None else label_set(df, y_true, y_pred)
+    cnt = checkpointed(pair_counts(df, y_true, y_pred))  # ≤ k² rows; the data is scanned once
+    labels = list(labels) if labels is not None else label_set(cnt, "y_true", "y_pred")
     dtype = df.schema[y_true].dataType
     arr = F.array(*[F.lit(v).cast(dtype) for v in labels]) if labels else F.array().cast(f"array<{dtype.simpleString()}>")
     # k×k grid from two generators over the bounded label list (no join, no Python rows)
     grid = (df.sparkSession.range(1).select(F.explode(arr).alias("y_true"))
             .select("y_true", F.explode(arr).alias("y_pred")))
-    cnt = pair_counts(df, y_true, y_pred)
     cond = [grid["y_true"].eqNullSafe(cnt["y_true"]), grid["y_pred"].eqNullSafe(cnt["y_pred"])]
     return grid.join(cnt, cond, "left").select(grid["y_true"], grid["y_pred"],
                                                F.coalesce(cnt["count"], F.lit(0)).cast("long").alias("count"))
