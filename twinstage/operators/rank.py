@@ -132,17 +132,18 @@ def kth_smallest(df: DataFrame, key: str, k: int, where: Column | None = None,
     raise RuntimeError("selection did not converge")
 
 
-def kth_in_order(df: DataFrame, ts: str, id_col: str, k: int):
-    """Key (ts, id) of the k-th row (0-based) in the order ts ascending nulls last, then id."""
-    stat = df.agg(F.count(F.col(ts)).alias("nn"), F.count(F.lit(1)).alias("n")).first()
-    if k < stat["nn"]:
+def kth_in_order(df: DataFrame, ts: str, id_col: str, k: int, non_null: int | None = None):
+    """Key (ts, id) of the k-th row (0-based) in the order ts ascending nulls last, then id.
+    ``non_null``: the count of non-null ``ts`` if the caller already has it."""
+    nn = non_null if non_null is not None else df.agg(F.count(F.col(ts))).first()[0]
+    if k < nn:
         # timestamps: select on epoch microseconds so the integer path applies
         from ..functions.scalar import epoch_micros
         micros = df.select(epoch_micros(ts, dict(df.dtypes)[ts]).alias("_us"), F.col(id_col))
         t_us, j = kth_smallest(micros, "_us", k)
         id_k, _ = kth_smallest(micros, id_col, j, where=F.col("_us") == F.lit(t_us))
         return t_us, id_k
-    id_k, _ = kth_smallest(df, id_col, k - stat["nn"], where=F.col(ts).isNull())
+    id_k, _ = kth_smallest(df, id_col, k - nn, where=F.col(ts).isNull())
     return None, id_k
 
 

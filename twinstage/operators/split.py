@@ -87,13 +87,14 @@ def time_split(df: DataFrame, ts: str, id_col: str, train_frac: float = 0.7,
         parsed = f"__{ts}_parsed"
         out_df = time_split(df.withColumn(parsed, parse_timestamp(ts)), parsed, id_col, train_frac, out)
         return out_df.drop(parsed)
-    n = df.count()
+    stat = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(ts)).alias("nn")).first()  # one pass
+    n = stat["n"]
     cut = int(n * train_frac)
     if cut <= 0:
         return df.withColumn(out, F.lit(0))
     if cut >= n:
         return df.withColumn(out, F.lit(1))
-    t_us, id_k = kth_in_order(df, ts, id_col, cut - 1)
+    t_us, id_k = kth_in_order(df, ts, id_col, cut - 1, non_null=stat["nn"])
     from ..functions.scalar import epoch_micros
     us = epoch_micros(ts, dict(df.dtypes)[ts])
     i = F.col(id_col)
