@@ -142,3 +142,15 @@ def test_roc_drop_intermediate_matches_rule(spark):
     got = sorted((r.threshold, r.tp, r.fp) for r in E.roc_points(df, "y", "s", drop_intermediate=True).collect()
                  if r.threshold != float("inf"))
     assert got == exp and len(got) < len(full)
+
+
+def test_published_layout_golden(spark):
+    fits = spark.createDataFrame([("UNSW_official", "two_stage", "stage1", 82332, 3.85),
+                                  ("UNSW_official", "two_stage", "stage2", 82332, 27.16)],
+                                 "dataset string, model string, stage string, rows long, seconds double")
+    preds = spark.createDataFrame([("UNSW_official", "two_stage", "predict", 0, 175341, 1.2551748200319708)],
+                                  "dataset string, model string, stage string, repeat int, rows long, seconds double")
+    r = RS.published_layout(fits, preds).first()
+    assert (r.train_rows, r.test_rows) == (82332, 175341)
+    assert abs(r.fit_time_s - 31.01) < 1e-9 and round(r.rows_per_sec) == 139694
+    assert r.notes == "fit_stage1=3.85s; fit_stage2=27.16s"

@@ -141,3 +141,21 @@ def stage_totals(fit_times: DataFrame, keys: Sequence[str] = ("dataset", "model"
     """Total fit time of a cascade = sum over its stages."""
     return fit_times.groupBy(*keys).agg(F.sum(seconds).alias("fit_time_s"),
                                         F.count(seconds).cast("long").alias("stages"))
+
+
+def published_layout(fits: DataFrame, predicts: DataFrame) -> DataFrame:
+    """B2: the run-time table in the reference's published column layout.
+
+    ``fits``: (dataset, model, stage, rows, seconds) — one row per fitted stage,
+    summed per cascade (B3). ``predicts``: timed predict repeats as for B1.
+    """
+    fit = fits.groupBy("dataset", "model").agg(
+        F.sum("seconds").alias("fit_time_s"), F.max("rows").cast("long").alias("train_rows"),
+        F.concat_ws("; ", F.sort_array(F.collect_list(
+            F.concat(F.lit("fit_"), F.col("stage"), F.lit("="), F.format_number("seconds", 2), F.lit("s"))))
+        ).alias("notes"))
+    pred = throughput(predicts)
+    return fit.join(pred, ["dataset", "model"], "inner").select(
+        "dataset", "model", "train_rows", F.col("rows").alias("test_rows"), "fit_time_s",
+        F.col("time_mean_s").alias("pred_time_mean_s"), F.col("time_std_s").alias("pred_time_std_s"),
+        "rows_per_sec", "notes")
