@@ -43,7 +43,7 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.Str
 
 def score_stream_rules(stream: DataFrame, score: Column, stage2: Column, threshold: float, benign: str,
                        pred_col: str = "y_pred") -> DataFrame:
-    """C3–C4 on a stream: the rule cascade is two filtered branches and a union."""
+    """C3–C4 on a stream: one pass, stage 2 evaluated only for routed rows (lazy CASE)."""
     return rule_cascade(stream, score, stage2, threshold, benign, pred_col)
 
 
