@@ -52,6 +52,18 @@ _NO_ID = np.iinfo(np.int64).max
 # anchors of one group of documents
 # ---------------------------------------------------------------------------
 
+def _blocks(offsets: np.ndarray) -> list[int]:
+    """Cuts of a group's bytes: at starts of documents, and inside documents longer than a block at
+    multiples of it, so that they do not depend on the order of the documents."""
+    cuts = [0]
+    for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if j - cuts[-1] > BLOCK:
+            if i > cuts[-1]:
+                cuts.append(i)
+            cuts += range(i + BLOCK, j, BLOCK)
+    return [*cuts, int(offsets[-1])]
+
+
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     """(at, low, high, hash): strings starting at low..high have their anchor q-gram at ``at``."""
     q = length // 2
@@ -59,8 +71,11 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     up, down = X.powers(BLOCK + 2 * length)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     parts = []
-    for s in range(0, max(len(data) - length + 1, 0), BLOCK):
-        n = min(BLOCK, len(data) - length + 1 - s)  # strings that start in this block
+    cuts = _blocks(offsets)
+    for s, e in zip(cuts, cuts[1:]):
+        n = min(e, len(data) - length + 1) - s  # strings that start in this block
+        if n <= 0:
+            break
         seg = data[s:s + n + length - 1]
         total = np.zeros(len(seg) + 1, np.uint64)
         np.cumsum(X.BYTE_CODES[seg] * up[:len(seg)], out=total[1:])
