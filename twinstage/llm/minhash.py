@@ -169,9 +169,15 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
               .join(first, ["a", "b"], "left_anti"))
     second = X.stored(second, "pairs")
     more = _confirmed(second, docs, classes, shingle, percent)
-    found = X.components(links.union(more)).withColumnRenamed("node", "cls")
+    # the second round's links join components of the first: only their roots are worked on
+    ends = more.select(F.struct("a", "b").alias("link"), F.explode(F.array("a", "b")).alias("node"))
+    ends = ends.join(found, "node", "left").groupBy("link").agg(F.min(F.coalesce("root", "node")).alias("a"),
+                                                                 F.max(F.coalesce("root", "node")).alias("b"))
+    merged = X.components(ends.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    found = found.withColumnRenamed("node", "cls")
 
     labelled = classes.select("cls", "rep").join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    labelled = labelled.join(merged, "root", "left").select("cls", "rep", F.coalesce("top", "root").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     return members.select("id", "n_shingles", "cls"), X.stored(labelled.join(lowest, "root"), "components")
 
@@ -193,13 +199,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id. Rows without words all stay."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     _, classes = near_duplicate_classes(rows, shingle, percent)
-    chosen = (classes.where(F.col("rep").eqNullSafe(F.col("component_id")))
-              .groupBy("root").agg(F.min("cls").alias("c"), F.first("rep").alias("keep_id")).drop("root"))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"),
+    chosen = (classes.where(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy("root")
+              .agg(F.min(F.struct("cls", "rep")).alias("c")).select("c.cls", _text_key("c.rep").alias("key"), F.lit(True).alias("pick")))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _text_key(docs[id_col]).alias("key"),
                         docs[text_col].alias("text"))
     tagged = fingerprints(whole, "text", shingle, None)
-    one = Window.partitionBy("id", "cls").orderBy("id")
-    kept = (tagged.where(F.col("cls").isNotNull())
-            .join(chosen, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("cls") == F.col("c")))
-            .withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row"))
-    return kept.union(tagged.where(F.col("cls").isNull()).select("row")).select("row.*")
+    nth = F.row_number().over(Window.partitionBy("key", "cls").orderBy("key"))  # 2 and more: rows that repeat id and text
+    kept = tagged.join(chosen, ["key", "cls"], "left").where(F.col("cls").isNull() | F.col("pick")).withColumn("nth", nth)
+    return kept.where(F.col("cls").isNull() | (F.col("nth") == 1)).select("row.*")
+
+
+def _text_key(c):
+    """An id as text, null as a text that no integer has: a key for plain joins."""
+    return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("null"))
