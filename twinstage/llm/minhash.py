@@ -12,8 +12,10 @@ threshold dropped, and what is left is confirmed on the full shingle sets.
 Components need no pair twice. A first round pairs each posting with the first
 class of its list (linear in the postings). A second round pairs, inside a list,
 only classes that are still in different components, and only if one of the two is
-outside the list's largest component: a group of near copies never expands into
-all its pairs. Both rounds are plain equi-joins, which Spark splits at hot keys.
+outside the list's largest component. Who meets anyone is found by semi-joins; then the
+sets travel with the postings, and a pair is confirmed inside the join, at its first
+common value: a group of near copies never expands into its pairs, only links leave
+the join. Both rounds are plain equi-joins, which Spark splits at hot keys.
 
 A pair at a similarity of exactly 0.8 agrees on fewer than 13 of 32 coordinates
 with a probability of 2e-7; above 0.8 it is less. Nothing else can lose a link.
@@ -105,36 +107,32 @@ def _collisions(a: str, b: str):
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union."""
-    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-              .join(classes.select("cls", "rep"), "cls"))
+def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """(cls, hashes): the full shingle set of each wanted class, made anew from the text of one member."""
+    wanted = wanted.distinct().join(classes.select("cls", "rep"), "cls")
 
     def sets(batches):
         for b in batches:
             got = list(shingle_sets(b.column("text"), shingle))
             cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in got]
             keep = pa.array([c == w for c, w in zip(cls, b.column("cls").to_pylist())], pa.bool_())
-            out = pa.RecordBatch.from_arrays([b.column("cls"), pa.array([s.tobytes() for s in got], pa.binary())],
+            out = pa.RecordBatch.from_arrays([b.column("cls"), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))],
                                              names=["cls", "hashes"])
             yield out.filter(keep)
 
-    def same(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     full = (docs.join(wanted, docs["id"].eqNullSafe(wanted["rep"])).select("cls", "text")
-            .mapInArrow(sets, "cls binary, hashes binary").groupBy("cls").agg(F.first("hashes").alias("hashes")))
-    full = X.stored(full, "sets")
-    x = full.select(F.col("cls").alias("a"), F.col("hashes").alias("x"))
-    y = full.select(F.col("cls").alias("b"), F.col("hashes").alias("y"))
-    return X.stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-                    .mapInArrow(same, "a binary, b binary"), "links")
+            .mapInArrow(sets, "cls binary, hashes array<long>").groupBy("cls").agg(F.first("hashes").alias("hashes")))
+    return X.stored(full, "sets")
+
+
+def _similar(x, y, percent: int):
+    """100 * intersection >= percent * union, on full sets."""
+    both = F.size(F.array_intersect(x, y))
+    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+
+
+def _semi(rows: DataFrame, others: DataFrame, cond) -> DataFrame:
+    return rows.join(others.withColumnRenamed("key", "o_key"), (F.col("key") == F.col("o_key")) & cond, "left_semi")
 
 
 def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, lanes: int = LANES,
@@ -151,7 +149,9 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
              .where(_collisions("sig", "p.sig") >= threshold)
              .select(F.greatest("cls", "p.cls").alias("a"), F.least("cls", "p.cls").alias("b")).distinct())
     first = X.stored(first, "pairs")
-    links = _confirmed(first, docs, classes, shingle, percent)
+    full = _sets(first.select(F.explode(F.array("a", "b")).alias("cls")), docs, classes, shingle)
+    x, y = full.toDF("a", "x"), full.toDF("b", "y")
+    links = X.stored(first.join(y, "b").join(x, "a").where(_similar("x", "y", percent)).select("a", "b"), "links")
     found = X.components(links)
 
     now = (posted.join(found.withColumnRenamed("node", "cls"), "cls", "left")
@@ -159,16 +159,25 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
     sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = (sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("k"))
                .where("k > 1").select("key", F.col("m.root").alias("top")))
-    open_ = now.join(largest, "key").select("key", "cls", "root", "sig", (F.col("root") == F.col("top")).alias("main"))
-    open_ = X.stored(open_, "open")
-    left = open_.where(~F.col("main")).select("key", *[F.col(c).alias(f"l_{c}") for c in ("cls", "root", "sig")])
-    second = (left.join(open_, "key").where((F.col("root") != F.col("l_root"))
-                                            & (F.col("main") | (F.col("l_cls") < F.col("cls")))
-                                            & (_collisions("sig", "l_sig") >= threshold))
-              .select(F.greatest("cls", "l_cls").alias("a"), F.least("cls", "l_cls").alias("b")).distinct()
-              .join(first, ["a", "b"], "left_anti"))
-    second = X.stored(second, "pairs")
-    more = _confirmed(second, docs, classes, shingle, percent)
+    open_ = X.stored(now.join(largest, "key").select("key", "cls", "root", "sig", (F.col("root") == F.col("top")).alias("main")), "open")
+
+    # who meets anyone of another component at all (no pairs yet), then the meeting itself: the sets come along,
+    # so that a pair is confirmed where it arises, at its first common value, and only links leave the join
+    def other(d: DataFrame) -> DataFrame:
+        return d.select("key", *[F.col(c).alias(f"o_{c}") for c in d.columns if c != "key"])
+
+    apart = (F.col("root") != F.col("o_root")) & (_collisions("sig", "o_sig") >= threshold)
+    outside = X.stored(_semi(open_.where(~F.col("main")), other(open_), apart), "outside")
+    inside = _semi(open_.where("main"), other(outside), apart)
+    both = X.stored(outside.union(inside), "meeting")
+    full = _sets(both.select("cls"), docs, classes, shingle)
+    keys = both.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # at most `lanes` of them
+    both = both.join(keys, "cls").join(full, "cls")
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "o_keys"))
+    more = (both.where(~F.col("main")).join(other(both), "key")
+            .where((F.col("o_main") | (F.col("cls") < F.col("o_cls"))) & apart & once & _similar("hashes", "o_hashes", percent))
+            .select(F.col("cls").alias("a"), F.col("o_cls").alias("b")))
+    more = X.stored(more, "links")
     # the second round's links join components of the first: only their roots are worked on
     ends = more.select(F.struct("a", "b").alias("link"), F.explode(F.array("a", "b")).alias("node"))
     ends = ends.join(found, "node", "left").groupBy("link").agg(F.min(F.coalesce("root", "node")).alias("a"),
