@@ -94,7 +94,8 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int):
         stop = np.ones(n, bool)
         stop[:-1] = (at[1:] != at[:-1]) | ~ok[1:]
         last = np.flatnonzero(stop & ok)
-        parts.append((at[first] + s, first + s, last + s, h[at[first]]))
+        # an anchor's hash is a minimum, so small: mixed again, its leading bits deal buckets out evenly
+        parts.append((at[first] + s, first + s, last + s, X.mix64(h[at[first]] + np.uint64(0x9E3779B97F4A7C15))))
     if not parts:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
