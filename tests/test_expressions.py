@@ -130,7 +130,7 @@ def test_label_operators_and_format_list(spark):
     from twinstage.operators import labels as LO
     df = spark.createDataFrame([(" Normal ",), ("DoS",), ("Exploits",), ("DoS",)], "c string")
     assert LO.find_label(df, "c", "normal") == " Normal "
-    assert LO.distinct_labels(df, "c") == [" Normal ", "DoS", "Exploits"]
+    assert [r.c for r in LO.distinct_labels(df, "c").collect()] == [" Normal ", "DoS", "Exploits"]
     enc = LO.fit_label_encoder(df, "c", "i")
     back = LO.decode_labels(enc.transform(df), enc, "i", "c2").collect()
     assert [r.c for r in back] == [r.c2 for r in back]

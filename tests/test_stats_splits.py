@@ -1,7 +1,6 @@
 """Aggregates, exact selection and split properties (§5.2 item 3)."""
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from twinstage.operators import rank as RK
@@ -13,7 +12,7 @@ from twinstage.operators.prep import MedianImputer, ModeImputer, PopStandardScal
 def test_median_is_interpolated(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (10.0,), (20.0,), (None,)], "x double")
     assert A.medians(df, ["x"]).first().x == 6.0
-    m = MedianImputer(inputCols=["x"], method="select").fit(df)
+    m = MedianImputer(inputCols=["x"]).fit(df)
     assert float(m.getOrDefault(m.surrogates)[0]) == 6.0
     assert [r.x for r in m.transform(df).collect()][-1] == 6.0
 
@@ -52,10 +51,10 @@ def test_kth_smallest_matches_sort(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     srt = sorted(v for v in vals if v is not None)
     for k in (0, 1, 1499, 2998, 2999):
-        v, _ = RK.kth_smallest(df, "x", k, finish_rows=10)
+        v, _ = RK.kth_smallest(df, "x", k, pivots=10)
         assert v == srt[k]
     ids = spark.range(0, 100000).withColumn("g", (F.col("id") % 3).cast("long"))
-    assert RK.kth_smallest(ids, "id", 77777, bins=64, finish_rows=8)[0] == 77777
+    assert RK.kth_smallest(ids, "id", 77777, pivots=64)[0] == 77777
 
 
 def _docs(spark, n=2000):
@@ -66,8 +65,7 @@ def _docs(spark, n=2000):
 
 def test_two_level_rank_equals_plain_rank(spark):
     df = _docs(spark)
-    rows = R.class_count_rows(df, "y")
-    fast = RK.hashed_rank(df, "id", 42, [], ["y"], rows, rows_per_bucket=20)  # forces many buckets
+    fast = RK.hashed_rank(df, "id", 42, [], ["y"], rows_per_bucket=20)  # forces many buckets
     from pyspark.sql import Window
     h = F.md5(F.concat(F.lit("42:"), F.col("id").cast("string")))
     plain = df.withColumn("r", F.row_number().over(Window.orderBy("y", h, "id")))
@@ -92,8 +90,7 @@ def test_holdout_sizes_exact(spark):
     df = _docs(spark)
     h = R.holdout_split(df, "y", "id", 0.2, 42)
     assert h.agg(F.sum("is_test")).first()[0] == 400
-    counts = {r.y: r["count"] for r in df.groupBy("y").count().collect()}
-    alloc = R.allocate_test_counts(counts, 400)
+    alloc = {r["_class"]: r["_quota"] for r in R.test_quotas(df, "y", 0.2).collect()}
     got = {r.y: r.t for r in h.groupBy("y").agg(F.sum("is_test").alias("t")).collect()}
     assert got == alloc
 
@@ -123,10 +120,36 @@ def test_time_split_order_and_nulls(spark):
     assert s95.where("is_train = 0 AND ts IS NOT NULL").count() == 0
 
 
-def test_bounded_refuses_large(spark):
-    from twinstage.operators.small import bounded
-    with pytest.raises(ValueError):
-        bounded(spark.range(100), max_rows=10)
+def test_selection_of_any_type_and_size(spark):
+    """70,000 tied rows, text ids, full-range 64-bit ids: one method, one answer."""
+    n = 70_000
+    df = spark.range(n).select(F.lit(None).cast("timestamp").alias("ts"), F.col("id"), F.xxhash64("id").alias("h"),
+                               F.concat(F.lit("e"), F.col("id").cast("string")).alias("t"))
+    assert R.time_split(df, "ts", "t", 0.7).agg(F.sum("is_train")).first()[0] == 49_000
+    assert R.time_split(df, "ts", "h", 0.7).agg(F.sum("is_train")).first()[0] == 49_000
+    text = sorted(f"e{i}" for i in range(n))
+    assert RK.kth_smallest(df, "t", 12_345)[0] == text[12_345]
+    ends = spark.createDataFrame([(-2**63,), (2**63 - 1,), (0,)], "x long")
+    assert [RK.kth_smallest(ends, "x", k)[0] for k in range(3)] == [-2**63, 0, 2**63 - 1]
+    ties = spark.range(n).select((F.col("id") % 2).alias("x"))
+    assert RK.kth_smallest(ties, "x", n // 2 + 5) == (1, 5)
+
+
+def test_median_with_nan_and_infinities(spark):
+    """A third NaN: missing, at every size."""
+    for n in (1000, 90_000):
+        df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).when(F.col("id") == 1, F.lit(float("inf")))
+                                   .otherwise(F.col("id").cast("double")).alias("x"))
+        m = MedianImputer(inputCols=["x"]).fit(df)
+        vals = sorted(float(i) for i in range(n) if i % 3 and i != 1)
+        k = len(vals)
+        assert float(m.getOrDefault(m.surrogates)[0]) == (vals[(k - 1) // 2] + vals[k // 2]) / 2
+        assert m.transform(df.where("isnan(x)")).limit(3).collect()[0].x == (vals[(k - 1) // 2] + vals[k // 2]) / 2
+
+
+def test_null_class_has_a_weight(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "y string")
+    assert sorted(r.weight for r in A.attach_weights(df, "y").collect()) == [0.75, 0.75, 1.5]
 
 
 def test_kth_smallest_many_matches_sort(spark):
@@ -134,18 +157,19 @@ def test_kth_smallest_many_matches_sort(spark):
     rows = [(rnd.random() * 100, float(rnd.randint(0, 5)), rnd.choice([None, 1.0, 2.0, 2.0, 1e9])) for _ in range(5000)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
     targets = [("a", 0), ("a", 2499), ("a", 2500), ("b", 4999), ("b", 1234), ("c", 0), ("c", 100)]
-    got = RK.kth_smallest_many(df, targets, bins=16, finish_rows=50)
+    got = RK.kth_smallest_many(df, targets, accuracy=50)
     for (c, k), v in zip(targets, got):
         col = sorted(r[["a", "b", "c"].index(c)] for r in rows if r[["a", "b", "c"].index(c)] is not None)
         assert v == col[k], (c, k)
 
 
-def test_select_median_equals_exact(spark):
+def test_select_median_equals_numpy(spark):
     rnd = random.Random(5)
-    df = spark.createDataFrame([(rnd.gauss(0, 1), rnd.choice([None, 3, 4, 4])) for _ in range(3001)], "x double, y int")
-    a = MedianImputer(inputCols=["x", "y"], method="select").fit(df)
-    b = MedianImputer(inputCols=["x", "y"], method="exact").fit(df)
-    assert a.getOrDefault(a.surrogates) == b.getOrDefault(b.surrogates)
+    rows = [(rnd.gauss(0, 1), rnd.choice([None, 3, 4, 4])) for _ in range(3001)]
+    df = spark.createDataFrame(rows, "x double, y int")
+    import statistics
+    row = A.medians(df, ["x", "y"]).first()
+    assert row.x == statistics.median(r[0] for r in rows) and row.y == statistics.median(r[1] for r in rows if r[1] is not None)
 
 
 def test_hot_class_is_spread_over_buckets(spark):
@@ -154,16 +178,13 @@ def test_hot_class_is_spread_over_buckets(spark):
     n = 30000
     df = spark.range(0, n).withColumn("y", F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.concat(F.lit("c"), (F.col("id") % 50).cast("string"))))
-    rows = R.class_count_rows(df, "y")
-    hot = max(r["count"] for r in rows)
-    assert hot >= n // 3
     target = 500
-    bits = RK.choose_bits(hot, len(rows), target)
-    assert 2 ** bits >= hot / target
     h = F.md5(F.concat(F.lit("42:"), F.col("id").cast("string")))
-    sizes = df.groupBy("y", RK.hash_bucket(h, bits).alias("b")).count()
+    counts = df.groupBy("y").count().withColumn("bits", RK.bucket_bits(F.col("count"), target))
+    sizes = df.join(counts, "y").groupBy("y", RK.hash_bucket(h, F.col("bits")).alias("b")).count()
     assert sizes.agg(F.max("count")).first()[0] <= 2 * target
-    ranked = RK.hashed_rank(df, "id", 42, ["y"], [], rows, rows_per_bucket=target)
+    assert sizes.where("y <> 'hot'").groupBy("y").count().agg(F.max("count")).first()[0] <= 2  # small classes aren't cut up
+    ranked = RK.hashed_rank(df, "id", 42, ["y"], [], rows_per_bucket=target)
     per = ranked.groupBy("y").agg(F.min("_rank").alias("lo"), F.max("_rank").alias("hi"), F.count("*").alias("n"))
     assert all(r.lo == 1 and r.hi == r.n for r in per.collect())
     assert ranked.select("y", "_rank").distinct().count() == n

@@ -7,8 +7,6 @@ from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .small import bounded_rows
-
 
 def find_label(df: DataFrame, col: str, name: str) -> str | None:
     """L4: the spelling of ``name`` actually used in ``col``, ignoring case and
@@ -26,7 +24,6 @@ def decode_labels(df: DataFrame, encoder: StringIndexerModel, idx_col: str, out:
     return IndexToString(inputCol=idx_col, outputCol=out, labels=encoder.labels).transform(df)
 
 
-def distinct_labels(df: DataFrame, col: str, max_classes: int = 10_000) -> list:
-    """The sorted distinct labels (a class-sized list, fetched behind a bound)."""
-    rows = bounded_rows(df.select(col).distinct(), max_classes, "labels")
-    return sorted((r[0] for r in rows), key=lambda v: (v is None, v))
+def distinct_labels(df: DataFrame, col: str) -> DataFrame:
+    """The distinct labels, sorted, null last (a table: any number of classes)."""
+    return df.select(col).distinct().orderBy(F.col(col).asc_nulls_last())

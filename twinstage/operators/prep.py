@@ -21,19 +21,17 @@ from pyspark.sql import functions as F
 from .stats import medians, modes
 
 
-EXACT_MEDIAN_MAX_ROWS = 2_000_000
-
-
-class _HasMethod(Params):
-    method = Param(Params._dummy(), "method", "median method: auto | exact | select | approx",
-                   typeConverter=TypeConverters.toString)
-
-
 class _HasSurrogates(Params):
     surrogates = Param(Params._dummy(), "surrogates", "fitted fill values",
                        typeConverter=TypeConverters.toListString)
 
 
+def _finite(c: str):
+    """The column as a double with NaN and ±inf as null."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+
+
 def _outs(stage) -> list[str]:
     return stage.getOutputCols() if stage.isDefined(stage.outputCols) else stage.getInputCols()
 
@@ -47,43 +45,23 @@ class MedianImputerModel(Model, HasInputCols, HasOutputCols, _HasSurrogates, Def
     def _transform(self, df: DataFrame) -> DataFrame:
         fills = {}
         for c, o, v in zip(self.getInputCols(), _outs(self), self.getOrDefault(self.surrogates)):
-            fills[o] = F.coalesce(F.col(c).cast("double"), F.lit(None if v == "" else float(v)).cast("double"))
+            fills[o] = F.coalesce(_finite(c), F.lit(None if v == "" else float(v)).cast("double"))
         return df.withColumns(fills)
 
 
-class MedianImputer(Estimator, HasInputCols, HasOutputCols, _HasMethod, DefaultParamsReadable, DefaultParamsWritable):
-    """M1: null → column median of the fitting table (all-null column stays null).
-
-    ``select``: exact interpolated median by batched distributed selection — a
-    few scans, memory bounded by histograms. ``exact``: Spark's ``median``
-    (buffers the values in one task). ``auto`` (default): ``exact`` when every
-    column has at most EXACT_MEDIAN_MAX_ROWS values, else ``select``.
-    ``approx``: ``percentile_approx``."""
+class MedianImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """M1: missing (null, NaN, ±inf) → exact interpolated median of the fitting table, by distributed
+    selection at every size; a column without values stays null."""
 
     @keyword_only
-    def __init__(self, inputCols=None, outputCols=None, method="auto"):
+    def __init__(self, inputCols=None, outputCols=None):
         super().__init__()
-        self._setDefault(method="auto")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> MedianImputerModel:
         cols = self.getInputCols()
-        method = self.getOrDefault(self.method)
-        counts = df.agg(*[F.count(c).alias(c) for c in cols]).first() if cols else {}
-        if method == "auto":
-            # Spark's exact median buffers up to n values in one task: allow it
-            # only where n is proven small, otherwise select (same result)
-            method = "exact" if max([counts[c] for c in cols], default=0) <= EXACT_MEDIAN_MAX_ROWS else "select"
-        if method == "select":
-            from .rank import kth_smallest_many
-            live = [c for c in cols if counts[c]]
-            targets = [(c, k) for c in live for k in ((counts[c] - 1) // 2, counts[c] // 2)]
-            got = kth_smallest_many(df, targets) if targets else []
-            med = {c: (got[2 * i] + got[2 * i + 1]) / 2.0 for i, c in enumerate(live)}
-            vals = [repr(float(med[c])) if c in med else "" for c in cols]
-        else:
-            row = medians(df, cols, method).first() if cols else None
-            vals = ["" if row is None or row[c] is None else repr(float(row[c])) for c in cols]
+        row = medians(df, cols).first() if cols else None
+        vals = ["" if row is None or row[c] is None else repr(float(row[c])) for c in cols]
         return MedianImputerModel(inputCols=cols, outputCols=_outs(self), surrogates=vals)
 
 
@@ -129,7 +107,7 @@ class PopStandardScalerModel(Model, HasInputCols, HasOutputCols, _HasScales, Def
 
     def _transform(self, df: DataFrame) -> DataFrame:
         m, s = self.getOrDefault(self.means), self.getOrDefault(self.scales)
-        return df.withColumns({o: (F.col(c).cast("double") - F.lit(mu)) / F.lit(sd)
+        return df.withColumns({o: (_finite(c) - F.lit(mu)) / F.lit(sd)
                                for c, o, mu, sd in zip(self.getInputCols(), _outs(self), m, s)})
 
 
@@ -143,7 +121,7 @@ class PopStandardScaler(Estimator, HasInputCols, HasOutputCols, DefaultParamsRea
 
     def _fit(self, df: DataFrame) -> PopStandardScalerModel:
         cols = self.getInputCols()
-        aggs = [x for c in cols for x in (F.avg(c), F.stddev_pop(c))]
+        aggs = [x for c in cols for x in (F.avg(_finite(c)), F.stddev_pop(_finite(c)))]
         row = df.agg(*aggs).first() if cols else []
         means, scales = [], []
         for i in range(len(cols)):
@@ -165,7 +143,7 @@ def one_hot_stages(cat_cols: list[str], out_cols: list[str] | None = None, tag:
 
 def build_preprocessor(num_cols: list[str], cat_cols: list[str], scale: bool = False,
                        encode: str = "onehot", features_col: str = "features",
-                       median_method: str = "auto", tag: str = "pp") -> Pipeline:
+                       tag: str = "pp") -> Pipeline:
     """M5: numeric → median impute (→ scale); categorical → mode impute → one-hot
     (or M6: plain index for tree learners); then one feature vector.
 
@@ -175,7 +153,7 @@ def build_preprocessor(num_cols: list[str], cat_cols: list[str], scale: bool = F
     stages, inputs = [], []
     if num_cols:
         imp = [f"{tag}_n_{c}" for c in num_cols]
-        stages.append(MedianImputer(inputCols=num_cols, outputCols=imp, method=median_method))
+        stages.append(MedianImputer(inputCols=num_cols, outputCols=imp))
         if scale:
             stages.append(PopStandardScaler(inputCols=imp, outputCols=imp))
         inputs += imp

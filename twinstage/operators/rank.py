@@ -3,132 +3,112 @@
 ``row_number() over (order by …)`` runs in one task, and ``partition by class``
 puts the biggest class in one task. Two operators replace it:
 
-* ``two_level_rank`` — exact global (or per-stratum) rank when the sort key has a
-  uniformly spread leading part (a hash). Rows are bucketed by the leading bits,
-  bucket sizes are counted, a running sum over that *small* table gives each
-  bucket's offset, and ``row_number`` runs only inside (stratum, bucket). The
-  number of buckets grows with the largest stratum, so every window partition
-  stays near ``rows_per_bucket`` however skewed the classes are.
-
-* ``kth_smallest`` — exact order statistic of a numeric key by histogram
-  refinement: each round is one pruned scan with a pushed-down range filter and
-  a map-side aggregate to at most ``bins`` rows, narrowing to one bin. Used for
-  the time-ordered cut (R4) and for bounded-memory exact medians. The result is
-  a threshold, so applying it is a filter — no shuffle, no sort.
+* ``hashed_rank`` — exact rank by (lead, hash of the id) within a partition. Rows
+  are bucketed by the leading bits of the hash, as many bits as *their own class*
+  needs: a class of a thousand rows is one bucket, one of 10^11 rows some 10^5, so
+  no window partition outgrows ``rows_per_bucket`` and small classes are not split.
+  A running sum over the table of bucket sizes gives each bucket's offset.
+
+* ``kth_smallest`` / ``kth_smallest_many`` — exact order statistics by narrowing an
+  open interval around the wanted rank: pivots from the data, one count per interval
+  (map-side aggregate), until a pivot *is* the answer. The same rounds at every size,
+  for every orderable type; the driver holds the pivots and their counts, never rows.
 """
 
 from __future__ import annotations
 
-import bisect
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .small import bounded_rows
-
-HASH_BITS = 20                 # bits of the md5 prefix available as bucket id
-ROWS_PER_BUCKET = 1 << 20      # target rows per (stratum, bucket) window partition
-MAX_OFFSET_ROWS = 1 << 21      # hard bound on the broadcast offset table
-
+HASH_BITS = 40                 # leading bits of the md5 used as bucket number
+ROWS_PER_BUCKET = 1 << 20      # target rows per (class, bucket) window partition
 
-def hash_bucket(h: Column, bits: int) -> Column:
-    """Leading ``bits`` of the hex hash as an int; monotone in the hash order."""
-    if bits <= 0:
-        return F.lit(0)
-    lead = F.conv(F.substring(h, 1, 5), 16, 10).cast("int")  # 20 leading bits
-    return F.shiftright(lead, HASH_BITS - bits)
 
+def hash_bucket(h: Column, bits: Column | int) -> Column:
+    """Leading ``bits`` of the hex hash as a long; monotone in the hash order."""
+    lead = F.conv(F.substring(h, 1, HASH_BITS // 4), 16, 10).cast("long")
+    return F.floor(lead / F.pow(F.lit(2.0), F.lit(HASH_BITS) - bits)).cast("long")
 
-def choose_bits(max_stratum_rows: int, n_strata: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    if max_stratum_rows <= rows_per_bucket:
-        return 0
-    bits = math.ceil(math.log2(max_stratum_rows / rows_per_bucket))
-    cap = int(math.floor(math.log2(max(MAX_OFFSET_ROWS // max(n_strata, 1), 1))))
-    return max(0, min(bits, HASH_BITS, cap))
 
+def bucket_bits(rows: Column, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
+    """Bits that cut a class of ``rows`` rows into buckets of about ``rows_per_bucket``."""
+    return F.when(rows <= rows_per_bucket, F.lit(0)).otherwise(
+        F.least(F.ceil(F.log2(rows / F.lit(float(rows_per_bucket)))), F.lit(HASH_BITS))).cast("int")
 
-def two_level_rank(df: DataFrame, partition: list[str], lead: list[str], bucket: Column,
-                   order: list[Column], rank_col: str = "_rank") -> DataFrame:
-    """Exact 1-based rank in the order (lead…, bucket, order…), restarting per ``partition``.
 
-    ``bucket`` must be monotone in ``order`` (a prefix of the sort key). The
-    offset table has one row per (partition, lead, bucket): bounded by the callers.
-    """
-    b = "_bucket"
-    t = df.withColumn(b, bucket)
-    keys = [*partition, *lead, b]
-    counts = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = (Window.partitionBy(*partition).orderBy(*[F.col(k).asc_nulls_last() for k in [*lead, b]])
-         .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*keys, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).cast("long").alias("_off"))
-    o = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], "_off")
-    cond = [t[k].eqNullSafe(o[f"_o_{k}"]) for k in keys]
-    joined = t.join(F.broadcast(o), on=cond, how="inner").drop(*[f"_o_{k}" for k in keys])
-    wr = Window.partitionBy(*keys).orderBy(*order)
-    return joined.withColumn(rank_col, F.col("_off") + F.row_number().over(wr)).drop("_off", b)
+def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> list[Column]:
+    return [left[a].eqNullSafe(right[b]) for a, b in pairs]
 
 
 def hashed_rank(df: DataFrame, id_col: str, seed, partition: list[str], lead: list[str],
-                group_counts: list, rows_per_bucket: int = ROWS_PER_BUCKET,
-                rank_col: str = "_rank") -> DataFrame:
-    """Rank rows by (lead, md5(seed:id), id) within ``partition``: the order of every split.
+                rows_per_bucket: int = ROWS_PER_BUCKET, rank_col: str = "_rank") -> DataFrame:
+    """1-based rank of rows in the order (lead, md5(seed:id), id) within ``partition``.
 
-    ``group_counts``: rows of (…, count) for each (partition, lead) group — a
-    class-sized table the caller already holds; it sizes the buckets.
-    ``seed`` is an int or a Column (per-run seeds of repeated CV).
+    ``seed`` is an int or a Column (per-run seeds of repeated CV). Joins are plain
+    null-safe equi-joins with class- and bucket-sized tables; Spark decides on broadcasting.
     """
-    max_rows = max([r[-1] for r in group_counts], default=0)
-    bits = choose_bits(max_rows, max(len(group_counts), 1), rows_per_bucket)
     seed_txt = F.lit(str(seed)) if not isinstance(seed, Column) else seed.cast("string")
+    groups = [*partition, *lead]
+    sizes = df.groupBy(*groups).agg(bucket_bits(F.count(F.lit(1)), rows_per_bucket).alias("_bits"))
+    sizes = sizes.select(*[F.col(c).alias(f"_s_{c}") for c in groups], "_bits")
     t = df.withColumn("_h", F.md5(F.concat(seed_txt, F.lit(":"), F.col(id_col).cast("string"))))
-    return two_level_rank(t, partition, lead, hash_bucket(F.col("_h"), bits),
-                          [F.col("_h"), F.col(id_col)], rank_col).drop("_h")
+    on = null_safe(t, sizes, [(c, f"_s_{c}") for c in groups])
+    t = (t.join(sizes, on) if on else t.crossJoin(sizes)).drop(*[f"_s_{c}" for c in groups])
+    t = t.withColumn("_bucket", hash_bucket(F.col("_h"), F.col("_bits"))).drop("_bits")
+    keys = [*groups, "_bucket"]
+    counts = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    before = (Window.partitionBy(*partition).orderBy(*[F.col(k).asc_nulls_last() for k in [*lead, "_bucket"]])
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(k).alias(f"_o_{k}") for k in keys],
+                            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).cast("long").alias("_off"))
+    j = t.join(offsets, null_safe(t, offsets, [(k, f"_o_{k}") for k in keys])).drop(*[f"_o_{k}" for k in keys])
+    inside = Window.partitionBy(*keys).orderBy("_h", id_col)
+    return j.withColumn(rank_col, F.col("_off") + F.row_number().over(inside)).drop("_off", "_bucket", "_h")
 
 
 # ---------------------------------------------------------------------------
 # exact selection
 # ---------------------------------------------------------------------------
 
+def _interval(key: Column, pivots: Column) -> Column:
+    """2 × (pivots below the key), plus 1 if the key is a pivot itself."""
+    below = F.size(F.filter(pivots, lambda p: p < key))
+    return 2 * below + F.array_contains(pivots, key).cast("int")
+
+
 def kth_smallest(df: DataFrame, key: str, k: int, where: Column | None = None,
-                 bins: int = 4096, max_rounds: int = 64, finish_rows: int = 65536):
-    """(value, j) of the k-th smallest (0-based) non-null numeric ``key`` among rows
-    matching ``where``; ``j`` is the row's position among rows equal to ``value``.
+                 pivots: int = 128, max_rounds: int = 500):
+    """(value, j) of the k-th smallest (0-based) non-null ``key`` among rows matching ``where``;
+    ``j`` is the row's position among rows equal to ``value``.
 
-    Integral keys narrow by integer-width bins; floating keys by float bins and,
-    once few rows remain in the range, the last ≤ ``finish_rows`` values are
-    fetched and finished on the driver (a proven-small set).
+    Any orderable type (text and full-range integers too): keys are only compared, never
+    subtracted. Pivots are random rows of the open interval, so each round leaves about
+    one ``pivots``-th of it; a frequent value is soon a pivot, and equality ends the search.
     """
-    base = df.select(key).where(F.col(key).isNotNull())
-    if where is not None:
-        base = df.where(where).select(key).where(F.col(key).isNotNull())
-    c = F.col(key)
-    integral = dict(base.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    stat = base.agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-    if stat["n"] == 0 or k < 0 or k >= stat["n"]:
-        raise ValueError(f"k={k} out of range for {stat['n']} rows")
-    lo, hi, n_in = stat["lo"], stat["hi"], stat["n"]
-    for _ in range(max_rounds):
-        if lo == hi:
-            return lo, k
-        rng = base.where((c >= F.lit(lo)) & (c <= F.lit(hi)))
-        if n_in <= finish_rows:
-            vals = sorted(r[0] for r in bounded_rows(rng, finish_rows, "selection range"))
-            return vals[k], k - bisect.bisect_left(vals, vals[k])
-        if integral:
-            width = -(-(int(hi) - int(lo) + 1) // bins)
-            b = F.floor((c - F.lit(lo)) / F.lit(width)).cast("long")
-        else:
-            width = (hi - lo) / bins
-            b = F.least(F.floor((c - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(bins - 1))
-        hist = sorted(bounded_rows(
-            rng.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")),
-            bins + 1, "histogram"))
-        for row in hist:
-            if k < row["n"]:
-                lo, hi, n_in = row["lo"], row["hi"], row["n"]
+    base = (df if where is None else df.where(where)).select(F.col(key).alias("_key")).where(F.col("_key").isNotNull())
+    c = F.col("_key")
+    n = base.count()
+    if k < 0 or k >= n:
+        raise ValueError(f"k={k} out of range for {n} rows")
+    dtype = base.schema["_key"].dataType
+    rng = base
+    for round_ in range(max_rounds):
+        drawn = rng.orderBy(F.rand(round_)).limit(pivots)
+        found = drawn.agg(F.sort_array(F.collect_set("_key")).alias("p")).first()["p"]
+        values = F.array(*[F.lit(v).cast(dtype) for v in found])
+        hist = rng.groupBy(_interval(c, values).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # ≤ 2·pivots+1
+        for r in sorted(hist):
+            if k < r["n"]:
+                b = r["b"]
                 break
-            k -= row["n"]
+            k -= r["n"]
+        if b % 2:
+            return found[b // 2], k
+        lo, hi = b // 2 - 1, b // 2
+        if lo >= 0:
+            rng = rng.where(c > F.lit(found[lo]).cast(dtype))
+        if hi < len(found):
+            rng = rng.where(c < F.lit(found[hi]).cast(dtype))
     raise RuntimeError("selection did not converge")
 
 
@@ -137,7 +117,7 @@ def kth_in_order(df: DataFrame, ts: str, id_col: str, k: int, non_null: int | No
     ``non_null``: the count of non-null ``ts`` if the caller already has it."""
     nn = non_null if non_null is not None else df.agg(F.count(F.col(ts))).first()[0]
     if k < nn:
-        # timestamps: select on epoch microseconds so the integer path applies
+        # timestamps: select on epoch microseconds, which come back zone-free
         from ..functions.scalar import epoch_micros
         micros = df.select(epoch_micros(ts, dict(df.dtypes)[ts]).alias("_us"), F.col(id_col))
         t_us, j = kth_smallest(micros, "_us", k)
@@ -147,66 +127,67 @@ def kth_in_order(df: DataFrame, ts: str, id_col: str, k: int, non_null: int | No
     return None, id_k
 
 
-def kth_smallest_many(df: DataFrame, targets: list[tuple[str, int]], bins: int = 1024,
-                      max_rounds: int = 64, finish_rows: int = 65536) -> list[float]:
-    """Exact k-th smallest (0-based, as double) for many (column, k) targets at once.
+def kth_smallest_many(df: DataFrame, targets: list[tuple[str, int]], max_rounds: int = 100,
+                      accuracy: int = 10_000) -> list[float]:
+    """Exact k-th smallest (0-based, as double) for many (column, k) targets at once; NaN and
+    infinities count as missing.
 
-    Every round is ONE scan of all still-open columns: each row contributes, per
-    open value range, one (range, bin) key; a map-side aggregate reduces that to
-    ≤ ranges × bins rows of (count, min, max). Targets sharing a column and a
-    range share its histogram (both middle ranks of a median usually do).
-    Memory is bounded by the histogram, never by the column's distinct values.
+    Every round reads the data twice for all open columns together: approximate quantiles
+    around the wanted ranks give pivots (values of the column), then one aggregate counts
+    the intervals between them. An interval shrinks by the quantiles' accuracy per round.
     """
     cols = sorted({c for c, _ in targets})
-    stat = df.agg(*[x for c in cols for x in (F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
-                                                F.max(F.col(c).cast("double")).alias(f"hi_{c}"),
-                                                F.count(c).alias(f"n_{c}"))]).first()
+
+    def finite(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+
+    base = df.select(*[finite(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    counts = base.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(cols))]).first() if cols else {}
     st = []
     for c, k in targets:
-        n = stat[f"n_{c}"]
-        if n == 0 or not 0 <= k < n:
-            raise ValueError(f"k={k} out of range for {n} values of {c}")
-        st.append({"col": c, "k": k, "lo": stat[f"lo_{c}"], "hi": stat[f"hi_{c}"], "n": n, "v": None})
+        v = f"v{cols.index(c)}"
+        if not 0 <= k < counts[v]:
+            raise ValueError(f"k={k} out of range for {counts[v]} values of {c}")
+        st.append({"col": v, "k": k, "lo": None, "hi": None, "n": counts[v], "v": None})
     for _ in range(max_rounds):
-        for t in st:
-            if t["v"] is None and t["lo"] == t["hi"]:
-                t["v"] = t["lo"]
         open_ = [t for t in st if t["v"] is None]
         if not open_:
             return [t["v"] for t in st]
-        ranges = sorted({(t["col"], t["lo"], t["hi"], t["n"]) for t in open_})
-        small = [r for r in ranges if r[3] <= finish_rows]
-        if small:  # few rows left in a range: fetch them (bounded) and finish exactly
-            for c, lo, hi, n in small[: max(1, finish_rows // max(r[3] for r in small))]:
-                x = F.col(c).cast("double")
-                vals = sorted(r[0] for r in bounded_rows(df.select(x).where((x >= lo) & (x <= hi)),
-                                                         finish_rows, "selection range"))
-                for t in open_:
-                    if (t["col"], t["lo"], t["hi"]) == (c, lo, hi):
-                        t["v"] = vals[t["k"]]
-            continue
-        entries = []
-        for gid, (c, lo, hi, _) in enumerate(ranges):
-            x = F.col(c).cast("double")
-            width = (hi - lo) / bins
-            b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
-            entries.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
-                                  F.struct(F.lit(gid).alias("g"), b.alias("b"), x.alias("v"))))
-        hist = (df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
-                .groupBy("e.g", "e.b").agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"),
-                                            F.max("e.v").alias("hi")))
-        rows = sorted(bounded_rows(hist, len(ranges) * bins, "histograms"), key=lambda r: (r["g"], r["b"]))
-        by_g: dict[int, list] = {}
-        for r in rows:
-            by_g.setdefault(r["g"], []).append(r)
-        for gid, (c, lo, hi, _) in enumerate(ranges):
-            for t in open_:
-                if (t["col"], t["lo"], t["hi"]) != (c, lo, hi):
-                    continue
+        ranges: dict[tuple, list[dict]] = {}
+        for t in open_:
+            ranges.setdefault((t["col"], t["lo"], t["hi"], t["n"]), []).append(t)
+        inside = []
+        for col, lo, hi, _ in ranges:
+            x = F.col(col)
+            cond = x.isNotNull()
+            if lo is not None:
+                cond = cond & (x > F.lit(lo))
+            if hi is not None:
+                cond = cond & (x < F.lit(hi))
+            inside.append(F.when(cond, x))
+        probs = []
+        for (_, _, _, n), ts in ranges.items():
+            at = {(t["k"] + 0.5) / n + s * w for t in ts for s in (-1, 0, 1) for w in (2.0 / accuracy, 0.01, 0.1)}
+            probs.append(sorted(min(max(p, 0.0), 1.0) for p in at))
+        got = base.agg(*[F.percentile_approx(x, p, accuracy).alias(f"q{g}")
+                         for g, (x, p) in enumerate(zip(inside, probs))]).first()
+        pivots = [sorted(set(q)) for q in got]
+        entries = [F.when(x.isNotNull(), F.struct(F.lit(g).alias("g"), _interval(
+            x, F.array(*[F.lit(p) for p in ps])).alias("b"))) for g, (x, ps) in enumerate(zip(inside, pivots))]
+        hist = (base.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+                .groupBy("e.g", "e.b").agg(F.count(F.lit(1)).alias("n")).collect())  # ≤ intervals of the open ranges
+        for g, ts in enumerate(ranges.values()):
+            rows = sorted((r["b"], r["n"]) for r in hist if r["g"] == g)
+            for t in ts:
                 k = t["k"]
-                for r in by_g.get(gid, []):
-                    if k < r["n"]:
-                        t.update(lo=r["lo"], hi=r["hi"], n=r["n"], k=k)
+                for b, n in rows:
+                    if k < n:
                         break
-                    k -= r["n"]
+                    k -= n
+                ps = pivots[g]
+                if b % 2:
+                    t["v"] = ps[b // 2]
+                else:
+                    t.update(k=k, n=n, lo=ps[b // 2 - 1] if b else t["lo"], hi=ps[b // 2] if b // 2 < len(ps) else t["hi"])
     raise RuntimeError("selection did not converge")

@@ -1,37 +1,8 @@
-"""Bounded small tables.
-
-Class-sized tables (counts, weights, offsets) are the only things that may
-reach the driver. ``bounded`` proves the bound by fetching at most
-``max_rows + 1`` rows; above it we raise instead of broadcasting something
-that grows with the data. The result is a local relation: its lineage no
-longer points at the big scan, and Spark broadcasts it without a hint.
-"""
+"""Tables that several jobs read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-MAX_CLASSES = 10_000
-
-
-def bounded(df: DataFrame, max_rows: int = MAX_CLASSES, what: str = "table") -> DataFrame:
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows; refusing to treat it as small")
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def bounded_rows(df: DataFrame, max_rows: int = MAX_CLASSES, what: str = "table") -> list:
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows; refusing to treat it as small")
-    return rows
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """Broadcast hash join against a table already proven small by ``bounded``."""
-    return big.join(F.broadcast(small), on=on, how=how)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

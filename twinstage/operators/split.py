@@ -10,45 +10,36 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rank import hashed_rank, kth_in_order
-from .small import bounded_rows
 
 
-def class_count_rows(df: DataFrame, y: str) -> list:
-    return bounded_rows(df.groupBy(y).agg(F.count(F.lit(1)).alias("count")), what="classes")
+def test_quotas(df: DataFrame, y: str, test_size: float) -> DataFrame:
+    """(class, quota): largest-remainder allocation of ⌈test_size·n⌉ rows over classes (sklearn's
+    approximate mode); ties in the remainder go to the smaller class name, null first.
 
-
-def allocate_test_counts(counts: dict, n_test: int) -> dict:
-    """Largest-remainder allocation of ``n_test`` rows over classes (sklearn's
-    approximate mode); ties in the remainder go to the smaller class name."""
-    n = sum(counts.values())
-    base = {c: (n_test * m) // n for c, m in counts.items()}
-    rem = {c: (n_test * m) % n for c, m in counts.items()}
-    left = n_test - sum(base.values())
-    order = sorted(counts, key=lambda c: (-rem[c], "" if c is None else str(c)))
-    for c in order[:left]:
-        base[c] += 1
-    return base
+    A table of one row per class; only the row count reaches the driver, so any number of classes will do.
+    """
+    counts = df.groupBy(F.col(y).alias("_class")).agg(F.count(F.lit(1)).alias("_m"))
+    n = df.count()
+    n_test = F.lit(math.ceil(test_size * n)).cast("decimal(38,0)")
+    whole = (n_test * F.col("_m")).cast("decimal(38,0)")
+    base = F.floor(whole / F.lit(max(n, 1))).cast("long")
+    quotas = counts.withColumn("_base", base).withColumn("_rem", (whole - F.col("_base") * F.lit(max(n, 1))).cast("decimal(38,0)"))
+    nth = F.row_number().over(Window.orderBy(F.desc("_rem"), F.coalesce(F.col("_class").cast("string"), F.lit(""))))
+    left = F.lit(math.ceil(test_size * n)) - F.sum("_base").over(Window.partitionBy())
+    return quotas.select("_class", (F.col("_base") + (nth <= left).cast("int")).alias("_quota"))
 
 
 def holdout_split(df: DataFrame, y: str, id_col: str, test_size: float = 0.2, seed: int = 42,
                   out: str = "is_test") -> DataFrame:
     """Stratified hold-out. The first n_c rows of each class (in md5 order) are test."""
-    rows = class_count_rows(df, y)
-    counts = {r[y]: r["count"] for r in rows}
-    n = sum(counts.values())
-    n_test = math.ceil(test_size * n)
-    alloc = allocate_test_counts(counts, n_test)
-    ranked = hashed_rank(df, id_col, seed, partition=[y], lead=[], group_counts=rows)
-    # per-class quota as a literal map (one lookup per row, any number of classes);
-    # map keys cannot be null, so a null class is looked up separately
-    pairs = [x for c, m in alloc.items() if c is not None for x in (F.lit(c), F.lit(m))]
-    lookup = F.element_at(F.create_map(*pairs), F.col(y)) if pairs else F.lit(None)
-    quota = F.when(F.col(y).isNull(), F.lit(alloc.get(None, 0))).otherwise(F.coalesce(lookup, F.lit(0)))
-    return ranked.withColumn(out, (F.col("_rank") <= quota).cast("int")).drop("_rank")
+    quotas = test_quotas(df, y, test_size)
+    ranked = hashed_rank(df, id_col, seed, partition=[y], lead=[])
+    both = ranked.join(quotas, ranked[y].eqNullSafe(quotas["_class"]))
+    return both.withColumn(out, (F.col("_rank") <= F.col("_quota")).cast("int")).drop("_rank", "_class", "_quota")
 
 
 def stratified_folds(df: DataFrame, y: str, id_col: str, k: int = 5, seed: int = 42,
@@ -58,19 +49,15 @@ def stratified_folds(df: DataFrame, y: str, id_col: str, k: int = 5, seed: int =
     Each class is contiguous in that order, so per-class fold sizes differ by at
     most one, and the class boundaries rotate the remainders across folds.
     """
-    rows = class_count_rows(df, y)
-    ranked = hashed_rank(df, id_col, seed, partition=[], lead=[y], group_counts=rows)
+    ranked = hashed_rank(df, id_col, seed, partition=[], lead=[y])
     return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
 def repeated_folds(df: DataFrame, y: str, id_col: str, k: int = 5, runs: int = 5, seed: int = 42) -> DataFrame:
     """R2 repeated with seed = base + run. Rows are replicated once per run by a
     generator (no join); output carries (run, fold)."""
-    rows = class_count_rows(df, y)
-    per_run = [(r, row[y], row["count"]) for r in range(runs) for row in rows]
     rep = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    ranked = hashed_rank(rep, id_col, F.col("run") + F.lit(seed), partition=["run"], lead=[y],
-                         group_counts=per_run)
+    ranked = hashed_rank(rep, id_col, F.col("run") + F.lit(seed), partition=["run"], lead=[y])
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 

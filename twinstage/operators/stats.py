@@ -8,9 +8,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .small import bounded, join_small
-
-
 
 def _all() -> Window:
     """Window over a whole class-sized table (never applied to row-sized data)."""
@@ -44,11 +41,12 @@ def balanced_weights(df: DataFrame, y: str) -> DataFrame:
 
 
 def attach_weights(df: DataFrame, y: str, weights: DataFrame | None = None,
-                   weight_col: str = "weight", max_classes: int = 10_000) -> DataFrame:
-    """A5: per-row weight by broadcast join on the class (the table is proven small)."""
+                   weight_col: str = "weight") -> DataFrame:
+    """A5: per-row weight by a null-safe join on the class (a null class has its weight too).
+    No hint: Spark broadcasts the class table if it is small and splits hot classes if not."""
     w = weights if weights is not None else balanced_weights(df, y)
-    w = bounded(w.select(y, F.col("weight").alias(weight_col)), max_classes, "class weights")
-    return join_small(df, w, on=y, how="left")
+    w = w.select(F.col(y).alias("_class"), F.col("weight").alias(weight_col))
+    return df.join(w, df[y].eqNullSafe(w["_class"]), "left").drop("_class")
 
 
 def positive_weight(df: DataFrame, label: str) -> DataFrame:
@@ -59,21 +57,24 @@ def positive_weight(df: DataFrame, label: str) -> DataFrame:
                   (neg / F.greatest(pos, F.lit(1))).alias("pos_weight"))
 
 
-def medians(df: DataFrame, cols: Iterable[str], method: str = "exact", accuracy: int = 10_000) -> DataFrame:
-    """Every column's median in ONE aggregate pass.
+def medians(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+    """Every column's interpolated median (as numpy / sklearn) — one row.
 
-    ``exact`` is the interpolated median (as numpy / sklearn); its buffer grows
-    with the distinct values of a column. ``approx`` uses ``percentile_approx``
-    (bounded memory, rank error ≤ 1/accuracy) for very large inputs.
+    Exact selection of the middle ranks of all columns together: a few scans, memory
+    bounded by the interval counts at every size. Null, NaN and ±inf are missing; a
+    column without values has a null median.
     """
+    from .rank import kth_smallest_many
     cols = list(cols)
-    if method == "exact":
-        aggs = [F.median(c).alias(c) for c in cols]
-    elif method == "approx":
-        aggs = [F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c) for c in cols]
-    else:
-        raise ValueError(f"unknown median method: {method}")
-    return df.agg(*aggs)
+
+    def usable(c):
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+    counts = df.agg(*[F.count(usable(c)).alias(c) for c in cols]).first() if cols else {}
+    live = [c for c in cols if counts[c]]
+    got = kth_smallest_many(df, [(c, k) for c in live for k in ((counts[c] - 1) // 2, counts[c] // 2)]) if live else []
+    med = {c: (got[2 * i] + got[2 * i + 1]) / 2.0 for i, c in enumerate(live)}
+    return df.sparkSession.range(1).select(*[F.lit(med.get(c)).cast("double").alias(c) for c in cols])
 
 
 def modes(df: DataFrame, cols: Iterable[str]) -> DataFrame:
