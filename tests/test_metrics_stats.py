@@ -77,7 +77,7 @@ def test_running_totals_match_window(spark):
     rnd = random.Random(1)
     rows = [(round(rnd.random(), 3), rnd.randint(0, 5)) for _ in range(500)]
     g = spark.createDataFrame(rows, "k double, v long").groupBy("k").agg(F.sum("v").alias("v"))
-    got = {r.k: r.cum_v for r in E.running_totals(g, "k", ["v"], descending=True, bins=7).collect()}
+    got = {r.k: r.cum_v for r in E.running_totals(g, "k", ["v"], descending=True, rows_per_bucket=20).collect()}
     acc, exp = 0, {}
     for k, v in sorted(((r.k, r.v) for r in g.collect()), reverse=True):
         acc += v
@@ -85,6 +85,7 @@ def test_running_totals_match_window(spark):
     assert got == exp
 
 
+# The published fold scores of three model pairs, and the statistics they give.
 GOLDEN = [  # (a, b, t, p, d)
     ([0.6050, 0.5289, 0.5308, 0.5337, 0.5381], [0.5429, 0.4410, 0.4579, 0.3933, 0.4297], 6.790942, 0.002455, 3.395471),
     ([0.5347, 0.5438, 0.5536, 0.5445, 0.5408],
@@ -154,3 +155,29 @@ def test_published_layout_golden(spark):
     assert (r.train_rows, r.test_rows) == (82332, 175341)
     assert abs(r.fit_time_s - 31.01) < 1e-9 and round(r.rows_per_sec) == 139694
     assert r.notes == "fit_stage1=3.85s; fit_stage2=27.16s"
+
+
+def test_many_labels(spark):
+    df = spark.range(1200).select(F.col("id").cast("string").alias("y_true"), F.lit("0").alias("y_pred"))
+    assert E.confusion(df, "y_true", "y_pred").count() == 1200 * 1200
+
+
+def test_f1_compare_keeps_null_and_odd_names(spark):
+    df = preds(spark, [(None, None), ("accuracy", "accuracy"), ("a", "b")])
+    rep = E.class_report(df, "y_true", "y_pred", with_kind=True)
+    got = {r["class"]: r.improvement for r in E.f1_compare(rep, rep).collect()}
+    assert got == {None: 0.0, "accuracy": 0.0, "a": 0.0, "b": 0.0}
+
+
+def test_roc_of_unusable_scores(spark):
+    df = spark.createDataFrame([(1, float("inf")), (0, float("-inf")), (1, float("nan"))], "y int, s double")
+    assert E.roc_auc(df, "y", "s").first().auc == 1.0
+
+
+def test_repeated_scores_count_as_their_mean(spark):
+    rows = [("x", "a", 0, i, v) for i, v in enumerate([0.5, 0.9, 0.7])] + [("x", "a", 0, 0, 0.9)] \
+        + [("x", "b", 0, i, v) for i, v in enumerate([0.4, 0.5, 0.9])]
+    sc = spark.createDataFrame(rows, "dataset string, model string, run int, fold int, macro_f1 double")
+    r = RS.paired_tests(sc).first()
+    assert r.n == 3 and abs(r.mean_a - (0.7 + 0.9 + 0.7) / 3) < 1e-12
+    assert RS.paired_tests(sc, pairs=[("b", "a")]).first().mean_diff == -r.mean_diff

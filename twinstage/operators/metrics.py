@@ -14,22 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .small import bounded_rows, checkpointed
+from .small import checkpointed
 
-MAX_LABELS = 1000
+ROWS_PER_BUCKET = 500_000  # distinct scores per window partition of a running total
 
 
 def _z(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
-def label_set(df: DataFrame, y_true: str, y_pred: str) -> list:
-    """Sorted union of true and predicted labels (a class-sized list)."""
-    u = df.select(F.col(y_true).alias("label")).union(df.select(F.col(y_pred).alias("label"))).distinct()
-    labels = [r[0] for r in bounded_rows(u, MAX_LABELS, "labels")]
-    return sorted(labels, key=lambda v: (v is None, v))
-
-
 def pair_counts(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
     return df.groupBy(F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")) \
         .agg(F.count(F.lit(1)).cast("long").alias("count"))
@@ -38,18 +31,23 @@ def pair_counts(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 def confusion(df: DataFrame, y_true: str, y_pred: str, labels: Sequence | None = None) -> DataFrame:
     """Long confusion table (y_true, y_pred, count) with zero cells filled.
 
-    The k×k grid is generated from the bounded label list (no join of data to data).
+    The k×k grid is generated from one row that holds the k labels, by two generators.
     """
     cnt = checkpointed(pair_counts(df, y_true, y_pred))  # ≤ k² rows; the data is scanned once
-    labels = list(labels) if labels is not None else label_set(cnt, "y_true", "y_pred")
     dtype = df.schema[y_true].dataType
-    arr = F.array(*[F.lit(v).cast(dtype) for v in labels]) if labels else F.array().cast(f"array<{dtype.simpleString()}>")
-    # k×k grid from two generators over the bounded label list (no join, no Python rows)
-    grid = (df.sparkSession.range(1).select(F.explode(arr).alias("y_true"))
-            .select("y_true", F.explode(arr).alias("y_pred")))
-    cond = [grid["y_true"].eqNullSafe(cnt["y_true"]), grid["y_pred"].eqNullSafe(cnt["y_pred"])]
-    return grid.join(cnt, cond, "left").select(grid["y_true"], grid["y_pred"],
-                                               F.coalesce(cnt["count"], F.lit(0)).cast("long").alias("count"))
+    if labels is not None:
+        one = df.sparkSession.range(1).select(
+            F.array(*[F.struct(F.lit(v).cast(dtype).alias("label")) for v in labels]).alias("all"))
+    else:
+        seen = cnt.select(F.explode(F.array(F.struct(F.col("y_true").alias("label")),
+                                            F.struct(F.col("y_pred").cast(dtype).alias("label")))).alias("s"))
+        one = seen.agg(F.sort_array(F.collect_set("s")).alias("all"))
+    grid = one.select("all", F.explode("all").alias("t")).select(
+        F.col("t.label").alias("g_true"), F.explode("all").alias("p")).select("g_true", F.col("p.label").alias("g_pred"))
+    cells = cnt.toDF("c_true", "c_pred", "n")
+    cond = F.col("g_true").eqNullSafe(F.col("c_true")) & F.col("g_pred").eqNullSafe(F.col("c_pred"))
+    return grid.join(cells, cond, "left").select(F.col("g_true").alias("y_true"), F.col("g_pred").alias("y_pred"),
+                                                 F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
 def confusion_normalized(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
@@ -74,13 +72,14 @@ def per_class(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
                     tp.alias("tp"), (npred - tp).alias("fp"), (sup - tp).alias("fn"), sup.alias("support"))
 
 
-def class_report(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
+def class_report(df: DataFrame, y_true: str, y_pred: str, with_kind: bool = False) -> DataFrame:
     """Precision, recall, F1, support per class, plus accuracy / macro avg /
-    weighted avg rows (``classification_report(zero_division=0)`` layout)."""
+    weighted avg rows (``classification_report(zero_division=0)`` layout). ``with_kind`` adds a column that
+    tells a class from a summary row, whatever the classes are called."""
     pc = per_class(df, y_true, y_pred)
     tp, fp, fn, sup = (F.col(c) for c in ("tp", "fp", "fn", "support"))
     rows = pc.select(
-        F.col("label").cast("string").alias("class"),
+        F.col("label").cast("string").alias("class"), F.lit("class").alias("kind"),
         _z(F.try_divide(tp, tp + fp)).alias("precision"),
         _z(F.try_divide(tp, tp + fn)).alias("recall"),
         _z(F.try_divide(2 * tp, 2 * tp + fp + fn)).alias("f1"),
@@ -97,13 +96,14 @@ def class_report(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
         _z(F.try_divide(F.sum("tp"), total)).alias("acc"),
     )
     extra = summary.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
+        F.struct(F.lit("accuracy").alias("class"), F.lit("summary").alias("kind"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), F.col("acc").alias("f1"), F.col("n").alias("support")),
-        *[F.struct(F.lit(name).alias("class"), F.col(p).alias("precision"), F.col(r).alias("recall"),
+        *[F.struct(F.lit(name).alias("class"), F.lit("summary").alias("kind"), F.col(p).alias("precision"), F.col(r).alias("recall"),
                    F.col(f).alias("f1"), F.col("n").alias("support"))
           for name, p, r, f in (("macro avg", "mp", "mr", "mf"), ("weighted avg", "wp", "wr", "wf"))],
     )).alias("r")).select("r.*")
-    return rows.drop("tp").unionByName(extra)
+    out = rows.drop("tp").unionByName(extra)
+    return out if with_kind else out.drop("kind")
 
 
 def macro_f1(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
@@ -122,12 +122,13 @@ def accuracy(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 
 def f1_compare(report_a: DataFrame, report_b: DataFrame, name_a: str = "single_f1",
                name_b: str = "two_stage_f1") -> DataFrame:
-    """Per-class F1 of two models side by side, improvement = b − a, by class."""
-    skip = ["accuracy", "macro avg", "weighted avg"]
-    a = report_a.filter(~F.col("class").isin(skip)).select("class", F.col("f1").alias(name_a))
-    b = report_b.filter(~F.col("class").isin(skip)).select("class", F.col("f1").alias(name_b))
-    j = a.join(b, "class", "full")
-    return j.select("class", _z(F.col(name_a)).alias(name_a), _z(F.col(name_b)).alias(name_b),
+    """Per-class F1 of two models side by side, improvement = b − a, by class. The reports are
+    ``class_report(…, with_kind=True)``; a null class and one named like a summary row are classes."""
+    a = report_a.where("kind = 'class'").select(F.col("class").alias("a_class"), F.lit(1).alias("in_a"), F.col("f1").alias(name_a))
+    b = report_b.where("kind = 'class'").select(F.col("class").alias("b_class"), F.col("f1").alias(name_b))
+    j = a.join(b, a["a_class"].eqNullSafe(b["b_class"]), "full")
+    name = F.when(F.col("in_a") == 1, F.col("a_class")).otherwise(F.col("b_class"))
+    return j.select(name.alias("class"), _z(F.col(name_a)).alias(name_a), _z(F.col(name_b)).alias(name_b),
                     (_z(F.col(name_b)) - _z(F.col(name_a))).alias("improvement")).orderBy("class")
 
 
@@ -144,21 +145,20 @@ def score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def running_totals(groups: DataFrame, key: str, values: Sequence[str], descending: bool,
-                   bins: int = 1024, inclusive: bool = True, accuracy: int = 10_000) -> DataFrame:
+                   rows_per_bucket: int = ROWS_PER_BUCKET, inclusive: bool = True) -> DataFrame:
     """Running sums of ``values`` over ``key`` order, without a single-task window.
 
     Distinct keys are bucketed at approximate quantiles of the keys themselves
-    (≤ ``bins`` boundaries fetched to the driver), so buckets hold about equally
-    many keys however skewed the scores are; bucket totals (≤ bins rows) give
-    offsets, and the window runs inside each bucket. Exact: the buckets are
+    (one boundary per ``rows_per_bucket`` keys is fetched to the driver), so buckets
+    hold about equally many keys however many there are and however skewed the scores;
+    bucket totals give offsets, and the window runs inside each bucket. Exact: the buckets are
     monotone in the key, only their sizes are approximate.
     """
+    bins = max(2, -(-groups.count() // rows_per_bucket))
     probs = [i / bins for i in range(1, bins)]
-    q = groups.agg(F.percentile_approx(F.col(key).cast("double"), probs, accuracy).alias("q")).first()["q"]
-    if q is None:
-        return groups.select("*", *[F.lit(0).cast("long").alias(f"cum_{v}") for v in values])
+    q = groups.agg(F.percentile_approx(F.col(key).cast("double"), probs, 10 * bins).alias("q")).first()["q"]
     from pyspark.ml.feature import Bucketizer
-    cuts = sorted(set(float(x) for x in q if x == x and abs(x) != float("inf")))
+    cuts = sorted(set(float(x) for x in q or () if x == x and abs(x) != float("inf"))) or [0.0]
     # bucket = number of cut points ≤ key, by binary search (NaN keys → last bucket,
     # as Spark orders NaN above every number)
     splits = [float("-inf"), *cuts, float("inf")]
@@ -172,7 +172,7 @@ def running_totals(groups: DataFrame, key: str, values: Sequence[str], descendin
     wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(F.col("_b").alias("_ob"),
                      *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}") for v in values])
-    j = t.join(F.broadcast(off), t["_b"] == off["_ob"], "inner")  # ≤ bins rows
+    j = t.join(off, t["_b"] == off["_ob"], "inner")
     order = F.col(key).desc() if descending else F.col(key).asc()
     wi = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding,
                                                               0 if inclusive else -1)

@@ -12,10 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .small import bounded_rows
-
-MAX_MODELS = 200
-
 
 def t_two_sided_p(t: Column, dof: Column) -> Column:
     """Two-sided p-value of Student's t for integer dof, exact finite series
@@ -65,8 +61,9 @@ def _finish(df: DataFrame, alpha: float) -> DataFrame:
             .withColumn("significant", F.coalesce((F.col("p_value") < alpha).cast("int"), F.lit(0))))
 
 
-def model_list(scores: DataFrame, model: str = "model") -> list:
-    return sorted(r[0] for r in bounded_rows(scores.select(model).distinct(), MAX_MODELS, "models"))
+def one_score_each(scores: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """Scores by key; several rows of one (model, run, fold) count as their mean."""
+    return scores.groupBy(*keys).agg(F.avg(score).alias(score))
 
 
 def paired_tests(scores: DataFrame, pairs: Sequence[tuple[str, str]] | None = None,
@@ -74,23 +71,21 @@ def paired_tests(scores: DataFrame, pairs: Sequence[tuple[str, str]] | None = No
                  model: str = "model", score: str = "macro_f1", alpha: float = 0.05) -> DataFrame:
     """Paired t, p, Cohen's d and verdict for model pairs (a − b).
 
-    Scores are pivoted once on the bounded model list to one row per (group, run, fold);
-    each pair is then a column expression — no self-join, no pairs of rows.
-    Default pairs: all a < b (T6).
+    Without ``pairs`` every pair a < b (T6, whose feature that is): the models of one split meet
+    in an equi-join on (group, run, fold). Repeated scores of a model on a split count as their mean.
     """
-    models = model_list(scores, model)
+    one = one_score_each(scores, [*group, *keys, model], score)
+    on = [*group, *keys]
+    a = one.select(*on, F.col(model).alias("model_a"), F.col(score).alias("a"))
+    b = one.select(*on, F.col(model).alias("model_b"), F.col(score).alias("b"))
     if pairs is None:
-        pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1:]]
-    wide = scores.groupBy(*group, *keys).pivot(model, models).agg(F.first(score))
-    per_pair = []
-    for a, b in pairs:
-        d = F.col(f"`{a}`") - F.col(f"`{b}`")
-        both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
-        per_pair.append(F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"),
-                                 F.when(both, d).alias("d"), F.when(both, F.col(f"`{a}`")).alias("a"),
-                                 F.when(both, F.col(f"`{b}`")).alias("b")))
-    longp = wide.select(*group, F.explode(F.array(*per_pair)).alias("p")).select(*group, "p.*")
-    agg = longp.groupBy(*group, "model_a", "model_b").agg(*_pair_stats(F.col("d"), F.col("a"), F.col("b")))
+        j = a.join(b, on).where(F.col("model_a") < F.col("model_b"))
+        every = None
+    else:
+        every = scores.sparkSession.createDataFrame([tuple(p) for p in pairs], "model_a string, model_b string").distinct()
+        j = a.join(every, "model_a").join(b, [*on, "model_b"])
+    j = j.where(F.col("a").isNotNull() & F.col("b").isNotNull()).withColumn("d", F.col("a") - F.col("b"))
+    agg = j.groupBy(*group, "model_a", "model_b").agg(*_pair_stats(F.col("d"), F.col("a"), F.col("b")))
     return _finish(agg, alpha)
 
 
