@@ -32,3 +32,29 @@ def test_scores_roundtrip(spark, tmp_path):
     assert io.read_scores(spark, str(tmp_path / "s")).collect() == sc.collect()
     io.write_table(sc, str(tmp_path / "csv"), fmt="csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
+
+
+def test_folder_binds_by_name_for_any_path_and_schema(spark, tmp_path):
+    from pyspark.sql import types as T
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text('b,a,"c,d"\n20,10,x\n')
+    want = [(1, 2), (10, 20)]
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        df = io.read_folder(spark, folder)
+        assert sorted((int(r.a), int(r.b)) for r in df.collect()) == want and "c,d" in df.columns
+        schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.DoubleType()), T.StructField("z", T.StringType())])
+        typed = io.read_folder(spark, folder, schema=schema)
+        assert typed.schema == schema and sorted((r.a, int(r.b)) for r in typed.collect()) == want
+    with pytest.raises(FileNotFoundError):
+        io.read_folder(spark, str(tmp_path), "*.none")
+
+
+def test_submitted_settings_win():
+    """get_spark fills only what nobody set."""
+    import os
+    import subprocess
+    import sys
+    code = "from twinstage.session import get_spark; s = get_spark(); print(s.sparkContext.master, s.conf.get('spark.sql.shuffle.partitions'))"
+    env = {**os.environ, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=77 --conf spark.ui.enabled=false pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(__file__)), timeout=120)
+    assert out.stdout.split()[-2:] == ["local[2]", "77"]

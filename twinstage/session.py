@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 _LOCAL_DEFAULTS = {
@@ -21,18 +22,24 @@ _LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "16g",
 }
 
 
 def get_spark(master: str | None = None, app: str = "twinstage", **conf: str) -> SparkSession:
-    """Return the active session, or build a local one with sane defaults."""
+    """Return the active session, or build one. Submitted settings win: defaults fill only keys that
+    nobody set, and the master is touched only if it is asked for or none was submitted."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    builder = SparkSession.builder.appName(app)
-    builder = builder.master(master or os.environ.get("TWINSTAGE_MASTER", "local[*]"))
-    for k, v in {**_LOCAL_DEFAULTS, **conf}.items():
+    SparkContext._ensure_initialized()  # only then SparkConf() holds what was submitted
+    submitted = SparkConf()
+    builder = SparkSession.builder
+    if not submitted.contains("spark.app.name"):
+        builder = builder.appName(app)
+    wanted = master or os.environ.get("TWINSTAGE_MASTER") or (None if submitted.contains("spark.master") else "local[*]")
+    if wanted:
+        builder = builder.master(wanted)
+    for k, v in {**{k: v for k, v in _LOCAL_DEFAULTS.items() if not submitted.contains(k)}, **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -6,10 +6,11 @@ pass over the data); folders of CSVs whose headers differ are unioned by name.
 
 from __future__ import annotations
 
-import glob
-import os
+import json
 from collections.abc import Iterable
+from dataclasses import asdict
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ TIMINGS_SCHEMA = T.StructType([
 ])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
     """One CSV with a header. With no schema every column is read as text and
     typed later by ``to_numeric`` (as the reference coerces after reading)."""
     r = spark.read.option("header", True).option("mode", "PERMISSIVE")
@@ -40,37 +41,44 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv",
                 schema: T.StructType | None = None, source_col: str | None = None) -> DataFrame:
     """Every matching file, concatenated by column NAME; error when none match.
 
-    Files sharing one header are read as one multi-file scan (parallel by split);
-    differing headers are unioned by name with missing columns as null.
+    Files are listed by Spark (any file system it can read), headers are parsed by Spark's CSV
+    reader, and files that share a header are one multi-file scan. All columns are read as text and
+    bound by name; a schema's types are applied afterwards, its missing columns are null.
     """
-    paths = sorted(glob.glob(os.path.join(folder, pattern))) if "://" not in folder else [f"{folder}/{pattern}"]
+    base = folder.rstrip("/")
+    try:
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(base).select("path")
+        paths = sorted(r["path"] for r in listed.collect())  # one name per file
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no folder {folder}") from e
     if not paths:
         raise FileNotFoundError(f"no files match {pattern} in {folder}")
     headers: dict[tuple, list[str]] = {}
     for p in paths:
-        if "://" in p:
-            headers.setdefault(("*",), []).append(p)
-            continue
-        with open(p, encoding="utf-8", errors="replace") as fh:
-            headers.setdefault(tuple(fh.readline().rstrip("\r\n").split(",")), []).append(p)
-    parts = [read_csv(spark, ps if len(ps) > 1 else ps[0], schema) for ps in headers.values()]
+        headers.setdefault(tuple(read_csv(spark, p).columns), []).append(p)
+    parts = []
+    for names, ps in headers.items():
+        part = read_csv(spark, ps, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        parts.append(part.withColumn(source_col, F.input_file_name()) if source_col else part)
     out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    if source_col:
-        out = out.withColumn(source_col, F.input_file_name())
-    return out
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    if schema is None:
+        return out
+    typed = [(F.col(f.name).try_cast(f.dataType) if f.name in out.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+             for f in schema.fields]
+    return out.select(*typed, *([source_col] if source_col else []))
 
 
 def read_pair(spark: SparkSession, train_path: str, test_path: str, schema: T.StructType | None = None,
               required: Iterable[str] = ()) -> DataFrame:
     """S3 + S4 + S5: the official train/test files, tagged and stacked by name."""
-    for p in (train_path, test_path):
-        if "://" not in p and not os.path.exists(p):
-            raise FileNotFoundError(p)
     from ..operators.clean import require_columns
     from ..operators.split import official_split
-    tr, te = read_csv(spark, train_path, schema), read_csv(spark, test_path, schema)
+    try:
+        tr, te = read_csv(spark, train_path, schema), read_csv(spark, test_path, schema)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"{train_path} or {test_path}") from e
     require_columns(tr, *required)
     require_columns(te, *required)
     return official_split(tr, te)
@@ -108,3 +116,21 @@ def save_model(model: PipelineModel, path: str, feature_cols: list[str] | None =
 def load_model(path: str) -> PipelineModel:
     """S10."""
     return PipelineModel.load(path)
+
+
+def save_cascade(model, path: str) -> None:
+    """S9 for a fitted ``TwoStageModel``: both stages, the attack labels and the settings."""
+    spark = SparkSession.getActiveSession()
+    model.stage1.write().overwrite().save(f"{path}/stage1")
+    if model.stage2 is not None:
+        model.stage2.write().overwrite().save(f"{path}/stage2")
+    about = json.dumps({"labels": model.attack_labels, "spec": asdict(model.spec), "stage2": model.stage2 is not None})
+    spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_cascade(path: str):
+    """S10 for a cascade: predicts as the saved one does."""
+    from ..operators.cascade import CascadeSpec, TwoStageModel
+    about = json.loads(SparkSession.getActiveSession().read.text(f"{path}/about").first()[0])
+    stage2 = PipelineModel.load(f"{path}/stage2") if about["stage2"] else None
+    return TwoStageModel(PipelineModel.load(f"{path}/stage1"), stage2, about["labels"], CascadeSpec(**about["spec"]))
