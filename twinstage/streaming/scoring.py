@@ -1,18 +1,18 @@
-"""Stream scoring (extension X1): apply a cascade to a stream of log rows and
-count alerts per class in event-time tumbling windows.
-
-All features and both cascade stages are row-wise, so the batch functions
-apply to a streaming DataFrame unchanged. The trained cascade is used without
-``persist`` (not allowed on streams): its two branches are a streaming
-self-union. Window state is bounded by the watermark; results leave through
-``foreachBatch`` into a table in the shared checkpoint folder (update mode:
-each batch appends the windows it changed; the final count of a window is the
-largest it reached).
+"""Stream scoring (extension X1): apply a cascade to a stream of log rows and count alerts per
+class in event-time tumbling windows.
+
+The stream is read once and handled in micro-batches (``foreachBatch``): a batch is scored with
+the batch functions, its rows are counted per (window, class), and the counts are written to a
+folder of that batch in shared storage. Counts of batches add up, so nothing is late: a row that
+arrives days after its window counts in its window, and a row without a usable time counts under
+a null window. No state is kept between batches, and a batch that is run again after a failure
+overwrites its own folder.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,35 +31,16 @@ def read_log_stream(spark: SparkSession, folder: str, schema: T.StructType, file
     return r.load(folder)
 
 
-def read_table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
-    """A driver table as a file stream: a folder of parts is streamed as is; a
-    single ``<name>.parquet`` file is picked out of its folder by a glob."""
-    import os
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if os.path.isdir(path):
-        return read_log_stream(spark, path, schema)
-    return read_log_stream(spark, sf_dir, schema, file_glob=f"{name}.parquet")
-
-
 def score_stream_rules(stream: DataFrame, score: Column, stage2: Column, threshold: float, benign: str,
                        pred_col: str = "y_pred") -> DataFrame:
     """C3–C4 on a stream: one pass, stage 2 evaluated only for routed rows (lazy CASE)."""
     return rule_cascade(stream, score, stage2, threshold, benign, pred_col)
 
 
-def score_stream_model(stream: DataFrame, model, pred_col: str = "y_pred") -> DataFrame:
-    """A fitted ``TwoStageModel`` on a stream (no persist on streams)."""
-    return model.predict(stream, pred_col=pred_col, persist=False)
-
+def alert_counts(scored: DataFrame, ts_col: str, window: str = "1 day", pred_col: str = "y_pred") -> DataFrame:
+    """Alerts per (tumbling window, predicted class) of a batch; rows without a time under a null window.
 
-def alert_counts(scored: DataFrame, ts_col: str, window: str = "1 day", watermark: str = "1 day",
-                 pred_col: str = "y_pred") -> DataFrame:
-    """Alerts per (tumbling window, predicted class) with a watermark on event time.
-
-    Wall-clock (TIMESTAMP_NTZ) event times are mapped to the instant with the
-    same digits in UTC — zone-free, via epoch microseconds — because watermarks
-    need instants; windows then start at wall-clock boundaries, and the window
-    start is mapped back to TIMESTAMP_NTZ the same way.
+    Wall-clock (TIMESTAMP_NTZ) times are cut zone-free, via the instant with the same digits in UTC.
     """
     from ..functions.scalar import epoch_micros
     dtype = dict(scored.dtypes)[ts_col]
@@ -70,31 +51,31 @@ def alert_counts(scored: DataFrame, ts_col: str, window: str = "1 day", watermar
         evt = F.timestamp_micros(epoch_micros(ntz, "timestamp_ntz"))
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
         back = lambda c: F.timestamp_add("MICROSECOND", F.unix_micros(c), epoch)
-    return (scored.withColumn("_evt", evt).withWatermark("_evt", watermark)
-            .groupBy(F.window("_evt", window).alias("w"), F.col(pred_col))
-            .agg(F.count(F.lit(1)).alias("alerts"))
-            .select(back(F.col("w.start")).alias("window_start"), F.col(pred_col), "alerts"))
+    timed = scored.select(evt.alias("_evt"), F.col(pred_col))
+    dated = (timed.where(F.col("_evt").isNotNull()).groupBy(F.window("_evt", window).alias("w"), F.col(pred_col))
+             .agg(F.count(F.lit(1)).alias("alerts")).select(back(F.col("w.start")).alias("window_start"), F.col(pred_col), "alerts"))
+    undated = timed.where(F.col("_evt").isNull()).groupBy(F.col(pred_col)).agg(F.count(F.lit(1)).alias("alerts"))
+    return dated.unionByName(undated, allowMissingColumns=True)
 
 
-def run_available(agg: DataFrame, base_dir: str | None = None, name: str | None = None) -> DataFrame:
-    """Run a streaming aggregate over everything available now, then read back
-    the final count per window. Output and stream checkpoint live under
-    ``spark.checkpoint.dir`` (shared), never on a machine-local path."""
+def count_available(stream: DataFrame, alerts: Callable[[DataFrame], DataFrame], base_dir: str | None = None,
+                    name: str | None = None) -> DataFrame:
+    """Run ``alerts`` (batch → (window_start, class, alerts)) over everything available now, batch by
+    batch, and return the sums. Counts and the stream's checkpoint live below ``spark.checkpoint.dir``."""
     from ..session import checkpoint_root
-    spark = agg.sparkSession
-    root = base_dir or checkpoint_root(spark)
+    spark = stream.sparkSession
     tag = name or uuid.uuid4().hex
-    out, ckpt = f"{root}/streams/{tag}/out", f"{root}/streams/{tag}/checkpoint"
+    home = f"{base_dir or checkpoint_root(spark)}/streams/{tag}"
+    shape = alerts(spark.createDataFrame([], stream.schema)).schema
+
+    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{home}/out/batch=-1")  # there is a table without batches too
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        alerts(batch).write.mode("overwrite").parquet(f"{home}/out/batch={batch_id}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{home}/checkpoint")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    keys = [c for c in agg.columns if c != "alerts"]
-    try:
-        res = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 — no batch produced rows
-        return spark.createDataFrame([], agg.schema)
-    return res.groupBy(*keys).agg(F.max("alerts").cast("long").alias("alerts"))
+    res = spark.read.schema(shape).parquet(f"{home}/out")
+    keys = [c for c in shape.names if c != "alerts"]
+    return res.groupBy(*keys).agg(F.sum("alerts").cast("long").alias("alerts"))
