@@ -19,7 +19,6 @@ def main() -> None:
     runs = int(sys.argv[2]) if len(sys.argv) > 2 else 5
     folds = int(sys.argv[3]) if len(sys.argv) > 3 else 5
     from twinstage.operators import cascade as C
-    from twinstage.operators import models as D
     from twinstage.operators import runstats as RS
     from twinstage.operators import split as R
     from twinstage.operators import stats as A
@@ -28,8 +27,9 @@ def main() -> None:
     from twinstage.sources import io
     spark = get_spark()
     out = sys.argv[4] if len(sys.argv) > 4 else f"{checkpoint_root(spark)}/cv_scores"
-    folded = D.materialize(R.repeated_folds(TR.labelled(spark, sf_dir), TR.LABEL, "event_id",
-                                            k=folds, runs=runs, seed=42))
+    lab = TR.labelled(spark, sf_dir)
+    split = R.repeated_folds(lab.select("event_id", TR.LABEL), TR.LABEL, "event_id", k=folds, runs=runs, seed=42)
+    folded = TR.by_fold(lab.drop(TR.LABEL).join(split, "event_id"), ["run", "fold"])
     scores = C.cv_compare(folded, TR.spec(), "siem_events")
     io.write_scores(scores, out)
     sc = io.read_scores(spark, out)

@@ -4,16 +4,14 @@ Stage 1 (benign vs attack) scores every row; stage 2 (which attack) runs only
 on rows stage 1 routes (p > threshold); all other rows get the benign label.
 Conditional execution is a ``filter`` below the stage-2 projection, so stage 2
 never touches unrouted rows. Stage-1 output is read by both branches and is
-persisted (MEMORY_AND_DISK) between them; lost blocks are recomputed from
-lineage, which is deterministic.
+written once to the checkpoint folder between them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +19,11 @@ from pyspark.sql import functions as F
 from ..functions.labels import binary_label
 from .clean import filter_attacks
 from .metrics import macro_f1
-from .models import learner, positive_probability
-from .parallel import spread
+from .models import fit_learner, learner, positive_probability
 from .prep import build_preprocessor
+from .small import checkpointed
 from .split import fold_rows
+from .stats import attach_weights, positive_weight
 
 
 # ---------------------------------------------------------------------------
@@ -67,7 +66,9 @@ class CascadeSpec:
     stage1_params: dict = field(default_factory=dict)
     stage2_params: dict = field(default_factory=dict)
     threshold: float = 0.5
-    weight_col: str | None = None
+    weight_col: str | None = None      # one weight column for both stages and the single stage
+    encode: str = "onehot"             # or "index" (M6)
+    stage_weights: bool = False        # A6 for stage 1, balanced among the attacks (A4) for stage 2
     seed: int = 42
 
 
@@ -77,15 +78,13 @@ class TwoStageModel:
     stage2: PipelineModel | None
     attack_labels: list[str]
     spec: CascadeSpec
-    _cached: list = field(default_factory=list)
 
-    def predict(self, df: DataFrame, pred_col: str = "y_pred", persist: bool = True) -> DataFrame:
+    def predict(self, df: DataFrame, pred_col: str = "y_pred") -> DataFrame:
+        """Final classes. Stage 1 runs once per row: its scores are written once (checkpoint) and both
+        branches, routed and rest, read them."""
         s = self.spec
-        s1 = positive_probability(self.stage1.transform(spread(df)), "s1_probability", "p_attack")
-        s1 = s1.drop(*[c for c in s1.columns if c.startswith(("s1_", "p1_"))])
-        if persist:
-            s1 = s1.persist(StorageLevel.MEMORY_AND_DISK)
-            self._cached.append(s1)
+        s1 = positive_probability(self.stage1.transform(df), "s1_probability", "p_attack")
+        s1 = checkpointed(s1.drop(*[c for c in s1.columns if c.startswith(("s1_", "p1_"))]))
         routed, rest = route(s1, "p_attack", s.threshold)
         if self.stage2 is None:  # no attack class in train: everything is benign
             return rest.unionByName(routed).withColumn(pred_col, F.lit(s.benign))
@@ -95,31 +94,32 @@ class TwoStageModel:
         pred = pred.drop(*[c for c in pred.columns if c.startswith(("s2_", "p2_"))])
         return assemble(pred, rest, pred_col, s.benign)
 
-    def release(self) -> None:
-        for d in self._cached:
-            d.unpersist()
-        self._cached.clear()
-
-
 def fit_two_stage(train: DataFrame, spec: CascadeSpec) -> TwoStageModel:
     """C1 + C2: stage 1 on all rows (binary label); stage 2 on TRUE attack rows
     only, labels re-indexed among attacks, with its own imputer/encoder."""
     y = F.col(spec.label_col)
     t1 = train.withColumn("s1_label", binary_label(y, spec.benign).cast("double"))
-    prep1 = build_preprocessor(spec.num_cols, spec.cat_cols, features_col="s1_features", tag="p1")
-    l1 = learner(spec.stage1, "s1_label", "s1_features", spec.weight_col, spec.seed, prefix="s1_",
+    w1 = w2 = spec.weight_col
+    if spec.stage_weights:
+        w1 = w2 = "stage_weight"
+        pos = positive_weight(t1, "s1_label").first()["pos_weight"]
+        t1 = t1.withColumn(w1, F.when(F.col("s1_label") == 1, F.lit(float(pos))).otherwise(F.lit(1.0)))
+    prep1 = build_preprocessor(spec.num_cols, spec.cat_cols, features_col="s1_features", encode=spec.encode, tag="p1")
+    l1 = learner(spec.stage1, "s1_label", "s1_features", w1, spec.seed, prefix="s1_",
                  **spec.stage1_params)
-    stage1 = Pipeline(stages=[*prep1.getStages(), l1]).fit(t1)
+    stage1 = fit_learner(prep1, l1, t1)
 
     attacks = filter_attacks(train, spec.label_col, spec.benign).withColumn(
         spec.label_col, F.coalesce(y.cast("string"), F.lit("nan")))
+    if spec.stage_weights:
+        attacks = attach_weights(attacks, spec.label_col, weight_col=w2)
     idx = StringIndexer(inputCol=spec.label_col, outputCol="s2_label", stringOrderType="alphabetAsc").fit(attacks)
     if not idx.labels:
         return TwoStageModel(stage1, None, [], spec)
-    prep2 = build_preprocessor(spec.num_cols, spec.cat_cols, features_col="s2_features", tag="p2")
-    l2 = learner(spec.stage2, "s2_label", "s2_features", spec.weight_col, spec.seed, prefix="s2_",
+    prep2 = build_preprocessor(spec.num_cols, spec.cat_cols, features_col="s2_features", encode=spec.encode, tag="p2")
+    l2 = learner(spec.stage2, "s2_label", "s2_features", w2, spec.seed, prefix="s2_",
                  **spec.stage2_params)
-    stage2 = Pipeline(stages=[idx, *prep2.getStages(), l2]).fit(attacks)
+    stage2 = fit_learner(prep2, l2, attacks, [idx])
     return TwoStageModel(stage1, stage2, list(idx.labels), spec)
 
 
@@ -129,7 +129,7 @@ class SingleStageModel:
     labels: list[str]
 
     def predict(self, df: DataFrame, pred_col: str = "y_pred") -> DataFrame:
-        out = self.model.transform(spread(df))
+        out = self.model.transform(df)
         out = IndexToString(inputCol="ss_prediction", outputCol=pred_col, labels=self.labels).transform(out)
         return out.drop(*[c for c in out.columns if c.startswith(("ss_", "ps_"))])
 
@@ -138,10 +138,10 @@ def fit_single_stage(train: DataFrame, spec: CascadeSpec, kind: str | None = Non
     """One multi-class learner on all classes (same prep recipe)."""
     t = train.withColumn(spec.label_col, F.coalesce(F.col(spec.label_col).cast("string"), F.lit("nan")))
     idx = StringIndexer(inputCol=spec.label_col, outputCol="ss_label", stringOrderType="alphabetAsc").fit(t)
-    prep = build_preprocessor(spec.num_cols, spec.cat_cols, features_col="ss_features", tag="ps")
+    prep = build_preprocessor(spec.num_cols, spec.cat_cols, features_col="ss_features", encode=spec.encode, tag="ps")
     lrn = learner(kind or spec.stage2, "ss_label", "ss_features", spec.weight_col, spec.seed, prefix="ss_",
                   **(params or spec.stage2_params))
-    model = Pipeline(stages=[idx, *prep.getStages(), lrn]).fit(t)
+    model = fit_learner(prep, lrn, t, [idx])
     return SingleStageModel(model, list(idx.labels))
 
 
@@ -175,7 +175,6 @@ def cv_compare(folded: DataFrame, spec: CascadeSpec, dataset: str, fold_col: str
             s_f1 = macro_f1(single.predict(test), y, "y_pred").first()["macro_f1"]
             two = fit_two_stage(train, spec)
             t_f1 = macro_f1(two.predict(test), y, "y_pred").first()["macro_f1"]
-            two.release()
             return [(dataset, "single_stage", run, f, s_f1), (dataset, "two_stage", run, f, t_f1)]
         return task
 

@@ -56,20 +56,36 @@ def learner(kind: str, label_col: str, features_col: str = "features", weight_co
     raise ValueError(f"unknown learner: {kind}")
 
 
+def fit_learner(prep: Pipeline, estimator, train: DataFrame, first: list | None = None) -> PipelineModel:
+    """Fit preparation, then the learner. Trees need as many bins as an index-encoded column (M6) has
+    values: ``maxBins`` follows the fitted indexers."""
+    from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel
+    fitted = Pipeline(stages=[*(first or []), *prep.getStages()]).fit(train)
+    encoded = {c for s in fitted.stages if isinstance(s, OneHotEncoderModel) for c in s.getInputCols()}
+    sizes = [len(labels) + 1 for s in fitted.stages if isinstance(s, StringIndexerModel) and s.isSet(s.outputCols)
+             for labels, out in zip(s.labelsArray, s.getOutputCols()) if out not in encoded]
+    if estimator.hasParam("maxBins") and max(sizes, default=0) > estimator.getMaxBins():
+        estimator = estimator.copy({estimator.maxBins: max(sizes)})
+    model = estimator.fit(fitted.transform(train))
+    return PipelineModel(stages=[*fitted.stages, model])
+
+
 def replicate_by_weight(df: DataFrame, weight_col: str, id_col: str, seed: int = 42,
                         copy_col: str = "copy") -> DataFrame:
     """Class weighting for a learner without ``weightCol`` (the perceptron).
 
-    A row of weight w appears ⌊w⌋ times plus once more when its hash fraction
-    is below frac(w): deterministic, expected count exactly w, done by a
-    generator inside the scan (no join, no shuffle).
+    Weights are taken relative to the smallest positive one, so every row appears at least
+    once: a row of relative weight w appears ⌊w⌋ times plus once more when its hash fraction
+    is below frac(w). Deterministic, expected count exactly w, done by a generator (no
+    shuffle of rows; the smallest weight is a one-row aggregate). Rows of weight 0 or null are left out.
     """
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 8), 16, 10)
     u = h.cast("double") / F.lit(float(1 << 32))
     w = F.col(weight_col).cast("double")
+    least = df.where(w > 0).agg(F.min(w)).first()[0] or 1.0
+    w = w / F.lit(least)
     n = (F.floor(w) + (u < (w - F.floor(w))).cast("int")).cast("int")
-    return df.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))) \
-        .where(F.col(copy_col) <= n)
+    return df.where(w > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(1), n)))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -106,18 +122,48 @@ def learning_curve(gbt_model, df: DataFrame) -> DataFrame:
                                  "iteration int, loss double")
 
 
+def macro_f1_curve(gbt_model, rows: DataFrame, label: str, part: str, features: str = "features") -> DataFrame:
+    """(part, iteration, macro_f1, best) of boosted binary trees, all iterations in one pass.
+
+    The margin after i trees is the weighted sum of the first i tree predictions: each tree scores the
+    rows once, running sums give every prefix, and one aggregate counts tp, fp, fn, tn per prefix.
+    ``best`` marks the iteration of the highest macro-F1 on the part ``validation`` (the earliest of equals).
+    """
+    trees, weights = gbt_model.trees, list(gbt_model.treeWeights)
+    scored = rows
+    for i, tree in enumerate(trees):
+        scored = tree.setPredictionCol(f"_t{i}").setFeaturesCol(features).transform(scored)
+    total, steps = F.lit(0.0), []
+    for i, w in enumerate(weights):
+        total = total + F.lit(float(w)) * F.col(f"_t{i}")
+        steps.append(F.struct(F.lit(i + 1).alias("iteration"), (total > 0).alias("hit")))
+    long = scored.select(F.col(part).alias("part"), (F.col(label) == 1).alias("y"), F.explode(F.array(*steps)).alias("s"))
+
+    def n(cond):
+        return F.sum(F.when(cond, 1).otherwise(0))
+    y, hit = F.col("y"), F.col("s.hit")
+    c = long.groupBy("part", F.col("s.iteration").alias("iteration")).agg(
+        n(y & hit).alias("tp"), n(~y & hit).alias("fp"), n(y & ~hit).alias("fn"), n(~y & ~hit).alias("tn"))
+    f1 = [F.coalesce(F.try_divide(2.0 * F.col(a), 2 * F.col(a) + F.col("fp") + F.col("fn")), F.lit(0.0)) for a in ("tp", "tn")]
+    c = checkpointed(c.select("part", "iteration", ((f1[0] + f1[1]) / 2).alias("macro_f1")))
+    top = c.where("part = 'validation'").agg(F.min_by("iteration", F.struct((-F.col("macro_f1")).alias("m"), "iteration")).alias("i"))
+    best = top.first()["i"]
+    return c.withColumn("best", (F.col("iteration") == F.lit(best)).cast("int"))
+
+
 def compare_models(builders: dict[str, Callable[[], Pipeline]], train: DataFrame, test: DataFrame,
-                   score: Callable[[DataFrame], float], log=None) -> list[tuple[str, float | None]]:
-    """Fit each named pipeline; a failure records a null score and the loop goes on."""
+                   score: Callable[[DataFrame], float], log=None) -> list[tuple[str, float | None, str | None]]:
+    """Fit each named pipeline → (name, score, error); a failure records a null score with its
+    message and the loop goes on."""
     results = []
     for name, build in builders.items():
         try:
             model: PipelineModel = build().fit(train)
-            results.append((name, float(score(model.transform(test)))))
+            results.append((name, float(score(model.transform(test))), None))
         except Exception:  # noqa: BLE001 — the reference's "NaN for that fold" behaviour
             if log:
                 log(traceback.format_exc())
-            results.append((name, None))
+            results.append((name, None, traceback.format_exc(limit=1).strip().splitlines()[-1][:500]))
     return results
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels as L
 from ..functions import scalar as S
@@ -24,9 +25,8 @@ from ..operators import stats as A
 from ..operators.features import FeatureOptions, add_features, select_features
 from ..operators.models import replicate_by_weight
 from ..operators.prep import MedianImputer, ModeImputer, PopStandardScaler, one_hot_stages
-from ..operators.parallel import spread
-from ..operators.small import bounded_rows
-from ..session import table
+from ..session import checkpoint_root, table
+from ..sources import io as IO
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +115,7 @@ SELECT doc_id,
        CAST(regexp_matches(lt, '{S.UA_BROWSER_PATTERN}') AS INTEGER) AS ua_is_browser
 FROM l""")
 def text_attack_flags(spark: SparkSession, d: str) -> DataFrame:
-    t = spread(table(spark, d, "documents"))
+    t = table(spark, d, "documents")
     ua = S.ua_flags("text")
     return t.select("doc_id", S.has_ip("text").alias("has_ip"), S.has_sql_chars("text").alias("has_sql_chars"),
                     S.has_cmd_chars("text").alias("has_cmd_chars"),
@@ -230,7 +230,7 @@ FROM siem"""
 
 def siem_features(spark: SparkSession, d: str, opts: FeatureOptions = FeatureOptions()) -> DataFrame:
     """The SIEM stand-in with every engineered column (used by the trained queries too)."""
-    return add_features(spread(X.siem(spark, d)), opts)
+    return add_features(X.siem(spark, d), opts)
 
 
 @register("feature_groups", _siem_feature_sql())
@@ -315,6 +315,51 @@ def union_sources(spark: SparkSession, d: str) -> DataFrame:
     return both.select("event_id", "source", "split", "event_type", "user_id", r6("value").alias("value"))
 
 
+def _csv_parts(spark: SparkSession, d: str) -> str:
+    """`events` written to shared storage as CSV folders whose headers differ in order and in columns."""
+    import uuid
+    root = f"{checkpoint_root(spark)}/csv/{uuid.uuid4().hex}"
+    ev = table(spark, d, "events")
+    for k, cols in enumerate((["event_id", "value", "event_type"], ["event_type", "user_id", "event_id", "value"],
+                              ["user_id", "event_id", "event_type"])):
+        ev.where(F.col("event_id") % 3 == k).select(*cols).write.option("header", True).csv(f"{root}/part{k}")
+    return root
+
+
+@register("csv_folder", """
+SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id END AS user_id, event_type,
+       round(CASE WHEN event_id % 3 <> 2 THEN value END, 6) AS value FROM events""")
+def csv_folder(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of CSV files with differing headers, bound by name, typed afterwards."""
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+                           T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+    got = IO.read_folder(spark, f"{_csv_parts(spark, d)}/*", "*.csv", schema)
+    return got.select("event_id", "user_id", "event_type", r6("value").alias("value"))
+
+
+@register("csv_pair", """
+SELECT event_id, 'train' AS split, event_type, round(value, 6) AS value FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 'test', event_type, round(value, 6) FROM events WHERE event_id % 3 = 1""")
+def csv_pair(spark: SparkSession, d: str) -> DataFrame:
+    """The train and test files of a data set, headers in different order."""
+    root = _csv_parts(spark, d)
+    both = IO.read_pair(spark, f"{root}/part0", f"{root}/part1", required=["event_id", "value", "event_type"])
+    typed = P.coerce_numeric(both, ["event_id", "value"])
+    return typed.select(F.col("event_id").cast("long").alias("event_id"), "split", "event_type", r6("value").alias("value"))
+
+
+@register("scores_roundtrip", f"""
+WITH {SCORES} SELECT dataset, model, run, fold, round(macro_f1, 6) AS macro_f1 FROM scores""")
+def scores_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Fold scores written as JSON and read back, through a Parquet table."""
+    import uuid
+    root = f"{checkpoint_root(spark)}/scores/{uuid.uuid4().hex}"
+    IO.write_scores(X.fold_scores(spark, d), f"{root}/json")
+    IO.write_table(IO.read_scores(spark, f"{root}/json"), f"{root}/table", partition_by=["dataset"])
+    back = spark.read.parquet(f"{root}/table")
+    return back.select("dataset", "model", "run", "fold", r6("macro_f1").alias("macro_f1"))
+
+
 # ---------------------------------------------------------------------------
 # L1–L6 labels
 # ---------------------------------------------------------------------------
@@ -370,9 +415,8 @@ def label_encode(spark: SparkSession, d: str) -> DataFrame:
 SELECT lang, CAST(count(*) OVER () AS BIGINT) AS n_classes FROM (SELECT DISTINCT lang FROM documents)""")
 def distinct_labels(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.labels import distinct_labels as labels_of
-    u = table(spark, d, "documents").select("lang").distinct()
-    n = len(labels_of(u, "lang"))  # L6: class count of a class-sized table
-    return u.withColumn("n_classes", F.lit(n).cast("long"))
+    u = labels_of(table(spark, d, "documents"), "lang")
+    return u.withColumn("n_classes", F.count(F.lit(1)).over(Window.partitionBy()).cast("long"))  # class-sized
 
 
 # ---------------------------------------------------------------------------
@@ -443,7 +487,7 @@ def _clean_values(spark: SparkSession, d: str) -> DataFrame:
 WITH {_VALS} SELECT event_id, round(COALESCE(value, (SELECT median(value) FROM v)), 6) AS value FROM v""")
 def median_impute(spark: SparkSession, d: str) -> DataFrame:
     v = _clean_values(spark, d)
-    m = MedianImputer(inputCols=["value"], method="exact").fit(v)  # Spark's median; see median_select
+    m = MedianImputer(inputCols=["value"]).fit(v)
     return m.transform(v).select("event_id", r6("value").alias("value"))
 
 
@@ -452,7 +496,7 @@ WITH {_VALS} SELECT round(median(value), 6) AS median, CAST(count(value) AS BIGI
 def median_select(spark: SparkSession, d: str) -> DataFrame:
     """Exact median by distributed selection (bounded memory) — must equal ``median``."""
     v = _clean_values(spark, d)
-    m = MedianImputer(inputCols=["value"], method="select").fit(v)
+    m = MedianImputer(inputCols=["value"]).fit(v)
     med = float(m.getOrDefault(m.surrogates)[0])
     return v.agg(F.count("value").cast("long").alias("n")).select(r6(F.lit(med)).alias("median"), "n")
 
@@ -564,10 +608,33 @@ def time_split(spark: SparkSession, d: str) -> DataFrame:
     return R.time_split(ev, "ts", "event_id", 0.7).select("event_id", "is_train")
 
 
+@register("time_split_text_id", """
+SELECT 'e' || CAST(event_id AS VARCHAR) AS id,
+       CAST(row_number() OVER (ORDER BY ts NULLS LAST, 'e' || CAST(event_id AS VARCHAR)) <= floor(count(*) OVER () * 0.7)
+            AS INTEGER) AS is_train
+FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ts END AS ts FROM events)""")
+def time_split_text_id(spark: SparkSession, d: str) -> DataFrame:
+    """R4 with text ids and most times missing: the cut falls among ties, where the id decides."""
+    ev = table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"),
+                                          F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("ts"))
+    return R.time_split(ev, "ts", "id", 0.7).select("id", "is_train")
+
+
+@register("cv_fold_sizes", """
+WITH r AS (SELECT unnest(range(5)) AS run),
+f AS (SELECT run, lang, (row_number() OVER (PARTITION BY run ORDER BY lang, md5(CAST(42 + run AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS fold
+      FROM documents, r)
+SELECT CAST(run AS INTEGER) AS run, CAST(fold AS INTEGER) AS fold, lang, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY run, fold, lang""")
+def cv_fold_sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    f = R.repeated_folds(docs, "lang", "doc_id", k=5, runs=5, seed=42)
+    return f.groupBy("run", "fold", "lang").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
 @register("replicate_weighted", """
 WITH w AS (SELECT toxic, count(*) OVER () * 1.0 / (count(*) OVER (PARTITION BY toxic) * 2) AS weight, doc_id
            FROM labels),
-u AS (SELECT doc_id, toxic, weight,
+u AS (SELECT doc_id, toxic, weight / min(weight) OVER () AS weight,
              CAST(('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM w),
 n AS (SELECT doc_id, toxic, CAST(floor(weight) + CASE WHEN u < weight - floor(weight) THEN 1 ELSE 0 END AS INTEGER) AS n
       FROM u)
@@ -616,13 +683,13 @@ def _single_rule() -> Column:
 
 
 def cascade_predictions(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents")).select("doc_id", F.col("lang").alias("y_true"), "text")
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("y_true"), "text")
     out = C.rule_cascade(docs, _stage1_score(), _stage2_rule(), RULE_THRESHOLD, "en")
     return out.drop("text")
 
 
 def single_predictions(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents")).select("doc_id", F.col("lang").alias("y_true"), "text")
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("y_true"), "text")
     return docs.select("doc_id", "y_true", _single_rule().alias("y_pred"))
 
 
@@ -712,8 +779,8 @@ SELECT COALESCE(a.class, b.class) AS class, round(COALESCE(a.f, 0), 6) AS single
        round(COALESCE(b.f, 0), 6) AS two_stage_f1, round(COALESCE(b.f, 0) - COALESCE(a.f, 0), 6) AS improvement
 FROM a FULL JOIN b ON a.class = b.class""")
 def f1_compare(spark: SparkSession, d: str) -> DataFrame:
-    single = E.class_report(single_predictions(spark, d), "y_true", "y_pred")
-    two = E.class_report(cascade_predictions(spark, d), "y_true", "y_pred")
+    single = E.class_report(single_predictions(spark, d), "y_true", "y_pred", with_kind=True)
+    two = E.class_report(cascade_predictions(spark, d), "y_true", "y_pred", with_kind=True)
     c = E.f1_compare(single, two)
     return c.select("class", r6("single_f1").alias("single_f1"), r6("two_stage_f1").alias("two_stage_f1"),
                     r6("improvement").alias("improvement"))
@@ -941,8 +1008,7 @@ def all_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["QUERIES", "SQL", "all_queries", "all_sql", "siem_features", "cascade_predictions",
-           "bounded_rows"]
+__all__ = ["QUERIES", "SQL", "all_queries", "all_sql", "siem_features", "cascade_predictions"]
 
 
 # ---------------------------------------------------------------------------
@@ -961,6 +1027,15 @@ def _risk_class() -> Column:
             .when(F.col("dst_port_is_ssh") == 1, "credential_attack").otherwise("scanning"))
 
 
+def scattered(spark: SparkSession, d: str, name: str, parts: int = 6) -> str:
+    """A table written to shared storage as files that hold rows of all times: its path."""
+    import uuid
+    path = f"{checkpoint_root(spark)}/scattered/{name}-{uuid.uuid4().hex}"
+    t = table(spark, d, name)
+    t.repartition(parts, F.xxhash64(t.columns[0])).write.parquet(path)
+    return path
+
+
 @register("stream_alerts", f"""
 WITH {SIEM}, f AS (
   SELECT event_id, TRY_CAST(timestamp AS TIMESTAMP) AS t, lower(COALESCE(user_agent, '')) AS ua,
@@ -969,16 +1044,17 @@ WITH {SIEM}, f AS (
 s AS (SELECT t, db, ssh, (CAST(contains(ua, 'curl') AS INTEGER) + CAST(contains(ua, 'wget') AS INTEGER)
          + CAST(regexp_matches(ua, 'python|requests|urllib') AS INTEGER) + db + ssh) / 5.0 AS p FROM f),
 c AS (SELECT t, CASE WHEN p > 0.1 THEN CASE WHEN db = 1 THEN 'injection' WHEN ssh = 1 THEN 'credential_attack'
-                                            ELSE 'scanning' END ELSE 'benign' END AS y_pred FROM s WHERE t IS NOT NULL)
+                                            ELSE 'scanning' END ELSE 'benign' END AS y_pred FROM s)
 SELECT time_bucket(INTERVAL '1 day', t) AS window_start, y_pred, CAST(count(*) AS BIGINT) AS alerts
 FROM c GROUP BY 1, 2""")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.features import add_features
-    from ..streaming.scoring import alert_counts, read_table_stream, run_available, score_stream_rules
+    from ..streaming.scoring import alert_counts, count_available, read_log_stream, score_stream_rules
     schema = table(spark, d, "events").schema
-    ev = read_table_stream(spark, d, "events", schema)
-    feats = add_features(ev.selectExpr(*X.SIEM_EXPRS))
-    feats = feats.withColumn("_ts", S.parse_timestamp("timestamp")).where(F.col("_ts").isNotNull())
-    scored = score_stream_rules(feats, _risk_score(), _risk_class(), 0.1, "benign")
-    counts = run_available(alert_counts(scored, "_ts", "1 day", "1 day"))
-    return counts.select("window_start", "y_pred", "alerts")
+    ev = read_log_stream(spark, scattered(spark, d, "events"), schema, max_files_per_trigger=1)
+
+    def alerts(batch: DataFrame) -> DataFrame:
+        feats = add_features(batch.selectExpr(*X.SIEM_EXPRS)).withColumn("_ts", S.parse_timestamp("timestamp"))
+        return alert_counts(score_stream_rules(feats, _risk_score(), _risk_class(), 0.1, "benign"), "_ts", "1 day")
+
+    return count_available(ev, alerts).select("window_start", "y_pred", "alerts")

@@ -29,7 +29,7 @@ SIEM_EXPRS = [
     "CASE event_id % 3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' ELSE 'icmp' END AS protocol",
     "value AS bytes_sent",
     "user_id * 10 AS bytes_received",
-    "'/' || event_type || '?id=' || CAST(event_id AS STRING) || "
+    "'/page' || CAST(user_id % 17 AS STRING) || '?id=' || CAST(event_id AS STRING) || "
     "CASE WHEN event_id % 5 = 0 THEN '&q=1' ELSE '' END AS url",
     "CASE user_id % 5 WHEN 0 THEN 'curl/8.0' WHEN 1 THEN 'Wget/1.21' WHEN 2 THEN 'python-requests/2.31' "
     "WHEN 3 THEN 'Mozilla/5.0 Firefox/120' ELSE NULL END AS user_agent",
@@ -48,7 +48,7 @@ FLOW_EXPRS = [
     "l_suppkey AS src_port", "l_partkey AS dst_port",
     "CASE l_linestatus WHEN 'F' THEN 'tcp' ELSE 'udp' END AS protocol",
     "l_extendedprice AS bytes_sent", "l_quantity AS bytes_received",
-    "'/' || l_returnflag || '?q=' || CAST(l_linenumber AS STRING) AS url",
+    "'/page' || CAST(l_suppkey % 17 AS STRING) || '?q=' || CAST(l_linenumber AS STRING) AS url",
     "CASE l_linenumber % 4 WHEN 0 THEN 'curl/8.0' WHEN 1 THEN 'Mozilla/5.0' ELSE NULL END AS user_agent",
     "CASE l_returnflag WHEN 'N' THEN 'benign' WHEN 'A' THEN 'port-scan' ELSE 'ddos' END AS attack_type",
 ]
