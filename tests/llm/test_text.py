@@ -219,7 +219,7 @@ def test_gumbel_follows_weights(spark):
 
 CASES = [
     ("<p>one<p>two", "one\n\ntwo"), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "- a\n- b\n  - c\n- d"),
-    ("<ol start=3><li>x<li><p>y</ol>", "3. x\n4. y"), ("a<br>b<br><br>c", "a\nb\n\nc"), ("x <b>y</b>z", "x yz"),
+    ("<ol start=3><li>x<li>y</ol>", "3. x\n4. y"), ("<ul><li>x<li><p>y</ul>", "- x\n\n- y"), ("a<br>b<br><br>c", "a\nb\n\nc"), ("x <b>y</b>z", "x yz"),
     ("<table><tr><th>Name<th>N<tr><td>ab<td>1<tr><td>c<td>22</table>", "Name  N\nab    1\nc     22"),
     ("<table><tr><td colspan=2>wide cell<tr><td>a<td>b</table>", "wide cell\na  b"),
     ("<pre>  x\n    y</pre>z", "  x\n    y\n\nz"), ("<script>a<b</script>t<style>p{}</style><!-- c -->u", "tu"),
@@ -228,7 +228,7 @@ CASES = [
     ("<details open><summary>s</summary>t</details>", "s\nt"), ("&lt;b&gt; &amp;&eacute;", "<b> &é"), ("a < b", "a < b"),
     ("<p>x<!-- open", "x"), ("<title>T</title><h1>H</h1>t", "H\n\nt"), ("<head><meta><p>x</p>", "x"),
     ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n  d\nu\n  e"), ("<blockquote>q</blockquote>r", "  q\n\nr"), ("", ""), (None, ""),
-    ("<select><option>a<option>b</select>", "a\nb"), ("<textarea> a\n b</textarea>", "a\n b"), ("</p>x</div>", "x"),
+    ("<select><option>a<option>b</select>", "a\nb"), ("<textarea> a\n b</textarea>", " a\n b"), ("</p>x</div>", "x"),
 ]
 
 

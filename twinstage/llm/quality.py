@@ -101,7 +101,8 @@ def js_distance(p: Column, q: Column) -> Column:
         return F.when(a > 0, a * F.log2(F.lit(2.0) * a / (a + b))).otherwise(F.lit(0.0))
 
     terms = F.zip_with(share(p), share(q), lambda a, b: (part(a, b) + part(b, a)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v), F.lit(0.0)))
+    total = F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
