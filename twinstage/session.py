@@ -31,8 +31,11 @@ def get_spark(master: str | None = None, app: str = "twinstage", **conf: str) ->
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    SparkContext._ensure_initialized()  # only then SparkConf() holds what was submitted
-    submitted = SparkConf()
+    start = SparkConf(loadDefaults=False).set("spark.ui.showConsoleProgress", "false")
+    for k, v in conf.items():  # what is asked for here has to be there when the JVM starts (memory)
+        start.set(k, v)
+    SparkContext._ensure_initialized(conf=start)
+    submitted = SparkConf()  # now holds what was submitted
     builder = SparkSession.builder
     if not submitted.contains("spark.app.name"):
         builder = builder.appName(app)
