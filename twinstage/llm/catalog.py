@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed, html, importance, licenses, minhash, mixing, quality, suffix, urls
+from . import bpe, embed, html, importance, licenses, minhash, mixing, oracles, quality, suffix, urls
 from .common import read_table, ready
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -71,4 +71,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql() -> dict[str, str]:
-    return {"op5_urls": urls.oracle(urls.RULES)}
+    return {"op3_suffix": oracles.REPEATS, "op5_urls": urls.oracle(urls.RULES), "op9_minhash": oracles.NEAR_DUPLICATES,
+            "op10_embeddings": oracles.EMBEDDINGS}
