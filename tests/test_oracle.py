@@ -9,7 +9,7 @@ from conftest import SF_SMALL
 
 import __spark_entry__ as ENTRY
 
-TABLES = ["customer", "orders", "lineitem", "events", "documents", "pages", "labels"]
+TABLES = ["customer", "orders", "lineitem", "events", "documents", "pages", "labels", "embeddings"]
 
 
 @pytest.fixture(scope="module")
