@@ -7,7 +7,8 @@ agree on at least ``threshold`` of ``lanes`` coordinates must share one of the
 first ``lanes - threshold + 1`` values in that order (the prefix); the values
 behind it are skipped, and so is every class whose prefix holds only values of its
 own. Collisions are then counted over the whole signatures, pairs below the
-threshold dropped, and what is left is confirmed on the full shingle sets.
+threshold, or whose set sizes rule the similarity out, are dropped, and what is left is
+confirmed on the full shingle sets.
 
 Components need no pair twice. A first round pairs each posting with the first
 class of its list (linear in the postings). A second round pairs, inside a list,
@@ -90,7 +91,7 @@ def fingerprints(rows: DataFrame, text: str, shingle: int, lanes: int | None) ->
 
 
 def _postings(classes: DataFrame, lanes: int, threshold: int) -> DataFrame:
-    """(key, cls, rep, sig): the prefix postings of every class that shares a value with another."""
+    """(key, cls, rep, n, sig): the prefix postings of every class that shares a value with another."""
     coords = classes.select("cls", F.posexplode("sig").alias("lane", "value")).select(
         "cls", F.xxhash64("lane", "value").alias("key"))
     shared = coords.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -99,8 +100,13 @@ def _postings(classes: DataFrame, lanes: int, threshold: int) -> DataFrame:
     room = F.lit(lanes - threshold + 1) - (F.lit(lanes) - F.size("held"))  # values of its own come first
     prefix = F.slice("held", F.lit(1), F.greatest(room, F.lit(0)))
     return (held.select("cls", prefix.alias("held")).where(F.size("held") > 0)
-            .join(classes.select("cls", "rep", "sig"), "cls")
-            .select(F.explode("held.key").alias("key"), "cls", "rep", "sig"))
+            .join(classes.select("cls", "rep", "n", "sig"), "cls")
+            .select(F.explode("held.key").alias("key"), "cls", "rep", "n", "sig"))
+
+
+def _near_sizes(x: str, y: str, percent: int):
+    """Sets of such sizes can reach the similarity at all."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
 def _collisions(a: str, b: str):
@@ -141,11 +147,11 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
     X.ready(docs.sparkSession)
     members = X.stored(fingerprints(docs.select("id", "text"), "text", shingle, lanes), "signatures")
     classes = X.stored(members.where(F.col("cls").isNotNull()).groupBy("cls").agg(
-        F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
+        F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     posted = X.stored(_postings(classes, lanes, threshold), "postings")
 
-    pivot = posted.groupBy("key").agg(F.min(F.struct("rep", "cls", "sig")).alias("p"))
-    first = (posted.join(pivot, "key").where(F.col("cls") != F.col("p.cls"))
+    pivot = posted.groupBy("key").agg(F.min(F.struct("rep", "cls", "n", "sig")).alias("p"))
+    first = (posted.join(pivot, "key").where((F.col("cls") != F.col("p.cls")) & _near_sizes("n", "p.n", percent))
              .where(_collisions("sig", "p.sig") >= threshold)
              .select(F.greatest("cls", "p.cls").alias("a"), F.least("cls", "p.cls").alias("b")).distinct())
     first = X.stored(first, "pairs")
@@ -156,17 +162,17 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
 
     now = (posted.join(found.withColumnRenamed("node", "cls"), "cls", "left")
            .withColumn("root", F.coalesce("root", "cls")))
-    sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = (sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("k"))
+    sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
+    largest = (sizes.groupBy("key").agg(F.max(F.struct("members", "root")).alias("m"), F.count(F.lit(1)).alias("k"))
                .where("k > 1").select("key", F.col("m.root").alias("top")))
-    open_ = X.stored(now.join(largest, "key").select("key", "cls", "root", "sig", (F.col("root") == F.col("top")).alias("main")), "open")
+    open_ = X.stored(now.join(largest, "key").select("key", "cls", "root", "n", "sig", (F.col("root") == F.col("top")).alias("main")), "open")
 
     # who meets anyone of another component at all (no pairs yet), then the meeting itself: the sets come along,
     # so that a pair is confirmed where it arises, at its first common value, and only links leave the join
     def other(d: DataFrame) -> DataFrame:
         return d.select("key", *[F.col(c).alias(f"o_{c}") for c in d.columns if c != "key"])
 
-    apart = (F.col("root") != F.col("o_root")) & (_collisions("sig", "o_sig") >= threshold)
+    apart = (F.col("root") != F.col("o_root")) & _near_sizes("n", "o_n", percent) & (_collisions("sig", "o_sig") >= threshold)
     outside = X.stored(_semi(open_.where(~F.col("main")), other(open_), apart), "outside")
     inside = _semi(open_.where("main"), other(outside), apart)
     both = X.stored(outside.union(inside), "meeting")
