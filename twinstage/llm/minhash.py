@@ -178,10 +178,12 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
     both = X.stored(outside.union(inside), "meeting")
     full = _sets(both.select("cls"), docs, classes, shingle)
     keys = both.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # at most `lanes` of them
-    both = both.join(keys, "cls").join(full, "cls")
-    once = F.col("key") == F.array_min(F.array_intersect("keys", "o_keys"))
+    both = both.join(keys, "cls").join(full, "cls").withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    once = ~F.arrays_overlap("before", "o_before")  # the cheap conditions stand first
     more = (both.where(~F.col("main")).join(other(both), "key")
-            .where((F.col("o_main") | (F.col("cls") < F.col("o_cls"))) & apart & once & _similar("hashes", "o_hashes", percent))
+            .where((F.col("o_main") | (F.col("cls") < F.col("o_cls"))) & (F.col("root") != F.col("o_root"))
+                   & _near_sizes("n", "o_n", percent) & once & (_collisions("sig", "o_sig") >= threshold)
+                   & _similar("hashes", "o_hashes", percent))
             .select(F.col("cls").alias("a"), F.col("o_cls").alias("b")))
     more = X.stored(more, "links")
     # the second round's links join components of the first: only their roots are worked on
