@@ -48,6 +48,33 @@ def test_quality_against_labels(spark):
     assert d.columns == quality.keep_good(d).columns
 
 
+def _english(rnd, n):
+    common = quality.COMMON_WORDS["en"]
+    return " ".join(rnd.choice(common) if rnd.random() < 0.4 else "".join(rnd.choice("abcdefghiklmnoprst") for _ in range(rnd.randint(3, 9)))
+                    for _ in range(n)) + "."
+
+
+def test_quality_reference_holds_against_skew(spark):
+    """Neither one long table nor a hot source of tables turns the verdict on clean texts; texts without a
+    language are not held against each other; clean texts just above the guards are not dropped for noise."""
+    rnd = random.Random(3)
+    def table(n):
+        return " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+    clean = [(k, _english(rnd, rnd.choice([85, 100, 300])), "en", f"s{k % 5}") for k in range(200)]
+    long_one = [(1000, table(60_000), "en", "s0")]
+    hot = [(2000 + k, table(200), "en", "hot") for k in range(150)]
+    null = [(3000 + k, _english(rnd, 120), None, "s1") for k in range(40)]
+    null += [(3100 + k, "".join(rnd.choice("абвгдеж ") for _ in range(900)), None, "s2") for k in range(10)]
+    for odd in (long_one, hot):
+        d = spark.createDataFrame([*clean, *odd, *null], "doc_id long, text string, lang string, source string")
+        got = {r.doc_id: r for r in quality.judge_quality(d).collect()}
+        assert [k for k, *_ in clean + null if not got[k].kept] == []
+        assert not any(got[k].kept for k, *_ in odd)
+        if odd is long_one:
+            bare = {r.doc_id: r.kept for r in quality.judge_quality(d.drop("source")).collect()}
+            assert all(bare[k] for k, *_ in clean + null) and not bare[1000]
+
+
 def test_js_distance(spark):
     rnd = random.Random(1)
     rows = [([rnd.randrange(9) for _ in range(5)], [rnd.randrange(1, 9) for _ in range(5)]) for _ in range(30)] + [([0] * 5, [1] * 5)]

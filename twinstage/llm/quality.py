@@ -1,24 +1,37 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Per document: a histogram of character classes and one of the common words of its
-language. Both are compared with the language's reference, the sums of the same
-histograms over all documents of that language, by Jensen-Shannon distance (the
-square root of the divergence to base 2, so 0 to 1). Short texts have noisy
-histograms: below ``min_chars`` or ``min_words`` the distance is not judged.
+language. Both are compared with the language's reference by Jensen-Shannon distance
+(the square root of the divergence to base 2, so 0 to 1).
+
+Reference: every document that passes the base rule and the guards counts with its shares,
+so the same whatever its length; the shares are averaged by source, and the reference is
+the median of the sources' averages, share by share. So neither long texts nor one hot
+source shift it: odd sources would have to be half of a language's. Sources of fewer than
+``CELL`` documents, and documents without a source, are averaged in cells of about that
+many. Where a language has one or two sources only, these are the reference.
+
+Short texts have noisy histograms: below ``min_chars`` or ``min_words`` the distance is
+not judged, and above that the limit follows the length: to the square of the given
+distance comes what the divergence of n draws from the reference itself stays below
+(mean and three deviations of chi-square with k - 1 degrees over 8 n ln 2).
 
 Counts (words are runs of anything but 0x20 and 0x09–0x0D): word_chars, n_symbols,
 n_dup_lines, n_repeat_words as described at their expressions. One pass over the texts
-makes a narrow row per document, stored once; the references are one aggregate of it
-(partial per task, so a language with most rows is no hot key), joined back by language.
-
-Edge cases: a null or empty text has no words and fails the base rule; an unknown or
-null language has no list of common words, so only its character classes are judged,
-against all texts of the same (or no) language; rows that repeat an id are judged each
-for itself. An empty table gives an empty result.
+makes a narrow row per document, stored once; the references are aggregates of it
+(partial per task, so a language or source with most rows is no hot key), joined back by
+language. Shares are added as integers, so that reruns agree.
+
+Edge cases: a null or empty text has no words and fails the base rule; an unknown
+language has no list of common words, so only its character classes are judged; texts
+without a language have nothing in common to be held against and are judged by the base
+rule alone; rows that repeat an id are judged each for itself. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +46,19 @@ COMMON_WORDS = {
 }
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
+CELL = 8           # documents that an average of the reference has at least
+_CELLS = 1021      # cells of documents without a source, by language
+_UNIT = 1 << 30    # shares are added in this unit
 # Character classes, each counted on what the ones before it left.
 CLASSES = [("lower", "[a-z]+"), ("space", SPACE), ("other_script", r"[^\x00-\x7F]+"), ("upper", "[A-Z]+"),
            ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+")]
 _CODES = "abcdefghijklmnop"
 
 
-def _base_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """One narrow row per document: id, lang, the base counts and both histograms."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
+def _base_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """One narrow row per document: id, lang, source, the base counts and both histograms."""
+    source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
+    d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), source.alias("source"),
                     F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     rest: Column = F.col("text")
     left = [F.length("text").alias("left_0")]
@@ -50,13 +67,13 @@ def _base_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
         rest = F.col(f"rest_{k}")
         left.append(F.length(rest).alias(f"left_{k + 1}"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.select("id", "lang", "mark", *left, lines.alias("lines"), F.array_remove(F.split("text", SPACE), "").alias("words"))
+    d = d.select("id", "lang", "source", "mark", *left, lines.alias("lines"), F.array_remove(F.split("text", SPACE), "").alias("words"))
 
     codes = F.lit("")
     for lang, words in COMMON_WORDS.items():
         code = F.create_map(*[F.lit(x) for pair in zip(words, _CODES) for x in pair])
         codes = F.when(F.col("lang") == lang, F.array_join(_coded("words", words, code), "")).otherwise(codes)
-    d = d.select("id", "lang", "mark", *[f"left_{k}" for k in range(len(CLASSES) + 1)],
+    d = d.select("id", "lang", "source", "mark", *[f"left_{k}" for k in range(len(CLASSES) + 1)],
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  F.size("words").cast("long").alias("n_words"), codes.alias("codes"),
                  F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
@@ -81,7 +98,7 @@ def _base_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     classes.append(F.col(f"left_{len(CLASSES)}").cast("long"))
     common = [(F.length("codes") - F.length(F.replace("codes", F.lit(c), F.lit("")))).cast("long") for c in _CODES]
     common.append(F.col("n_words") - F.length("codes"))
-    return d.select("id", "lang", "mark", "n_words", (F.col("left_0") - classes[1]).cast("long").alias("word_chars"),
+    return d.select("id", "lang", "source", "mark", "n_words", (F.col("left_0") - classes[1]).cast("long").alias("word_chars"),
                     classes[5].alias("n_symbols"), "n_dup_lines", repeated.alias("n_repeat_words"),
                     F.array(*classes).alias("classes"),
                     F.when(F.col("lang").isin(list(COMMON_WORDS)), F.array(*common)).alias("common"))
@@ -116,26 +133,58 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return rows.join(bad, same, "left_anti").select("row.*")
 
 
+def _references(rows: DataFrame) -> DataFrame:
+    """ref_lang, ref_classes, ref_common: medians of the average shares of each language's sources.
+    ``rows``: lang, source, mark and the histograms, null where they are not to count."""
+    sizes = {"classes": len(CLASSES) + 1, "common": len(_CODES) + 1}
+    names = [f"{c}_{k}" for c, m in sizes.items() for k in range(m)]
+    total = {c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v) for c in sizes}
+    shares = [F.round(F.col(c)[k] * F.lit(float(_UNIT)) / total[c]).cast("long").alias(f"{c}_{k}")
+              for c, m in sizes.items() for k in range(m)]
+    sub = F.when(F.col("source").isNull(), F.pmod("mark", F.lit(_CELLS))).otherwise(F.lit(-1).cast("long"))
+    counts = [F.count(f"{c}_0").alias(f"n_{c}") for c in sizes]
+    d = rows.where(F.col("lang").isNotNull() & F.col("classes").isNotNull()).select("lang", "source", sub.alias("sub"), *shares)
+    d = d.groupBy("lang", "source", "sub").agg(*counts, *[F.sum(x).alias(x) for x in names])
+    # small ones together, about CELL documents in each cell
+    small = F.col("n_classes") < CELL
+    few = d.groupBy("lang").agg(F.sum(F.when(small, F.col("n_classes")).otherwise(0)).alias("few"))
+    d = d.join(few.withColumnRenamed("lang", "few_lang"), F.col("lang") == F.col("few_lang"))
+    bins = F.greatest(F.lit(1), F.least(F.lit(_CELLS), F.floor(F.col("few") / CELL))).cast("long")
+    cell = F.when(small, F.pmod(F.xxhash64("source", "sub"), bins)).otherwise(F.lit(-1).cast("long"))
+    d = d.groupBy("lang", F.when(~small, F.col("source")).alias("source"), F.when(~small, F.col("sub")).alias("sub"),
+                  cell.alias("cell")).agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in sizes], *[F.sum(x).alias(x) for x in names])
+    d = d.select("lang", *[(F.col(f"{c}_{k}") / F.col(f"n_{c}")).alias(f"{c}_{k}") for c, m in sizes.items() for k in range(m)])
+    # the median of an even number is the mean of the lower and the upper one
+    d = d.groupBy("lang").agg(*[((F.percentile_approx(x, 0.5) - F.percentile_approx(-F.col(x), 0.5)) / 2).alias(x) for x in names])
+    return d.select(F.col("lang").alias("ref_lang"), *[
+        F.when(F.col(f"{c}_0").isNotNull(), F.array(*[f"{c}_{k}" for k in range(m)])).alias(f"ref_{c}") for c, m in sizes.items()])
+
+
+def limit(distance: float, n: Column, k: int) -> Column:
+    """Largest distance that passes for a histogram of ``k`` classes and ``n`` counts."""
+    noise = ((k - 1) + 3 * math.sqrt(2 * (k - 1))) / (8 * math.log(2))
+    return F.sqrt(F.lit(float(distance * distance)) + F.lit(noise) / n)
+
+
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   max_class_distance: float = 0.25, max_word_distance: float = 0.25, min_chars: int = 200,
-                  min_words: int = 80) -> DataFrame:
+                  min_words: int = 80, source_col: str = "source") -> DataFrame:
     """One row per document: id_col, the base counts, base_failed, both distances, kept; lang, and mark (a
-    hash of the text)."""
+    hash of the text). ``source_col`` may be missing."""
     X.ready(docs.sparkSession)
-    rows = X.stored(_base_counts(docs, id_col, text_col, lang_col), "quality")
-    sums = [F.sum(F.col(c)[k]).alias(f"{c}_{k}") for c, m in (("classes", len(CLASSES) + 1), ("common", len(_CODES) + 1))
-            for k in range(m)]
-    reference = rows.groupBy("lang").agg(*sums).select(
-        F.col("lang").alias("ref_lang"), F.array(*[f"classes_{k}" for k in range(len(CLASSES) + 1)]).alias("ref_classes"),
-        F.array(*[f"common_{k}" for k in range(len(_CODES) + 1)]).alias("ref_common"))
-    d = rows.join(reference, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    rows = X.stored(_base_counts(docs, id_col, text_col, lang_col, source_col), "quality")
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, v: a + v)
-    by_class = F.when(chars >= min_chars, js_distance(F.col("classes"), F.col("ref_classes")))
-    by_word = F.when(F.col("n_words") >= min_words, js_distance(F.col("common"), F.col("ref_common")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    enough = {"classes": chars >= min_chars, "common": F.col("n_words") >= min_words}
+    # stored, so that Spark sees how small it is and the join does not deal rows by language
+    reference = X.stored(_references(rows.where(~failed).select(
+        "lang", "source", "mark", *[F.when(ok, F.col(c)).alias(c) for c, ok in enough.items()])), "quality-reference")
+    d = rows.join(reference, F.col("lang") == F.col("ref_lang"), "left").withColumn("chars", chars)
+    by_class = F.when(enough["classes"], js_distance(F.col("classes"), F.col("ref_classes")))
+    by_word = F.when(enough["common"], js_distance(F.col("common"), F.col("ref_common")))
     d = d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                  failed.alias("base_failed"), by_class.alias("class_distance"), by_word.alias("word_distance"),
-                 "lang", "mark")
-    odd = ((F.coalesce("class_distance", F.lit(0.0)) > max_class_distance)
-           | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance))
-    return d.withColumn("kept", ~F.col("base_failed") & ~odd)
+                 "lang", "mark", "chars")
+    odd = (F.coalesce(F.col("class_distance") > limit(max_class_distance, F.col("chars"), len(CLASSES) + 1), F.lit(False))
+           | F.coalesce(F.col("word_distance") > limit(max_word_distance, F.col("n_words"), len(_CODES) + 1), F.lit(False)))
+    return d.withColumn("kept", ~F.col("base_failed") & ~odd).drop("chars")
