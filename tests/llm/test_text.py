@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -111,6 +112,48 @@ def test_licenses(spark):
     assert by[9002].labels == "lgpl,mit" and len(by[9004].found) == 300
 
 
+def _samples(parsed):
+    """A shortest and a longest text (repeats up to 2) of a parsed regex without look-arounds' content."""
+    out = [""] * 2
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            add = [chr(arg)] * 2
+        elif op == "IN":
+            add = ["s" if str(arg[0][0]) == "CATEGORY" else chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])] * 2
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            inner = _samples(arg[2])
+            add = [inner[0] * arg[0], inner[1] * min(arg[1], 2)]
+        elif op == "SUBPATTERN":
+            add = _samples(arg[3])
+        elif op == "BRANCH":
+            add = [_samples(arg[1][0])[0], _samples(arg[1][-1])[1]]
+        else:
+            assert op == "ASSERT_NOT", op
+            add = ["", ""]
+        out = [a + b for a, b in zip(out, add)]
+    return out
+
+
+def test_license_keywords_are_in_every_match():
+    rules = licenses.signature_rules()
+    words = "|".join(sorted({r[0] for r in rules}, key=len, reverse=True))
+    for keyword, label, _, _, rx in rules:
+        for text in _samples(re._parser.parse(rx)):
+            assert re.fullmatch(rx, text), (rx, text)
+            assert keyword in re.findall(rf"(?<![^ ])(?:{words})(?= |$|v?[0-9])", text), (rx, text)
+
+
+def test_license_names_without_the_family_keyword(spark):
+    texts = {1: ("Common Development and Distribution License 1.0", "cddl"), 2: ("licensed under ASL 2.0", "apache"),
+             3: ("General Public License version 3", "gpl"), 4: ("Internet Systems Consortium License", "isc"), 5: ("GPLv3", "gpl"),
+             6: ("LGPLv2.1+", "lgpl"), 7: ("under AGPLv3.", "agpl"), 8: ("GPL2", "gpl"), 9: ("gplx gplv gplv9", ""), 10: ("general public", "")}
+    d = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(d).collect()}
+    assert {k: got[k].labels for k in texts} == {k: v for k, (_, v) in texts.items()}
+    assert all((got[k].score > 0) == bool(v) for k, (_, v) in texts.items())
+
+
 def test_license_suppression(spark):
     rules = [("aa", "inner", 1, 0.5, "bb"), ("aa", "outer", 1, 0.6, "aa bb cc"), ("aa", "worse", 2, 0.4, "aa bb cc dd"),
              ("aa", "twin", 1, 0.7, "aa bb cc"), ("aa", "crossing", 2, 0.3, "cc dd ee")]

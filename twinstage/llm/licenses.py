@@ -7,7 +7,8 @@ Signature rules: regexes over the words joined by single spaces, hundreds of the
 from families (a license's names × the ways it is granted). Each has a keyword, a
 priority tier, a confidence and a label. Two gates keep them off most texts: one
 alternation finds which keywords a text holds at all, and only rules of these keywords
-run. A rule's matches are intervals of the joined text. A match is suppressed if another
+run. A keyword is a word that every match of its rules holds, alone or with a version
+joined to its end (gplv3). A rule's matches are intervals of the joined text. A match is suppressed if another
 match of an equal or better tier contains it; of equal intervals in one tier the earlier
 rule stays. Matches that merely overlap all stay.
 
@@ -34,7 +35,8 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-# Families: keyword, label, names (regexes over single-spaced lower-case words), and version tails.
+# Families: keyword, label, names (single-spaced lower-case words), and version tails. Names without the
+# keyword are gated by their longest word.
 _FAMILIES = [
     ("apache", "apache", ["apache", "apache software", "asl"], ["1 0", "1 1", "2 0", "2"]),
     ("gnu", "gpl", ["gnu general public", "gnu gpl"], ["1", "2", "3", "2 0", "3 0"]),
@@ -89,6 +91,7 @@ _TEXTS = [
 ]
 
 
+_JOINED = r"(?= |$|v?[0-9])"  # end of a keyword: of its word, or a version
 _FOUND = "array<struct<start:int,back:int,tier:int,number:int,confidence:double,label:string>>"
 
 
@@ -98,10 +101,12 @@ def signature_rules() -> list[tuple[str, str, int, float, str]]:
     for keyword, label, names, versions in _FAMILIES:
         for tier, confidence, form in _FORMS:
             for name in names:
+                words = name.split(" ")
+                gate = keyword if keyword in words else max(words, key=len)
                 for version in [*versions, ""]:
                     if version or "licen" in form:
-                        v = rf"(?: version)? v?{version}" if version else ""
-                        rules.append((keyword, label, tier, confidence, form.format(name=name, v=v)))
+                        v = rf"(?: version)? ?v?{version}" if version else ""
+                        rules.append((gate, label, tier, confidence, form.format(name=name, v=v)))
     for code, label in _CC:
         tail = r"(?: [1-4] 0)?(?: international)?"
         end = r"(?! (?:nc|nd|sa)\b)"
@@ -141,8 +146,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     phrases = PHRASES if phrases is None else phrases
     rules = signature_rules() if rules is None else rules
     split = [(p.split(" "), label) for p, label in phrases]
-    keywords = sorted({k for k, *_ in rules})
-    any_word = "|".join(sorted({w[0] for w, _ in split} | set(keywords)))
+    keywords = sorted({k for k, *_ in rules}, key=lambda k: (-len(k), k))
+    any_word = "|".join(sorted({w[0] for w, _ in split} | set(keywords), key=lambda k: (-len(k), k)))
 
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("joined", F.trim(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")))
@@ -150,7 +155,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.length("joined") - F.length(F.replace("joined", F.lit(" "), F.lit(""))) + 1).cast("long")
     d = d.select("id", n_words.alias("n_words"), F.lower("joined").alias("joined"))
 
-    hit = F.col("joined").rlike(rf"(?:^| )(?:{any_word})(?: |$)")
+    hit = F.col("joined").rlike(rf"(?:^| )(?:{any_word}){_JOINED}")
     d = d.withColumn("joined", F.when(hit, F.col("joined")))  # from here null for texts without any keyword
     d = d.withColumn("words", F.split("joined", " "))
     places = []
@@ -167,7 +172,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                     F.lit(float(c)).alias("confidence"), F.lit(i).alias("number"),
                                     F.lit(rf"(?<![^ ])(?:{rx.strip()})(?![^ ])").alias("regex"))
                            for i, (k, label, tier, c, rx) in enumerate(rules)])
-    held = F.array_distinct(F.regexp_extract_all("joined", F.lit(rf"(?<![^ ])(?:{'|'.join(keywords)})(?![^ ])"), F.lit(0)))
+    held = F.array_distinct(F.regexp_extract_all("joined", F.lit(rf"(?<![^ ])(?:{'|'.join(keywords)}){_JOINED}"), F.lit(0)))
     d = d.select("id", "n_words", "joined", F.size(every).cast("long").alias("n_base"),
                  F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
                  F.array_sort(F.array_distinct(base)).alias("base_labels"), held.alias("held"))
