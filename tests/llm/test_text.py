@@ -307,6 +307,22 @@ def test_html(page, text):
     assert html.render(page) == text
 
 
+_H = "{.h{display:none}}</style>a<i class=h>b</i>"
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<style>@media print " + _H, "ab"), ("<style>@media (max-width:600px) " + _H, "ab"), ("<style>@media screen " + _H, "a"),
+    ("<style>@media print, screen and (min-width: 40em) " + _H, "a"), ("<style>@media not print " + _H, "a"),
+    ("<style>@media not all and (foo: 1) " + _H, "ab"), ("<style>@media (width <= 600px) " + _H, "ab"), ("<style>@supports (display: grid) " + _H, "a"),
+    ("<style>@supports not (display: grid) " + _H, "ab"), ("<style>@layer x " + _H, "a"), ("<style>@keyframes k " + _H, "ab"),
+    ("<style>@layer x{@media print" + _H.replace("}}", "}} i{color:red}}"), "ab"), ("<style>@media print{u{x:y}} .h{display:none}</style>a<i class=h>b</i>", "a"),
+    ("<style>@charset 'x'; .h{content:'}';display:none}</style>a<i class=h>b</i>", "a"), ("<style>.h{color:red;u{display:none}}</style>a<i class=h>b</i><u>c</u>", "abc"),
+    ("<style>.h{@media print{display:none}}</style>a<i class=h>b</i>", "ab"), ("<style>.h{@media screen{display:none}}</style>a<i class=h>b</i>", "a"),
+    ("<style media=print>.h{display:none}</style>a<i class=h>b</i>", "ab"), ("<style>.h{display:none", "")])
+def test_html_at_rules(page, text):
+    assert html.render(page) == text
+
+
 def test_html_deep_and_broken():
     deep = "<div>" * 20_000 + "in" + "<table><tr><td>" * 3000 + "side" + "</div>" * 5
     assert html.render(deep).split() == ["in", "side"]

@@ -11,7 +11,9 @@ space collapsed.
 Invisible are: elements that are never shown (script, style, template, head, …), the
 attribute ``hidden``, ``display:none`` and ``visibility:hidden`` in a style attribute or
 in a style element's simple rules (tag, .class, #id or a tag with one of these), closed
-details except their summary, closed dialogs, hidden inputs.
+details except their summary, closed dialogs, hidden inputs. Rules inside at-rules count
+where these hold on a screen of ``SCREEN`` pixels (@media with types, widths, heights and
+a few preferences; @supports unless negated; @layer); others are left out.
 
 Pages stay in the task that scans them: no shuffle. One page is one string in memory.
 Elements nested deeper than ``DEPTH`` become children of the last level, as browsers do;
@@ -58,7 +60,15 @@ _IMPLIED = {
 }
 _TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([A-Za-z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|[{};]|[^{};\"']+", re.S)
+SCREEN = {"width": 1280, "height": 800}  # pixels, for media queries
+_LENGTH = r"\s*(\d*\.?\d+)(px|em|rem)?\s*\)"
+_BOUND = re.compile(r"\(\s*(min|max)-(?:device-)?(width|height)\s*:" + _LENGTH)
+_RANGE = re.compile(r"\(\s*(width|height)\s*(<=|>=|<|>)" + _LENGTH)
+_PREFERENCE = {"orientation:landscape": True, "orientation:portrait": False, "prefers-color-scheme:light": True,
+               "prefers-color-scheme:dark": False, "prefers-reduced-motion:no-preference": True,
+               "prefers-reduced-motion:reduce": False, "hover:hover": True, "hover:none": False, "pointer:fine": True,
+               "pointer:coarse": False, "pointer:none": False, "scripting:none": False}
 _SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?([.#][\w-]+)?\Z")
 _LOOSE = re.compile(r"[\t\n\r\f]|  ")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -168,7 +178,8 @@ class Builder:
                     body = page[at:stop.start()] if stop else page[at:]
                     at = stop.end() if stop else len(page)
                     if tag == "style":
-                        self._styles(body)
+                        if _media(attrs.get("media", "")):
+                            self._styles(body)
                     elif tag in ("textarea", "title"):
                         self._add(unescape(body))
                     elif tag == "xmp":
@@ -180,7 +191,7 @@ class Builder:
         return self.root
 
     def _styles(self, css: str) -> None:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)):
+        for selectors, body in _rules(re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)):
             found = _visibility(body)
             for sel in selectors.split(",") if found else ():
                 m = _SELECTOR.match(sel.strip())
@@ -188,6 +199,79 @@ class Builder:
                     self.sheet += [(m[1] or "*", m[2] or "", k, v) for k, v in found.items()]
 
 
+def _rules(css: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the style rules that hold on a screen, nested blocks taken apart."""
+    out: list[tuple[str, str]] = []
+    open_: list[tuple[bool, bool, tuple[str, list[str]] | None]] = []  # (holds, is a rule itself, rule that declarations go to)
+    text: list[str] = []
+
+    def close() -> None:
+        holds, itself, rule = open_.pop()
+        if holds and itself:
+            out.append((rule[0], ";".join(rule[1])))
+
+    def declare() -> None:
+        if open_ and open_[-1][0] and open_[-1][2]:
+            open_[-1][2][1].append("".join(text))
+        text.clear()
+
+    for m in _CSS.finditer(css):
+        t = m[0]
+        if t == "{":
+            prelude = "".join(text).strip()
+            text.clear()
+            holds, _, rule = open_[-1] if open_ else (True, False, None)
+            if prelude.startswith("@"):
+                open_.append((holds and _holds(prelude), False, rule))
+            else:  # a rule inside a rule is about descendants, so not a simple one
+                open_.append((holds and rule is None, True, (prelude, [])))
+        elif t == "}":
+            declare()
+            if open_:
+                close()
+        elif t == ";":
+            declare()
+        else:
+            text.append(t)
+    declare()
+    while open_:
+        close()
+    return out
+
+
+def _holds(prelude: str) -> bool:
+    """Does an at-rule with a block hold on a screen?"""
+    m = re.match(r"@([\w-]+)\s*(.*)", prelude, re.S)
+    name, rest = (m[1].lower(), m[2]) if m else ("", "")
+    return name == "layer" or (name == "media" and _media(rest)) or (name == "supports" and not re.match(r"not\b", rest, re.I))
+
+
+def _media(queries: str) -> bool:
+    return not queries.strip() or any(_query(q.strip()) for q in queries.lower().split(","))
+
+
+def _query(q: str) -> bool:
+    """One media query on a screen; what is not known does not hold, negated or not."""
+    m = re.match(r"(not|only)\b\s*", q)
+    parts = [_feature(p.strip()) for p in re.split(r"\band\b", q[m.end():] if m else q)]
+    holds = False if False in parts else None if None in parts else True
+    return holds is False if m and m[1] == "not" else holds is True
+
+
+def _feature(p: str) -> bool | None:
+    if re.fullmatch(r"[a-z-]+", p):
+        return p in ("all", "screen")
+    m = _BOUND.fullmatch(p)
+    if m:
+        size = float(m[3]) * (16 if m[4] in ("em", "rem") else 1)
+        return SCREEN[m[2]] >= size if m[1] == "min" else SCREEN[m[2]] <= size
+    m = _RANGE.fullmatch(p)
+    if m:
+        have, size = SCREEN[m[1]], float(m[3]) * (16 if m[4] in ("em", "rem") else 1)
+        return {"<": have < size, "<=": have <= size, ">": have > size, ">=": have >= size}[m[2]]
+    return _PREFERENCE.get(re.sub(r"[\s()]", "", p))
+
+
 def _visibility(style: str) -> dict[str, str]:
     out = {}
     for part in style.lower().split(";"):
