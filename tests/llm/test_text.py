@@ -323,6 +323,18 @@ def test_html_at_rules(page, text):
     assert html.render(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<p><svg class='icon'/>after</p><p>next", "after\n\nnext"), ("<p>x <math/>y</p>z", "x y\n\nz"), ("<svg><path d='M0'/><g/></svg>after", "after"),
+    ("a<svg><title/><style/><text>b</text></svg>c", "a b c"), ("<p>E <math><mi>E</mi><mo>=</mo><mn>2</mn></math>.", "E E=2."),
+    ("<math><semantics><mi>x</mi><annotation>tex</annotation></semantics></math>", "x"),
+    ("<svg><title>T</title><desc>D</desc><defs><text>no</text></defs><metadata>M</metadata><g>g<text>a<tspan>b</tspan></text><text>c</text></g></svg>d", "ab c d"),
+    ("<svg><foreignObject><p>in</p></foreignObject></svg>out", "in\n\nout"), ("<svg><g><p>x</p>y", "x\n\ny"), ("<svg><g display=none><text>n</text></g><text visibility=hidden>v</text></svg>w", "w"),
+    ("<a href=x/>b</a><div/>c</div>d", "b\nc\nd"), ("<svg><a href=x/><text>t</text></a></svg>", "t"), ("<table><tr><td><svg/>x<td>y</table>", "x  y"),
+    ("<svg/>" * 400 + "z", "z")])
+def test_html_svg_and_math(page, text):
+    assert html.render(page) == text
+
+
 def test_html_deep_and_broken():
     deep = "<div>" * 20_000 + "in" + "<table><tr><td>" * 3000 + "side" + "</div>" * 5
     assert html.render(deep).split() == ["in", "side"]

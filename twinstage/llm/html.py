@@ -15,6 +15,10 @@ details except their summary, closed dialogs, hidden inputs. Rules inside at-rul
 where these hold on a screen of ``SCREEN`` pixels (@media with types, widths, heights and
 a few preferences; @supports unless negated; @layer); others are left out.
 
+Inside svg and math a start tag may close itself, and a start tag of HTML content closes
+them, as in browsers. Of an svg the text elements and foreign objects are visible, of
+math all but annotations and phantoms.
+
 Pages stay in the task that scans them: no shuffle. One page is one string in memory.
 Elements nested deeper than ``DEPTH`` become children of the last level, as browsers do;
 their text is kept.
@@ -40,12 +44,17 @@ from . import common as X
 DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style template noscript title iframe noembed noframes object svg math canvas audio video "
+NEVER = frozenset("head script style template noscript title iframe noembed noframes object canvas audio video "
                   "datalist link meta base area param source track col colgroup".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre "
                   "search section summary table ul xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table pre blockquote figure hr article section fieldset xmp".split())
+# Inside svg and math: start tags that close these, and elements whose content is HTML again.
+_BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu "
+                    "meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_HTML_AGAIN = {"svg": {"foreignobject", "desc", "title"}, "math": {"annotation-xml", "mi", "mo", "mn", "ms", "mtext"}}
+_UNSHOWN = frozenset("title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
 # A start tag of these closes an open p.
 _CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "legend"} | {"table"}
 # start tag: (open elements that it closes, elements that stop the search)
@@ -70,6 +79,7 @@ _PREFERENCE = {"orientation:landscape": True, "orientation:portrait": False, "pr
                "prefers-reduced-motion:reduce": False, "hover:hover": True, "hover:none": False, "pointer:fine": True,
                "pointer:coarse": False, "pointer:none": False, "scripting:none": False}
 _SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?([.#][\w-]+)?\Z")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")  # a last attribute without quotes owns the slash after it
 _LOOSE = re.compile(r"[\t\n\r\f]|  ")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -92,6 +102,8 @@ class Builder:
     def __init__(self):
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.newest = self.root
+        self.inside = False  # has the page had an svg or math?
         self.sheet: list[tuple[str, str, str, str]] = []  # (tag, mark, property, value)
 
     def _add(self, item) -> None:
@@ -124,12 +136,41 @@ class Builder:
                 self._push(need[0], {})
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, attrs)
+        node = self.newest = Node(tag, attrs)
         self._add(node)
         if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
 
-    def start(self, tag: str, attrs: dict[str, str]) -> None:
+    def _unpush(self) -> None:
+        if self.open[-1] is self.newest:
+            self.open.pop()
+
+    def foreign(self) -> bool:
+        """Is the innermost open element svg or math content?"""
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag in _HTML_AGAIN:
+                return all(n.tag not in _HTML_AGAIN[self.open[k].tag] for n in self.open[k + 1:])
+        return False
+
+    def start(self, tag: str, attrs: dict[str, str], closed: bool = False) -> bool:
+        """Open an element; is it one of svg or math that closes itself?"""
+        if self.inside and self.foreign():
+            if tag not in _BREAKS:
+                self._push(tag, attrs)
+                if closed:
+                    self._unpush()
+                return closed
+            while self.foreign():
+                self.open.pop()
+        if tag in _HTML_AGAIN:
+            self.inside = True
+        self._start(tag, attrs)
+        if closed and tag in _HTML_AGAIN:
+            self._unpush()
+            return True
+        return False
+
+    def _start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in ("html", "body") and any(n.tag == tag for n in self.open):
             return
         if tag not in ("html", "head", "body") and tag not in NEVER and self.open[-1].tag == "head":
@@ -172,8 +213,8 @@ class Builder:
                 if raw and raw != "/":
                     for a in _ATTR.finditer(raw):
                         attrs.setdefault(a[1].lower(), unescape(next((v for v in a.groups()[1:] if v is not None), "")))
-                self.start(tag, attrs)
-                if tag in RAW:
+                closed = raw[-1:] == "/" and not _UNQUOTED.search(raw)
+                if not self.start(tag, attrs, closed) and tag in RAW:
                     stop = _ends(tag).search(page, at)
                     body = page[at:stop.start()] if stop else page[at:]
                     at = stop.end() if stop else len(page)
@@ -359,6 +400,14 @@ class Renderer:
             return
         if "visibility" in style:
             seen = style["visibility"] not in ("hidden", "collapse")
+        if tag == "svg":
+            self.svg(n, seen)
+            return
+        if tag == "mphantom" or (parent.tag == "semantics" and tag in ("annotation", "annotation-xml")) \
+                or (parent.tag in ("text", "tspan", "textpath") and tag in _UNSHOWN):
+            return
+        if tag in ("mtr", "mtd"):
+            self.space = True
         if tag == "br":
             if seen and self.line:
                 self.flush(1)
@@ -418,6 +467,23 @@ class Renderer:
             Renderer._list = (key, {id(c): at + k for k, c in enumerate(items)})
         return f"{Renderer._list[1].get(id(n), at)}. "
 
+    def svg(self, n: Node, seen: bool) -> None:
+        """Text elements and foreign objects, each set off by a space."""
+        for c in n.children:
+            if isinstance(c, str) or c.tag in _UNSHOWN or c.tag in NEVER:
+                continue
+            style = {k: c.attrs[k].strip().lower() for k in ("display", "visibility") if k in c.attrs}
+            style |= self.style(c) if self.sheet or "style" in c.attrs else {}
+            if style.get("display") == "none":
+                continue
+            see = style["visibility"] not in ("hidden", "collapse") if "visibility" in style else seen
+            if c.tag in ("text", "foreignobject"):
+                self.space = True
+                self.walk(c, see)
+                self.space = True
+            else:
+                self.svg(c, see)
+
     # -- tables -------------------------------------------------------------
     def table(self, n: Node, seen: bool) -> None:
         rows: list[list[tuple[list[str], int]]] = []
