@@ -335,6 +335,15 @@ def test_html_svg_and_math(page, text):
     assert html.render(page) == text
 
 
+def test_html_list_numbers_do_not_outlive_their_page():
+    """Pages one after the other, whose nodes may lie where those of the page before lay."""
+    for k in range(3000):
+        n, start = k % 7 + 1, k % 11
+        page = "<div>" * (k % 5) + f"<ol start={start}>" + "".join(f"<li>x{i}" for i in range(n)) + "</ol>"
+        assert html.render(page) == "\n".join(f"{start + i}. x{i}" for i in range(n)), k
+    assert html.render("<ol><li>a<ol start=5><li>b</ol><li>c</ol>") == "1. a\n   5. b\n2. c"
+
+
 def test_html_deep_and_broken():
     deep = "<div>" * 20_000 + "in" + "<table><tr><td>" * 3000 + "side" + "</div>" * 5
     assert html.render(deep).split() == ["in", "side"]

@@ -90,10 +90,10 @@ def _ends(tag: str) -> re.Pattern:
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "number")  # number: of an item of an ol
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.number = tag, attrs, [], None
 
 
 class Builder:
@@ -459,13 +459,12 @@ class Renderer:
     def _marker(n: Node, parent: Node) -> str:
         if parent.tag != "ol":
             return "- "
-        items = [c for c in parent.children if isinstance(c, Node) and c.tag == "li"]
-        start = parent.attrs.get("start", "1")
-        at = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-        key = id(parent)
-        if getattr(Renderer, "_list", (None,))[0] != key:  # numbers of one list, made once
-            Renderer._list = (key, {id(c): at + k for k, c in enumerate(items)})
-        return f"{Renderer._list[1].get(id(n), at)}. "
+        if n.number is None:  # all items of the list at once
+            start = parent.attrs.get("start", "1")
+            at = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+            for k, c in enumerate(c for c in parent.children if isinstance(c, Node) and c.tag == "li"):
+                c.number = at + k
+        return f"{n.number}. "
 
     def svg(self, n: Node, seen: bool) -> None:
         """Text elements and foreign objects, each set off by a space."""
