@@ -88,6 +88,37 @@ def test_repeats_of_long_texts_and_other_lengths(spark, monkeypatch):
         assert got == {r[0]: (r[2], r[3], sha(r[4])) for r in remove_repeats(rows, length)}
 
 
+@pytest.mark.parametrize("hot", [0, 20])
+def test_repeats_of_hot_anchors(spark, hot):
+    """A passage with differing neighbours and a phrase of 30 bytes in every document: anchors that are dealt
+    out by their strings give what the others give."""
+    rnd = random.Random(6)
+    def noise(n):
+        return "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, phrase = noise(130), noise(30)
+    rows = [(i, noise(40) + passage + noise(60) + phrase + noise(40) + (passage[:60] if i % 3 else "")) for i in range(60)]
+    rows += [(7, rows[5][1]), (None, rows[9][1]), (None, passage), (-1, phrase), (-2, None), (80, "é" * 70), (81, "é" * 70)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (50, 17):
+        got = suffix.remove_repeats(d, length=length, group_bytes=2000, hot=hot).collect()
+        want = remove_repeats(rows, length)
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) \
+            == sorted(((*r[:4], sha(r[4])) for r in want), key=str)
+
+
+def test_strings_of_a_hot_anchor_are_dealt_out():
+    """Records of one anchor, a phrase between differing neighbours, make strings of many buckets; equal
+    strings are sent once, with the smallest id."""
+    import numpy as np
+    rnd = np.random.RandomState(2)
+    data = np.concatenate([np.concatenate([x, np.full(30, 65), x[::-1]]) for x in rnd.randint(97, 123, (200, 40))] * 2).astype(np.uint8)
+    low = np.arange(400) * 110 + 30
+    starts, number, one, two, least = suffix._strings(data, low, low + 9, np.arange(400) + 5, 50)
+    assert len(starts) == 4000 and len(one) == len(two) == 2000 and len(np.unique(one >> np.uint64(58))) == 64
+    texts = [data[p:p + 50].tobytes() for p in starts.tolist()]
+    assert len(set(zip(texts, number.tolist()))) == 2000 and least[number].tolist() == [5 + (p // 110) % 200 for p in starts.tolist()]
+
+
 def test_repeats_keep_columns_and_empty_tables(spark):
     d = spark.createDataFrame([(1, "x" * 60, "a", 7), (2, "x" * 60, None, None)], "doc_id long, text string, id string, grp int")
     got = {r.doc_id: r for r in suffix.remove_repeats(d, with_text=True).collect()}

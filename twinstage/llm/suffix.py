@@ -16,13 +16,20 @@ documents. Only suffixes that can matter are bucketed, and only to the depth ask
    then give the bucket of every shorter prefix, so each string's bucket is a pair of
    numbers, and its smallest id one reduction. Comparisons are on the bytes; only the
    q-gram of the anchor itself is represented by 64 bits.
+   *Hot anchors*, of more than some ``hot`` places in all texts, have as many records as
+   documents where what stands around them differs (edges of a passage, phrases of 25 to
+   49 bytes), so they are split: a group sends their strings of ``length`` bytes instead,
+   distinct ones as 128 bits of hash with the smallest id, dealt out by that hash.
 3. Answers (a bit per string) return to the documents, which drop the covered bytes.
 
 What is shuffled: the texts once, 8 bytes for about every 13 bytes of text, and some 66
 bytes for each anchor of repeated text. Groups hold about ``group_bytes`` of text and
-send each anchor and record once however often they hold it, so a passage in a third of
-all documents adds one record a group, never one a document. No task sees more than one
-group of documents or one bucket range; texts longer than a block are cut into
+send each anchor, record and string once however often they hold it. So the inside of a
+passage adds one record a group, and so does each string of a hot anchor; anchors with
+differing neighbours add one record a document until they are hot. What meets in one task
+for a single key is at most about ``hot`` records, or for one anchor (9 bytes) or one string
+(24 bytes) an entry a group. No task sees more than one group of documents or one bucket
+range; texts longer than a block are cut into
 overlapping blocks.
 
 Edge cases: a null text counts as empty; texts shorter than ``length`` stay whole; rows
@@ -45,6 +52,7 @@ from . import common as X
 
 GROUP_BYTES = 2 << 20
 BLOCK = 1 << 17
+HOT = 1 << 16  # places of an anchor from which its strings are dealt out
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -168,6 +176,35 @@ def _distinct(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[new], record
 
 
+def _strings(data, low, high, ids, length: int):
+    """Strings of hot anchors: (start of each, its number among the distinct ones, and of these two hashes
+    and the smallest id), distinct ones sorted by hash."""
+    many = high - low + 1
+    starts = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    one, two = np.zeros(len(starts), np.uint64), np.ones(len(starts), np.uint64)
+    width = length + (-length % 8)
+    for i in range(0, len(starts), 1 << 15):
+        at = starts[i:i + (1 << 15)]
+        body = np.zeros((len(at), width), np.uint8)
+        body[:, :length] = data[at[:, None] + np.arange(length)]
+        for w in body.view(np.uint64).T:
+            one[i:i + (1 << 15)] = X.mix64(one[i:i + (1 << 15)] * np.uint64(0x9FB21C651E98DF25) + w)
+            two[i:i + (1 << 15)] = X.mix64(two[i:i + (1 << 15)] * np.uint64(0xC2B2AE3D27D4EB4F) ^ w)
+    rep, number, least = _least(one, two, np.repeat(ids, many))
+    return starts, number, one[rep], two[rep], least
+
+
+def _least(one, two, ids):
+    """(first row of each distinct pair, number of the pair of each row, its smallest id), sorted by pair."""
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(order) else ids
+    return order[new], number, least
+
+
 # ---------------------------------------------------------------------------
 # one range of buckets
 # ---------------------------------------------------------------------------
@@ -261,13 +298,19 @@ def _joined(col, dtype) -> np.ndarray:
 
 
 def _shared(h: np.ndarray, replies: dict[int, bytes], bits: int) -> np.ndarray:
-    """For sorted hashes: is the anchor in more than one document?"""
+    """For sorted hashes: the bits of the replies (kind 1: is the anchor in more than one document? 3: is it
+    hot?); none where a bucket gave no reply."""
     first = _first_of_runs(h)
-    u = h[first]
+    return np.repeat(_bits(h[first], replies, bits), np.diff(np.r_[first, len(h)]))
+
+
+def _bits(u: np.ndarray, replies: dict[int, bytes], bits: int) -> np.ndarray:
+    """A bit for each entry of ``u``, in the order in which they were sent."""
     flag = np.zeros(len(u), bool)
     for bucket, i, j in _slices(u, bits):
-        flag[i:j] = np.unpackbits(np.frombuffer(replies[bucket], np.uint8), count=j - i).astype(bool)
-    return np.repeat(flag, np.diff(np.r_[first, len(h)]))
+        if bucket in replies:
+            flag[i:j] = np.unpackbits(np.frombuffer(replies[bucket], np.uint8), count=j - i).astype(bool)
+    return flag
 
 
 def _replies(table: pa.Table, kind: int) -> dict[int, bytes]:
@@ -275,7 +318,7 @@ def _replies(table: pa.Table, kind: int) -> dict[int, bytes]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50,
-                   group_bytes: int = GROUP_BYTES, with_text: bool = False) -> DataFrame:
+                   group_bytes: int = GROUP_BYTES, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: id_col, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text``
     also kept_text (null for a null text) and row, a struct of the document's own columns without the text."""
     if not 8 <= length <= 62:
@@ -297,19 +340,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = _first_of_runs(h)
         many = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) if len(h) else first
         u = h[first]
-        return _table([(b, key[0].as_py(), u[i:j].tobytes(), np.packbits(many[i:j]).tobytes())
+        # one byte: places in this group as a power of two (at least as many), and whether in several documents
+        places = np.ceil(np.log2(np.diff(np.r_[first, len(h)]))).astype(np.uint8) | (many.astype(np.uint8) << np.uint8(7))
+        return _table([(b, key[0].as_py(), u[i:j].tobytes(), places[i:j].tobytes())
                        for b, i, j in _slices(u, bits)], ["bucket", "grp", "hashes", "many"], binary)
 
     def repeated(key, table):
         sizes = [len(x.as_buffer()) // 8 for x in table.column("hashes")]
         h = _joined(table.column("hashes"), np.uint64)
-        many = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n)
-                               for x, n in zip(table.column("many"), sizes)])
+        places = _joined(table.column("many"), np.uint8)
         _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        flag = (count > 1) | (np.bincount(inverse, weights=many) > 0)
+        flag = (count > 1) | (np.bincount(inverse, weights=places >> np.uint8(7)) > 0)
+        burning = np.bincount(inverse, weights=np.exp2(places & np.uint8(127))) > hot
         cuts = np.cumsum([0, *sizes])
         out = [(g, 1, key[0].as_py(), np.packbits(flag[inverse[i:j]]).tobytes())
                for g, i, j in zip(table.column("grp").to_pylist(), cuts[:-1], cuts[1:])]
+        out += [(g, 3, key[0].as_py(), np.packbits(burning[inverse[i:j]]).tobytes())
+                for g, i, j in zip(table.column("grp").to_pylist(), cuts[:-1], cuts[1:]) if burning[inverse[i:j]].any()]
         return _table(out, ["grp", "kind", "bucket", "bits"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
 
     def records(key, table, answers):
@@ -317,16 +364,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not table.num_rows:
             return _table([], names, [*binary, pa.binary()])
         data, _, _, at, low, high, h, ids = _group(table, length)
-        use = _shared(h, _replies(answers, 1), bits)
-        at, low, high, h, ids = (x[use] for x in (at, low, high, h, ids))
+        use, burning = (_shared(h, _replies(answers, kind), bits) for kind in (1, 3))
+        _, _, one, two, first = _strings(data, *(x[use & burning] for x in (low, high, ids)), length)
+        at, low, high, h, ids = (x[use & ~burning] for x in (at, low, high, h, ids))
         rep, _, words, least = _records(data, at, low, high, h, ids, length)
         h, words = h[rep], words[rep]
-        return _table([(b, key[0].as_py(), h[i:j].tobytes(), least[i:j].tobytes(), words[i:j].tobytes())
-                       for b, i, j in _slices(h, bits)], names, [*binary, pa.binary()])
+        out = [(b, key[0].as_py(), h[i:j].tobytes(), least[i:j].tobytes(), words[i:j].tobytes()) for b, i, j in _slices(h, bits)]
+        out += [(b + (1 << bits), key[0].as_py(), one[i:j].tobytes(), first[i:j].tobytes(), two[i:j].tobytes())
+                for b, i, j in _slices(one, bits)]  # buckets of strings have numbers of their own
+        return _table(out, names, [*binary, pa.binary()])
 
     def refined(key, table):
         sizes = [len(x.as_buffer()) // 8 for x in table.column("hashes")]
         h, ids = _joined(table.column("hashes"), np.uint64), _joined(table.column("ids"), np.int64)
+        cuts = np.cumsum([0, *sizes])
+        if key[0].as_py() >= 1 << bits:
+            _, number, first = _least(h, _joined(table.column("words"), np.uint64), ids)
+            out = [(g, 4, key[0].as_py() - (1 << bits), np.packbits(first[number[i:j]] < ids[i:j]).tobytes())
+                   for g, i, j in zip(table.column("grp").to_pylist(), cuts[:-1], cuts[1:])]
+            return _table(out, ["grp", "kind", "bucket", "bits"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
         words = _joined(table.column("words"), np.uint64).reshape(len(h), -1)
         rep, record = _distinct(h, words)
         least = np.full(len(rep), _NO_ID)
@@ -335,7 +391,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mask = np.zeros(len(h), np.int64)
         for t in range(span):
             mask |= np.where(low[record, t] < ids, every[t], 0)
-        cuts = np.cumsum([0, *sizes])
         out = [(g, 2, key[0].as_py(), mask[i:j].astype("<u4" if span <= 32 else "<i8").tobytes())
                for g, i, j in zip(table.column("grp").to_pylist(), cuts[:-1], cuts[1:])]
         return _table(out, ["grp", "kind", "bucket", "bits"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
@@ -351,8 +406,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         n = table.num_rows
         taken = np.zeros(len(data), bool)  # where a string that goes starts
         if len(h):
-            use = _shared(h, _replies(answers, 1), bits)
-            at, low, high, h, ids = (x[use] for x in (at, low, high, h, ids))
+            use, burning = (_shared(h, _replies(answers, kind), bits) for kind in (1, 3))
+            starts, number, one, _, first = _strings(data, *(x[use & burning] for x in (low, high, ids)), length)
+            gone = _bits(one, _replies(answers, 4), bits)
+            own = np.repeat(ids[use & burning], (high - low + 1)[use & burning])
+            taken[starts[gone[number] | (own > first[number])]] = True
+            at, low, high, h, ids = (x[use & ~burning] for x in (at, low, high, h, ids))
             rep, record, _, least = _records(data, at, low, high, h, ids, length)
             got, verdict = _replies(answers, 2), np.zeros(len(rep), np.int64)
             for b, i, j in _slices(h[rep], bits):
