@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import re
+import zlib
 
 import numpy as np
 
@@ -124,3 +126,53 @@ def embedding_links(rows, threshold=0.93):
 
 def sha(b):
     return hashlib.sha256(b).hexdigest()
+
+
+def hard_negatives(rows, is_anchor, scale=256, positives=5, negatives=3, low=50, high=95):
+    """[(id, vector, label)] → sorted [(anchor id, positive id, rank, negative id, positive score, negative score)]."""
+    use = [(i, [math.floor(scale * x) for x in v], lab) for i, v, lab in rows
+           if lab is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (i, q, lab) in enumerate(use):
+        if i is None or not is_anchor(i):
+            continue
+        score = sorted((-sum(x * y for x, y in zip(q, r)), j is None, j or 0, m) for m, (j, r, _) in enumerate(use)
+                       if m != n and len(r) == len(q))
+        near = [(use[m][0], -s) for s, _, _, m in score if use[m][2] == lab][:positives]
+        for p, ps in near:
+            fit = [(use[m][0], -s) for s, _, _, m in score if use[m][2] != lab and low * ps <= -100 * s <= high * ps]
+            out += [(i, p, k + 1, c, ps, ns) for k, (c, ns) in enumerate(fit[:negatives])]
+    return sorted(out, key=str)
+
+
+def plant(doc_id, words):
+    """The words of a document as the contract of the runs alters them; no id: unaltered."""
+    if doc_id is None or not words:
+        return words
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def word_runs(w, min_length=6, min_exponent=4):
+    """[(start, length, period)] by comparing the words with themselves, period by period."""
+    found = {}
+    for q in range(1, len(w) // min_exponent + 1):
+        i = 0
+        while i + q < len(w):
+            s = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i > s and i - s + q >= max(min_length, min_exponent * q):
+                found.setdefault((s, i - s + q), q)
+            i += i == s
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def without_repeats(w, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)

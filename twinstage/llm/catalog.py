@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embed, html, importance, licenses, minhash, mixing, oracles, quality, suffix, urls
-from .common import read_table, ready
+from . import bpe, embed, html, importance, licenses, minhash, mixing, negatives, oracles, periodic, quality, suffix, urls
+from .common import WORD, read_table, ready
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -55,9 +56,43 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embedding_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the ids divisible by 50; ids divisible by 7 first move to the next of ten labels."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The contract's input: a tenth of the documents, by the CRC of their id, repeat p words from word a on.
+    A document without an id stays as it is."""
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    d = d.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    a = F.expr("CAST(g % n AS INT)")
+    d = d.withColumn("a", F.when(F.col("n") > 0, a))
+    d = d.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    turns = F.ceil(rest / F.col("p")).cast("int")
+    periodic_part = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), turns)), F.lit(1), rest)
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), periodic_part), " ")
+    return d.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted(read_table(spark, sf_dir, "documents")))
+    top = periodic.longest(F.col("runs"))
+    each = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(each, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[top[c].alias(c) for c in ("start", "length", "period")],
+                        F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+                        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"), "n_words")
+
+
 def _registered() -> list[Callable[[SparkSession, str], DataFrame]]:
     return [op1_importance, op2_html, op3_suffix, op4_quality, op5_urls, op6_bpe, op7_mixing, op8_licenses, op9_minhash,
-            op10_embeddings]
+            op10_embeddings, op11_hard_negatives, op13_runs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def sql() -> dict[str, str]:
     return {"op3_suffix": oracles.REPEATS, "op5_urls": urls.oracle(urls.RULES), "op9_minhash": oracles.NEAR_DUPLICATES,
-            "op10_embeddings": oracles.EMBEDDINGS}
+            "op10_embeddings": oracles.EMBEDDINGS, "op11_hard_negatives": oracles.HARD_NEGATIVES}

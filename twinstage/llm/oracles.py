@@ -45,3 +45,16 @@ reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y
 low AS (SELECT x, min(y) AS c FROM reach GROUP BY x), n AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
 SELECT e.vec_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_links, low.c AS component_id, e.vec_id = low.c AS kept
 FROM embeddings e JOIN low ON low.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id"""
+
+HARD_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS s
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+r AS (SELECT a, b, s, CAST(row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS INTEGER) AS positive_rank FROM p),
+n AS (SELECT r.a, r.b, r.s AS ps, r.positive_rank, s.b AS c, s.s AS ns, row_number() OVER (PARTITION BY r.a, r.b ORDER BY s.s DESC, s.b) AS k
+      FROM r JOIN s ON s.a = r.a AND NOT s.same AND 50 * r.s <= 100 * s.s AND 100 * s.s <= 95 * r.s)
+SELECT a AS anchor_id, b AS positive_id, CAST(k AS INTEGER) AS rank, c AS negative_id, ps AS positive_score, ns AS negative_score, positive_rank
+FROM n WHERE k <= 3"""
