@@ -176,3 +176,73 @@ def word_runs(w, min_length=6, min_exponent=4):
 def without_repeats(w, runs):
     gone = {i for s, n, q in runs for i in range(s + q, s + n)}
     return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+       "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _pii_valid(kind, value):
+    digits = [int(c) for c in value if c in "0123456789"]
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits[::-1])) % 10 == 0
+    return kind != "phone" or 8 <= len(digits) <= 15
+
+
+def base_spans(t):
+    """[(kind, start, end)] of a text, as the contract has them."""
+    return [(k, m.start(), m.end()) for k, rx in PII.items() for m in re.finditer(rx, t or "") if _pii_valid(k, m.group())]
+
+
+def personal_data(rows, reach=80, generalise=0.75, remove=0.95):
+    """[(id, text)] → [(id, spans with actions, clean text)], in order."""
+    near, row_words, entities = [], [], []
+    for _, t in rows:
+        t = t or ""
+        row_words.append(set(re.split(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", fold(t))))
+        own, seen = [], set()
+        for k, rx in PII.items():
+            every = [(m.start(), m.end()) for m in re.finditer(rx, t)]
+            for n, (s, e) in enumerate(every):
+                if not _pii_valid(k, t[s:e]):
+                    continue
+                entity = (k, re.sub("[^0-9]", "", t[s:e]) if k in ("card", "phone") else fold(t[s:e]))
+                seen.add(entity)
+                lo = max(every[n - 1][1] if n else 0, s - reach)
+                hi = min(every[n + 1][0] if n + 1 < len(every) else len(t), e + reach)
+                context = (fold(t[lo:s]), fold(t[e:hi]), lo == (every[n - 1][1] if n else 0), hi == (every[n + 1][0] if n + 1 < len(every) else len(t)))
+                for a, b, whole_left, whole_right in ((lo, s, context[2], False), (e, hi, False, context[3])):
+                    for m in re.finditer(r"[^\x20\x09-\x0D]+", t[a:b]):
+                        if (m.start() == 0 and not whole_left) or (m.end() == b - a and not whole_right):
+                            continue  # cut, or touching the entity
+                        w = re.fullmatch(r"([!-/:-@\[-`{-~]{0,4})([^\x00-\x40\x5B-\x60\x7B-\x7F]{3,})[!-/:-@\[-`{-~]{0,4}", m.group())
+                        if w:
+                            own.append((entity, fold(w[2]), context, a + m.start() + len(w[1]), a + m.start() + len(w[1]) + len(w[2])))
+        near.append(own)
+        entities.append(seen)
+    n, n_e = len(rows), collections.Counter(e for s in entities for e in s)
+    n_t = collections.Counter(w for s in row_words for w in s)
+    n_et = collections.Counter(p for own in near for p in {(e, w) for e, w, *_ in own})
+    contexts = collections.defaultdict(set)
+    for own in near:
+        for e, w, c, *_ in own:
+            contexts[e, w].add(c)
+    out = []
+    for (i, t), own in zip(rows, near):
+        best = {}
+        for e, w, _, a, b in own:
+            if len(contexts[e, w]) > 1 and n_e[e] < n:
+                score = math.log2(n * n_et[e, w] / (n_e[e] * n_t[w])) / math.log2(n / n_e[e])
+                best[a, b] = max(score, best.get((a, b), -9))
+        terms = [("term", a, b, "remove" if s >= remove - 1e-12 else "generalise") for (a, b), s in sorted(best.items()) if s >= generalise - 1e-12]
+        spans = [(*s, "mask") for s in base_spans(t)] + terms
+        clean, end = "", 0
+        for k, a, b, act in sorted(spans, key=lambda s: (s[1], s[2], s[0])):
+            if a >= end:
+                put = f"<{k.upper()}>" if k != "term" else "" if act == "remove" else "<NAME>" if "A" <= t[a] <= "Z" else "<WORD>"
+                clean += t[end:a] + put
+            end = max(end, b)
+        out.append((i, spans, clean + (t or "")[end:]))
+    return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, html, importance, licenses, minhash, mixing, negatives, oracles, periodic, quality, suffix, urls
+from . import bpe, embed, html, importance, licenses, minhash, mixing, negatives, oracles, periodic, pii, quality, suffix, urls
 from .common import WORD, read_table, ready
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -63,6 +63,19 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+    listed = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    d = found.select("doc_id", "spans", listed.alias("listed"))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("listed", lambda x: ~x.startswith("term:"))
+    return d.select("doc_id", *[number(k) for k in pii.KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+                    F.array_join("listed", ",").alias("spans"), number("term"))
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """The contract's input: a tenth of the documents, by the CRC of their id, repeat p words from word a on.
     A document without an id stays as it is."""
@@ -92,7 +105,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _registered() -> list[Callable[[SparkSession, str], DataFrame]]:
     return [op1_importance, op2_html, op3_suffix, op4_quality, op5_urls, op6_bpe, op7_mixing, op8_licenses, op9_minhash,
-            op10_embeddings, op11_hard_negatives, op13_runs]
+            op10_embeddings, op11_hard_negatives, op12_pii, op13_runs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

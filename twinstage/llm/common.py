@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, ensure_checkpoint_dir
@@ -189,3 +190,50 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         h = mix64(h * np.uint64(0x9FB21C651E98DF25) + words[j:j + n])
     return mix64(h + np.uint64(k))
+
+
+# ---------------------------------------------------------------------------
+# arrays inside a row, in DataFrame functions
+# ---------------------------------------------------------------------------
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], start: int = 0, block: int = 512) -> Column:
+    """For each element of an integer array the ``op`` of all elements before it (the first: ``start``).
+
+    Done in blocks, and over the blocks, as an array that grows by one is copied: n · block steps
+    and not n² for n elements.
+    """
+    zero = F.lit(start).cast("int")
+
+    def folded(a: Column) -> Column:  # one element more than a
+        return F.aggregate(a, F.array(zero), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+    def joined(parts: Column) -> Column:
+        heads = folded(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.zip_with(parts, F.slice(heads, F.lit(1), F.size(parts)),
+                                    lambda p, h: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: op(h, x))))
+
+    return let(values.cast("array<int>"), lambda v: let(
+        F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / block).cast("int")),
+                    lambda k: folded(F.slice(v, k * block + 1, F.lit(block)))), joined))
+
+
+def matches_of(text: Column, pattern: str) -> Column:
+    """All matches of a regex with their places, in time linear in the text: an array of (start, end, value,
+    before, after), in code points; ``before`` and ``after`` are the text up to the neighbouring matches."""
+    def placed(z: Column) -> Column:
+        steps = F.transform(z, lambda x: F.length(x["before"]) + F.length(x["value"]))
+        return F.zip_with(z, running(steps, lambda a, b: a + b), lambda x, at: F.struct(
+            (at + F.length(x["before"])).alias("start"), (at + F.length(x["before"]) + F.length(x["value"])).alias("end"),
+            x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after")))
+
+    def zipped(value: Column) -> Column:
+        return let(F.split(text, pattern, -1), lambda gaps: F.arrays_zip(
+            F.slice(gaps, F.lit(1), F.size(value)).alias("before"), value.alias("value"),
+            F.slice(gaps, F.lit(2), F.size(value)).alias("after")))
+
+    return let(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), zipped), placed)
