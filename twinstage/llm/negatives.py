@@ -15,8 +15,8 @@ is still wanted are scored, with exact integers.
 2. *Negatives*: each positive gives the window [⌈low · score / 100⌉, ⌊high · score / 100⌋] for rows of
    other labels; its lower end rises with the last of the best scores found in it.
 
-Rows and anchors are dealt by a hash into blocks of about ``block``, every pair of blocks of
-one dimension is one group, and groups return at most ``positives`` or ``negatives`` rows for
+Rows and anchors are dealt by a hash into blocks of at most about ``block`` (rows into as many as the
+cluster has cores, if these are not too small), every pair of blocks of one dimension is one group, and groups return at most ``positives`` or ``negatives`` rows for
 an anchor or window; these meet in a ranking by (anchor, window). So labels, copies and
 frequent vectors split evenly, no pair leaves its task, and a task holds two blocks. The
 search is exact: the work grows with anchors × rows, the rows shuffled with
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import common as X
 
-BLOCK = 1 << 15
+BLOCK, SMALL_BLOCK = 1 << 15, 1 << 12
 DIRECTIONS = 8
 ROW_TILE, ANCHOR_TILE = 2048, 256
 _LOW, _HIGH = -(1 << 62), 1 << 62
@@ -214,7 +214,9 @@ def hard_negatives(rows: DataFrame, anchor: Column, id_col: str = "vec_id", vec_
     X.ready(rows.sparkSession)
     is_anchor = anchor & F.col(id_col).isNotNull()
     members = X.stored(_rows(rows, id_col, vec_col, label_col, is_anchor, scale), "scored")
-    sizes = members.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("row_blocks"),
+    cores, n = rows.sparkSession.sparkContext.defaultParallelism, F.count(F.lit(1))
+    spread = F.greatest(F.ceil(n / block), F.least(F.ceil(n / min(block, SMALL_BLOCK)), F.lit(cores)))
+    sizes = members.groupBy("dim").agg(spread.cast("long").alias("row_blocks"),
                                        F.ceil(F.count(F.when(F.col("anchor"), 1)) / block).cast("long").alias("anchor_blocks"))
     sized = members.join(sizes.where("anchor_blocks > 0"), "dim")
     mine = F.xxhash64("key")
@@ -249,7 +251,8 @@ def hard_negatives(rows: DataFrame, anchor: Column, id_col: str = "vec_id", vec_
 
     def search(anchors: DataFrame, keep: int, like: bool, name: str) -> DataFrame:
         a = anchors.select(*cols, upto("row_blocks").alias("rb"), "ab", F.lit(True).alias("asks"), "low", "high")
-        found = (as_rows.unionByName(a).groupBy("dim", "ab", "rb")
+        parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small groups are not put together
+        found = (as_rows.unionByName(a).repartition(parts, "dim", "ab", "rb").groupBy("dim", "ab", "rb")
                  .applyInArrow(compare(keep, like), "anchor long, window long, row long, id long, score long"))
         order = Window.partitionBy("anchor", "window").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
         return X.stored(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep), name)
