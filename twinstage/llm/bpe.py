@@ -8,8 +8,9 @@ of smallest rank, closes the gap, and drops the rows that have no pair left. A p
 that is itself a token is that token. Pieces beyond the widest bucket are merged by the
 same rule with a heap, as a matrix would move the whole row for each single merge.
 
-Known pieces are remembered per Python worker, up to ``CACHE`` of them; then the memory
-is emptied and filled anew, which changes the time and nothing else. Texts stay in the
+Known pieces are remembered within a task, up to some ``CACHE`` bytes; then the memory
+is emptied and filled anew, which changes the time and nothing else. At the end of a task
+they go: Python workers outlive their tasks. Texts stay in the
 task that scans them: no shuffle. Ids are kept as little-endian unsigned 32-bit integers.
 
 Edge cases: a null text counts as empty and has no ids; very long texts and pieces are
@@ -34,7 +35,7 @@ from . import common as X
 
 WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32, 64, 128)
 ROWS = 4096       # rows of one matrix
-CACHE = 500_000   # pieces of at most the widest bucket
+CACHE = 48 << 20  # bytes of pieces of at most the widest bucket, with some 200 for each entry
 _NONE = np.int32(2**31 - 1)
 
 
@@ -117,6 +118,7 @@ class Codec:
         keys = (np.array(left, np.int64) << self.shift) | np.array(right, np.int64)
         self.pairs = PairTable(keys, np.array(merged, np.int32))
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def find(self, text: str) -> list[str]:
         return self._ascii(text) if self._ascii and text.isascii() else self._any(text)
@@ -221,18 +223,22 @@ class Codec:
         cut = [self.find(t) if t else [] for t in texts]
         new = set().union(*cut).difference(self.known)
         got = self.learn(new)
-        if len(self.known) + len(got) > self.limit:
+        self.held += sum(200 + 2 * len(p) for p in got)
+        if self.held > self.limit:
             now = set().union(*cut)
             self.known = {p: v for p, v in self.known.items() if p in now}
         self.known.update(got)
         out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        if len(self.known) > self.limit:
-            self.known = {}
+        if self.held > self.limit:
+            self.forget()
         for p in got:
             if len(p) > WIDTHS[-1]:
                 self.known.pop(p, None)
         return out
 
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -296,7 +302,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     def run(batches):
         codec = _codec(mark, lambda: Codec(sent.value, pattern))
-        for b in batches:
+        for b in X.releasing(batches, codec.forget):
             for part in _parts(b):
                 ids = codec.encode_all(part.column("text").to_pylist())
                 cols = [part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -7,9 +7,11 @@ the ASCII white space 0x20 and 0x09–0x0D.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def releasing(batches: Iterator, forget: Callable[[], None]) -> Iterator:
+    """The batches; after the last one, or where the task stops before, ``forget`` runs and unused memory goes
+    back to the system, as the Python worker stays for later tasks."""
+    try:
+        yield from batches
+    finally:
+        forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 # ---------------------------------------------------------------------------
 # connected components
 # ---------------------------------------------------------------------------
