@@ -2,8 +2,9 @@
 
 Stage 1 (benign vs attack) scores every row; stage 2 (which attack) runs only
 on rows stage 1 routes (p > threshold); all other rows get the benign label.
-Conditional execution is a ``filter`` below the stage-2 projection, so stage 2
-never touches unrouted rows. Stage-1 output is read by both branches and is
+Cascades of trees are scored in one pass over the table: inside a batch stage 2
+sees the routed rows only. Other learners go through a ``filter`` below the
+stage-2 projection; stage-1 output is then read by both branches and is
 written once to the checkpoint folder between them.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import binary_label
+from . import scoring
 from .clean import filter_attacks
 from .metrics import macro_f1
 from .models import fit_learner, learner, positive_probability
@@ -80,8 +82,15 @@ class TwoStageModel:
     spec: CascadeSpec
 
     def predict(self, df: DataFrame, pred_col: str = "y_pred") -> DataFrame:
-        """Final classes. Stage 1 runs once per row: its scores are written once (checkpoint) and both
-        branches, routed and rest, read them."""
+        """Final classes and p_attack: trees as flat arrays in one pass (``scoring``), other learners by their
+        transformers."""
+        if scoring.is_flat(self.stage1) and (self.stage2 is None or scoring.is_flat(self.stage2)):
+            return scoring.predict_two_stage(self, df, pred_col)
+        return self.transform(df, pred_col)
+
+    def transform(self, df: DataFrame, pred_col: str = "y_pred") -> DataFrame:
+        """The same through the library's transformers. Stage 1 runs once per row: its scores are written once
+        (checkpoint) and both branches, routed and rest, read them."""
         s = self.spec
         s1 = positive_probability(self.stage1.transform(df), "s1_probability", "p_attack")
         s1 = checkpointed(s1.drop(*[c for c in s1.columns if c.startswith(("s1_", "p1_"))]))
@@ -94,6 +103,7 @@ class TwoStageModel:
         pred = pred.drop(*[c for c in pred.columns if c.startswith(("s2_", "p2_"))])
         return assemble(pred, rest, pred_col, s.benign)
 
+
 def fit_two_stage(train: DataFrame, spec: CascadeSpec) -> TwoStageModel:
     """C1 + C2: stage 1 on all rows (binary label); stage 2 on TRUE attack rows
     only, labels re-indexed among attacks, with its own imputer/encoder."""
@@ -129,6 +139,11 @@ class SingleStageModel:
     labels: list[str]
 
     def predict(self, df: DataFrame, pred_col: str = "y_pred") -> DataFrame:
+        if scoring.is_flat(self.model):
+            return scoring.predict_single(self, df, pred_col)
+        return self.transform(df, pred_col)
+
+    def transform(self, df: DataFrame, pred_col: str = "y_pred") -> DataFrame:
         out = self.model.transform(df)
         out = IndexToString(inputCol="ss_prediction", outputCol=pred_col, labels=self.labels).transform(out)
         return out.drop(*[c for c in out.columns if c.startswith(("ss_", "ps_"))])

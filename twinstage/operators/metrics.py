@@ -28,6 +28,17 @@ def pair_counts(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
         .agg(F.count(F.lit(1)).cast("long").alias("count"))
 
 
+def macro_f1_of(counts: dict) -> float:
+    """E3 from the cells of a confusion table, {(true, predicted): count}; 0 without any."""
+    labels = {x for pair in counts for x in pair}
+    f1 = []
+    for k in labels:
+        tp = counts.get((k, k), 0)
+        wrong = sum(n for (a, b), n in counts.items() if (a == k) != (b == k))
+        f1.append(2 * tp / (2 * tp + wrong) if tp else 0.0)
+    return sum(f1) / len(f1) if f1 else 0.0
+
+
 def confusion(df: DataFrame, y_true: str, y_pred: str, labels: Sequence | None = None) -> DataFrame:
     """Long confusion table (y_true, y_pred, count) with zero cells filled.
 
