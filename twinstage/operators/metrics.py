@@ -39,6 +39,17 @@ def macro_f1_of(counts: dict) -> float:
     return sum(f1) / len(f1) if f1 else 0.0
 
 
+def macro_f1_by(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """E3 of many confusion tables at once, from their cells (keys, y_true, y_pred, count)."""
+    each = F.explode(F.array(F.struct(F.col("y_true").alias("label"), F.lit(1).alias("side")),
+                             F.struct(F.col("y_pred").alias("label"), F.lit(0).alias("side")))).alias("s")
+    hit = F.col("y_true").eqNullSafe(F.col("y_pred"))
+    long = cells.select(*keys, each, "count", hit.alias("hit"))
+    label = long.groupBy(*keys, F.col("s.label").alias("label")).agg(
+        F.sum("count").alias("both"), F.sum(F.when(F.col("hit") & (F.col("s.side") == 1), F.col("count")).otherwise(0)).alias("tp"))
+    return label.groupBy(*keys).agg(F.avg(_z(F.try_divide(2.0 * F.col("tp"), F.col("both")))).alias("macro_f1"))
+
+
 def confusion(df: DataFrame, y_true: str, y_pred: str, labels: Sequence | None = None) -> DataFrame:
     """Long confusion table (y_true, y_pred, count) with zero cells filled.
 

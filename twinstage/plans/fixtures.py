@@ -38,6 +38,19 @@ SIEM_EXPRS = [
     "ELSE 'beaconing' END AS attack_type",
 ]
 
+# The same log with a benign majority (seven in ten) and a noisy signal in several features: bytes, destination
+# port and URL of an attack look like it most of the time, those of benign rows some of the time.
+_SIGNAL = {
+    "bytes_sent": "value * CASE WHEN event_type = 'purchase' THEN 3.0 WHEN event_type = 'error' THEN 0.4 ELSE 1.0 END",
+    "dst_port": "CASE WHEN event_type = 'error' AND event_id % 10 < 7 THEN 4444 WHEN event_id % 23 = 0 THEN 4444 "
+                "WHEN event_id % 8 = 0 THEN 80 WHEN event_id % 8 = 1 THEN 443 ELSE 1000 + user_id END",
+    "url": "'/page' || CAST(user_id % 17 AS STRING) || '?id=' || CAST(event_id AS STRING) || "
+           "CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 AND user_id % 10 < 7 THEN '&q=1 union select 2' ELSE '' END",
+    "attack_type": "CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'sql-injection' WHEN event_type = 'purchase' THEN 'ddos' "
+                   "WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'port-scan' ELSE 'benign' END",
+}
+SIGNAL_EXPRS = [next((f"{e} AS {c}" for c, e in _SIGNAL.items() if x.endswith(f" AS {c}")), x) for x in SIEM_EXPRS]
+
 # flow log from `lineitem` (ports, bytes per FIXTURES.md) in the SIEM log schema:
 # a large table to score with models trained on the SIEM stand-in
 FLOW_EXPRS = [
@@ -89,6 +102,10 @@ def siem(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").selectExpr(*SIEM_EXPRS)
 
 
+def signal_log(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").selectExpr(*SIGNAL_EXPRS)
+
+
 def flows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").selectExpr(*FLOW_EXPRS)
 

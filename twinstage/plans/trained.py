@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..operators import boosting as B
 from ..operators import cascade as C
 from ..operators import metrics as E
 from ..operators import models as D
@@ -59,6 +60,19 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return f.drop("timestamp", "src_ip", "dst_ip", "url", "user_agent", "attack_type")
 
 
+def labelled_signal(spark: SparkSession, d: str) -> DataFrame:
+    """The log with a noisy signal and a benign majority: features and grouped label."""
+    from ..operators.features import add_features
+    from . import fixtures as X
+    f = add_features(X.signal_log(spark, d)).withColumn(LABEL, L.attack_group("attack_type"))
+    return f.drop("timestamp", "src_ip", "dst_ip", "url", "user_agent", "attack_type")
+
+
+def signal_holdout(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = D.materialize(R.holdout_split(labelled_signal(spark, d), LABEL, "event_id", test_size=0.3, seed=42))
+    return s.where("is_test = 0"), s.where("is_test = 1")
+
+
 def holdout(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = D.materialize(R.holdout_split(labelled(spark, d), LABEL, "event_id", test_size=0.3, seed=42))
     return s.filter(F.col("is_test") == 0), s.filter(F.col("is_test") == 1)
@@ -134,6 +148,48 @@ def learning_curve(spark: SparkSession, d: str) -> DataFrame:
     return D.learning_curve(pm.stages[-1], val).withColumn("loss", r6("loss"))
 
 
+def joint_model(train: DataFrame, rounds: int, depth: int, patience: int = 3) -> B.JointBoosting:
+    """D2 + D6: joint boosting with a validation slice cut from the training rows."""
+    prep = build_preprocessor(NUM_COLS, CAT_COLS, features_col="jb_features", tag="jb")
+    return B.fit_joint_boosting(D.stable_order(train, "event_id"), prep, LABEL, rounds=rounds, depth=depth, step=0.3,
+                                validation=D.validation_flag("event_id", 0.15), patience=patience)
+
+
+@register("joint_boosting_curve")
+def joint_boosting_curve(spark: SparkSession, d: str) -> DataFrame:
+    """D2 + D6 + D7: 12 rounds of a tree of depth 6 a class at most, stopped by validation macro-F1: loss (training and
+    validation rows) and macro-F1 (held-out test rows too) after every round, and the round that is kept."""
+    train, test = signal_holdout(spark, d)
+    model = joint_model(train, 12, 6)
+    seen = B.curve_table(spark, model)
+    cells = model.confusion_curve(test, LABEL).withColumn("part", F.lit("test"))
+    tested = E.macro_f1_by(cells, ["part", "iteration"]).withColumn("loss", F.lit(None).cast("double")) \
+        .withColumn("is_best", (F.col("iteration") == model.best).cast("int"))
+    return seen.unionByName(tested).withColumn("loss", r6("loss")).withColumn("macro_f1", r6("macro_f1"))
+
+
+@register("joint_boosting_report")
+def joint_boosting_report(spark: SparkSession, d: str) -> DataFrame:
+    """D2 as the main learner against the cascade: F1 of each class on the held-out rows, both fitted on the same rows
+    (8 rounds of a tree of depth 6 a class; the cascade as the other registered queries fit it)."""
+    train, test = signal_holdout(spark, d)
+    joint = joint_model(train, 8, 6).predict(test)
+    two = C.fit_two_stage(D.stable_order(train, "event_id"), spec()).predict(test)
+    reports = [E.class_report(m, LABEL, "y_pred", with_kind=True) for m in (joint, two)]
+    return E.f1_compare(*reports, name_a="joint_f1")
+
+
+@register("official_split_f1")
+def official_split_f1(spark: SparkSession, d: str) -> DataFrame:
+    """E6 on the given training and test part: F1 of each class, single stage and cascade (cut 0.3), and their difference."""
+    lab = labelled_signal(spark, d)
+    both = D.materialize(R.official_split(lab.where("event_id % 3 <> 1"), lab.where("event_id % 3 = 1")))
+    train, test = D.stable_order(both.where("split = 'train'"), "event_id"), both.where("split = 'test'")
+    reports = [E.class_report(m.predict(test), LABEL, "y_pred", with_kind=True)
+               for m in (C.fit_single_stage(train, spec()), C.fit_two_stage(train, spec(threshold=0.3)))]
+    return E.f1_compare(*reports)
+
+
 @register("mlp_weighted", f"""
 WITH {HOLDOUT} SELECT attack_group AS class, CAST(count(*) AS BIGINT) AS support FROM held WHERE is_test = 1 GROUP BY attack_group""")
 def mlp_weighted(spark: SparkSession, d: str) -> DataFrame:
