@@ -10,7 +10,7 @@ written once to the checkpoint folder between them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString, StringIndexer
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import binary_label
 from . import scoring
 from .clean import filter_attacks
-from .metrics import macro_f1
+from .metrics import best_cut, cascade_sweep, macro_f1
 from .models import fit_learner, learner, positive_probability
 from .prep import build_preprocessor
 from .small import checkpointed
@@ -133,6 +133,17 @@ def fit_two_stage(train: DataFrame, spec: CascadeSpec) -> TwoStageModel:
     return TwoStageModel(stage1, stage2, list(idx.labels), spec)
 
 
+def tune_threshold(model: TwoStageModel, validation: DataFrame) -> TwoStageModel:
+    """C3 + E9: the model with the routing cut of the highest macro-F1 of its final labels on ``validation`` (rows that
+    neither stage was fitted on), found among all cuts. A model without a second stage stays as it is."""
+    if model.stage2 is None:
+        return model
+    everything = TwoStageModel(model.stage1, model.stage2, model.attack_labels, replace(model.spec, threshold=-1.0))
+    rows = everything.predict(validation, "_stage2")
+    cut = best_cut(cascade_sweep(rows, model.spec.label_col, "p_attack", "_stage2", model.spec.benign)).first().threshold
+    return TwoStageModel(model.stage1, model.stage2, model.attack_labels, replace(model.spec, threshold=-1.0 if cut is None else float(cut)))
+
+
 @dataclass
 class SingleStageModel:
     model: PipelineModel

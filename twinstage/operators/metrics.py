@@ -263,3 +263,49 @@ def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: Sequence[
                        _z(F.try_divide(tp.cast("double"), tp + fp)).alias("precision"),
                        _z(F.try_divide(tp.cast("double"), tp + fn)).alias("recall"),
                        _z(F.try_divide(2.0 * tp, 2 * tp + fp + fn)).alias("f1"))
+
+
+def cascade_sweep(df: DataFrame, y_true: str, score: str, stage2: str, benign: str) -> DataFrame:
+    """C3 + E9: (threshold, routed, macro_f1) of a cascade's final labels at every cut there is, exactly.
+
+    A row with ``score`` above the cut gets its ``stage2`` class, any other (null scores too) ``benign``. There is a
+    row for every distinct score, and one with a null threshold for a cut below all of them. One aggregate by
+    score counts what each score adds to the classes' hits and predictions; running totals over the
+    scores (bucketed, no single-task window) give all cuts at once, so the work doesn't grow with
+    the number of cuts. Classes come to the driver as column names do: two counters each.
+    """
+    data = checkpointed(df.select(F.col(y_true).cast("string").alias("y"), F.col(score).cast("double").alias("p"),
+                                  F.col(stage2).cast("string").alias("s")))
+    supports = {r.y: r["n"] for r in data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = [*supports, *[r.s for r in data.where("p IS NOT NULL").select("s").distinct().collect() if r.s not in supports]]
+    classes += [benign] if benign not in classes else []
+
+    def n(cond: Column) -> Column:
+        return F.sum(F.when(cond, 1).otherwise(0))
+
+    counts = {"routed": F.count(F.lit(1)), "was_benign": n(F.col("y").eqNullSafe(F.lit(benign)))}
+    for i, c in enumerate(classes):
+        told = F.col("s").eqNullSafe(F.lit(c).cast("string"))
+        counts |= {f"pred{i}": n(told), f"hit{i}": n(told & F.col("y").eqNullSafe(F.col("s")))}
+    aggs = [v.cast("long").alias(k) for k, v in counts.items()]
+    groups = checkpointed(data.where("p IS NOT NULL").groupBy("p").agg(*aggs))
+    cuts = running_totals(groups, "p", list(counts), descending=True, inclusive=False) \
+        .select(F.col("p").alias("threshold"), *[F.col(f"cum_{k}").alias(k) for k in counts])
+    lowest = groups.agg(*[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in counts])
+    cuts = cuts.unionByName(lowest.withColumn("threshold", F.lit(None).cast("double")))
+    total, macro, labels = sum(supports.values()), F.lit(0.0), F.lit(0)
+    for i, c in enumerate(classes):
+        pred, hit = F.col(f"pred{i}"), F.col(f"hit{i}")
+        if c == benign:  # and all rows that are not routed
+            pred = pred + F.lit(total) - F.col("routed")
+            hit = hit + F.lit(supports.get(c, 0)) - F.col("was_benign")
+        both = pred + F.lit(supports.get(c, 0))
+        macro = macro + _z(F.try_divide(2.0 * hit, both))
+        labels = labels + F.when(both > 0, 1).otherwise(0)
+    return cuts.select("threshold", "routed", _z(F.try_divide(macro, labels)).alias("macro_f1"))
+
+
+def best_cut(sweep: DataFrame) -> DataFrame:
+    """One row (threshold, macro_f1): the cut of the highest macro-F1, of equals the one that routes least."""
+    top = sweep.agg(F.min(F.struct((-F.col("macro_f1")).alias("back"), "routed", (-F.col("threshold")).alias("down"))).alias("t"))
+    return top.select((-F.col("t.down")).alias("threshold"), (-F.col("t.back")).alias("macro_f1"))

@@ -337,6 +337,31 @@ def csv_folder(spark: SparkSession, d: str) -> DataFrame:
     return got.select("event_id", "user_id", "event_type", r6("value").alias("value"))
 
 
+@register("csv_rejected", """
+SELECT event_id % 3 AS part, CASE WHEN event_id % 11 = 0 THEN 'fields' WHEN event_id % 13 = 0 AND event_id % 3 <> 2 THEN 'value' ELSE 'good' END AS reason,
+       count(*) AS n, CAST(sum(CASE WHEN event_id % 11 <> 0 THEN event_id END) AS BIGINT) AS ids FROM events GROUP BY ALL""")
+def csv_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """S1–S2 with the channel of rejected rows: broken lines of each file are told apart and add up with the good ones."""
+    import uuid
+    root = f"{checkpoint_root(spark)}/csv/{uuid.uuid4().hex}"
+    ev = table(spark, d, "events")
+    odd, wrong = F.col("event_id") % 11 == 0, F.col("event_id") % 13 == 0
+    value = F.when(wrong, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    for k, cols in enumerate(({"event_id": None, "value": value}, {"value": value, "user_id": None, "event_id": None}, {"user_id": None, "event_id": None})):
+        cells = F.concat_ws(",", *[F.col(c) if e is None else e for c, e in cols.items()])
+        lines = ev.where(F.col("event_id") % 3 == k).select(F.when(odd, F.concat(F.lit("1,2,"), cells)).otherwise(cells).alias(",".join(cols)))
+        # one column whose name is the header, unquoted
+        lines.write.option("header", True).option("quote", "").option("sep", "\t").csv(f"{root}/part{k}")
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType())])
+    good, bad = IO.read_folder_checked(spark, f"{root}/*", "*.csv", schema)
+    part = F.regexp_extract("file", "/part([0-9])/", 1).cast("long")
+    both = good.select(part.alias("part"), F.lit("good").alias("reason"), "event_id").unionByName(
+        bad.select(part.alias("part"), "reason", F.when(F.col("reason") != "fields", F.element_at(F.split("line", ","), -1).try_cast("long")).alias("last"),
+                   F.element_at(F.split("line", ","), 1).try_cast("long").alias("first"))
+        .select("part", "reason", F.when(F.col("reason") != "fields", F.when(F.col("part") == 0, F.col("first")).otherwise(F.col("last"))).alias("event_id")))
+    return both.groupBy("part", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 @register("csv_pair", """
 SELECT event_id, 'train' AS split, event_type, round(value, 6) AS value FROM events WHERE event_id % 3 = 0
 UNION ALL SELECT event_id, 'test', event_type, round(value, 6) FROM events WHERE event_id % 3 = 1""")
@@ -707,6 +732,21 @@ _GRID = f"""{_LABELS}, {_PAIRS}, grid AS (
   FROM lab a CROSS JOIN lab b LEFT JOIN pc ON pc.y_true = a.label AND pc.y_pred = b.label)"""
 
 
+@register("cascade_sweep", f"""
+WITH {_PRED}, cuts AS (SELECT DISTINCT p_attack AS t FROM pred UNION ALL SELECT CAST(NULL AS DOUBLE)),
+f AS (SELECT t, y_true, CASE WHEN t IS NULL OR p_attack > t THEN stage2 ELSE 'en' END AS y_pred, t IS NULL OR p_attack > t AS up FROM cuts, pred),
+l AS (SELECT t, y_true AS c, 1 AS s, CAST(y_true = y_pred AS INTEGER) AS tp, CAST(up AS INTEGER) AS up FROM f
+      UNION ALL SELECT t, y_pred, 1, 0, 0 FROM f),
+k AS (SELECT t, c, sum(s) AS s, sum(tp) AS tp, sum(up) AS up FROM l GROUP BY t, c)
+SELECT round(t, 6) AS threshold, CAST(sum(up) AS BIGINT) AS routed, round(avg(2.0 * tp / s), 6) AS macro_f1 FROM k GROUP BY t""")
+def cascade_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """C3 + E9: macro-F1 of the cascade's final labels at every cut of its score."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("y_true"), "text")
+    rows = docs.select("y_true", _stage1_score().alias("p_attack"), _stage2_rule().alias("stage2"))
+    s = E.cascade_sweep(rows, "y_true", "p_attack", "stage2", "en")
+    return s.select(r6("threshold").alias("threshold"), "routed", r6("macro_f1").alias("macro_f1"))
+
+
 @register("confusion", f"WITH {_PRED}, {_GRID} SELECT y_true, y_pred, count FROM grid")
 def confusion(spark: SparkSession, d: str) -> DataFrame:
     return E.confusion(cascade_predictions(spark, d), "y_true", "y_pred")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.small import checkpointed
+
 SCORES_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()), T.StructField("model", T.StringType()),
     T.StructField("run", T.IntegerType()), T.StructField("fold", T.IntegerType()),
@@ -70,6 +72,49 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv",
     return out.select(*typed, *([source_col] if source_col else []))
 
 
+def read_folder_checked(spark: SparkSession, folder: str, pattern: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """S1–S2 with a channel for what can't be read: (good, rejected) of every matching file.
+
+    good: ``schema``'s columns, bound by name, and ``file``; columns a file doesn't have are null. rejected: (file, line,
+    reason), the reason ``fields`` for a line of too few or too many fields or broken quotes, else the name of the
+    first column of ``schema`` whose text isn't empty and isn't of its type. The headers of all files are found in one
+    pass, as the first line of each; blank lines and that line are no rows, every other line is in exactly
+    one of the two. A line is a row: quoted line breaks are not supported. The distinct headers come to the driver, the
+    files do not. No matching file is an error.
+    """
+    if {"file", "line", "reason"} & {f.name for f in schema.fields}:
+        raise ValueError("file, line and reason name the result's own columns")
+    try:
+        lines = spark.read.option("pathGlobFilter", pattern).text(folder.rstrip("/")).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no folder {folder}") from e
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("line", "at").alias("header"))
+    first = checkpointed(first)  # a row a file
+    headers = [r.header for r in first.select("header").distinct().collect()]
+    if not headers:
+        raise FileNotFoundError(f"no files match {pattern} in {folder}")
+    rows = lines.join(first, "file").where((F.trim("line") != "") & (F.col("line") != F.col("header")))
+    parts = []
+    for h in headers:
+        names = [x.strip().strip('"') for x in h.split(",")]
+        kind = ", ".join(f"`_{k}` STRING" for k in range(len(names)))
+        cells = F.from_csv("line", f"{kind}, `_bad` STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        own = rows.where(F.col("header") == h).select("file", "line", cells.alias("c"))
+        place = {n: f"c._{k}" for k, n in enumerate(names)}
+        texts = {f.name: F.col(place[f.name]) if f.name in place else F.lit(None).cast("string") for f in schema.fields}
+        typed = {f.name: texts[f.name].try_cast(f.dataType) for f in schema.fields}
+        wrong = F.coalesce(*[F.when((F.trim(texts[n]) != "") & typed[n].isNull(), F.lit(n)) for n in typed])
+        reason = F.when(F.col("c._bad").isNotNull(), "fields").otherwise(wrong)
+        parts.append(own.select("file", "line", reason.alias("reason"), *[c.alias(n) for n, c in typed.items()]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return (out.where("reason IS NULL").select(*[f.name for f in schema.fields], "file"),
+            out.where("reason IS NOT NULL").select("file", "line", "reason"))
+
+
 def read_pair(spark: SparkSession, train_path: str, test_path: str, schema: T.StructType | None = None,
               required: Iterable[str] = ()) -> DataFrame:
     """S3 + S4 + S5: the official train/test files, tagged and stacked by name."""
