@@ -70,5 +70,5 @@ def test_stage_on_an_empty_table(spark, name, stage):
 def test_registered_names():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if q.startswith("op")}
     assert "pipeline" in names and "op5_urls" in entry.oracle_sql()
