@@ -246,3 +246,16 @@ def personal_data(rows, reach=80, generalise=0.75, remove=0.95):
             end = max(end, b)
         out.append((i, spans, clean + (t or "")[end:]))
     return out
+
+
+def license_matches(text, rules):
+    """(start, end, label, confidence) of the matches no other match suppresses, by comparing each with each."""
+    joined = re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", text or "").strip(" ").lower()
+    every = sorted((m.start(), -m.end(), tier, k, confidence, label) for k, (_, label, tier, confidence, rx) in enumerate(rules)
+                   for m in re.finditer(rf"(?<![^ ])(?:{rx})(?![^ ])", joined))
+    out = []
+    for i, (start, back, tier, _, confidence, label) in enumerate(every):
+        if not any(s <= start and b <= back and t <= tier and (j < i or (s, b, t) != (start, back, tier))
+                   for j, (s, b, t, *_) in enumerate(every) if j != i):
+            out.append((start, -back, label, confidence))
+    return out

@@ -3,13 +3,16 @@
 import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from brute import base_counts, scan, sha
+from brute import base_counts, license_matches, scan, sha
+
+from pyspark.sql import functions as F
 
 from twinstage.llm import bpe, html, importance, licenses, quality, urls
 
@@ -163,6 +166,32 @@ def test_license_suppression(spark):
     assert got == {1: ["worse", "outer", "crossing"], 2: []}
 
 
+def test_license_matches(spark):
+    rng = random.Random(4)
+    bits = ["licensed under the apache license 2 0", "MIT License", "gnu general public license v3", "GPLv2", "all rights reserved", "and",
+            "spdx-license-identifier: BSD 3-clause", "cc by sa 4.0", "released under the terms of the ISC licence", "bsd", "version 2"]
+    texts = {k: " ".join(rng.choices(bits, k=rng.randrange(40))) for k in range(60)} | {90: None, 91: "", 92: "apache"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("found", F.lit("other"))
+    rules = licenses.signature_rules()
+    got = {r.doc_id: [tuple(m) for m in r.found] for r in licenses.scan_licenses(d).collect()}
+    assert got == {k: license_matches(t, rules) for k, t in texts.items()}
+    assert licenses.scan_licenses(d.limit(0)).collect() == []
+
+
+def test_license_many_matches(spark):
+    line = "licensed under the apache license 2 0 "
+    d = spark.createDataFrame([(1, line), (2, line * 20_000)], "doc_id long, text string")
+    took = []
+    for part in (d.where("doc_id = 1"), d.where("doc_id = 1"), d):  # compiled; one match; all
+        begun = time.monotonic()
+        got = {r.doc_id: r for r in licenses.scan_licenses(part).collect()}
+        took.append(time.monotonic() - begun)
+    assert took[2] - took[1] < 30
+    assert len(got[2].found) == 20_000 * len(got[1].found)
+    one = got[1].found[0]
+    assert [(m.start, m.end) for m in got[2].found] == [(one.start + k * len(line), one.end + k * len(line)) for k in range(20_000)]
+
+
 def test_urls(spark):
     odd = [(-1, None), (-2, "x"), (-3, "http://COM"), (-4, "http://com/?a://b"), (-5, "a://www.Example.com/en/"),
            (-6, "http://www.example.com./en/"), (-7, "x://b.net/es/\n?"), (-7, "x://b.net/es/\n?"), (-8, "http://"), (-9, "://net/es/#x"),

@@ -13,8 +13,8 @@ match of an equal or better tier contains it; of equal intervals in one tier the
 rule stays. Matches that merely overlap all stay.
 
 Everything is computed inside the row, on arrays: no shuffle at all, so neither copies
-nor frequent licenses meet in one task. Work on a text grows with its length, for the
-suppression with the square of its own matches (a compare of two numbers each).
+nor frequent licenses meet in one task. Work on a text grows with its length and with n log n
+of its n matches: running totals place the matches and find those that are covered.
 
 score: the best confidence among the matches that stay, 0 without one.
 
@@ -123,19 +123,50 @@ def signature_rules() -> list[tuple[str, str, int, float, str]]:
     return rules
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: an expression named inside a lambda runs again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, join) -> Column:
+    """Running total of an array under ``join`` (associative), by steps of doubled width: n log n for n elements."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(values))
+    return F.aggregate(steps, values, lambda acc, s: F.transform(
+        acc, lambda x, i: F.when(i < s, x).otherwise(join(F.get(acc, i - s), x))))
+
+
 def _matches(text: Column, rule: Column) -> Column:
-    """All matches of one rule as (start, -end, tier, number, confidence, label), by the lengths between them."""
-    between = F.split(text, rule["regex"], -1)
-    found = F.regexp_extract_all(text, rule["regex"], F.lit(0))
+    """All matches of one rule as (start, -end, tier, number, confidence, label): ends are the running total of
+    the lengths of what stands between matches and of the matches."""
+    between = F.transform(F.split(text, rule["regex"], -1), lambda g: F.length(g))
+    found = F.transform(F.regexp_extract_all(text, rule["regex"], F.lit(0)), lambda m: F.length(m))
+    both = F.zip_with(found, between, lambda m, g: F.struct(m.alias("m"), (m + g).alias("step")))
+    both = F.filter(both, lambda x: x["m"].isNotNull())  # what follows the last match
+
+    def intervals(pairs: Column) -> Column:
+        ends = _let(F.transform(pairs, lambda x: x["step"]), lambda v: _running(v, lambda a, x: a + x))
+        return F.zip_with(pairs, ends, lambda x, end: F.struct(
+            (end - x["m"]).alias("start"), (-end).alias("back"), rule["tier"].alias("tier"), rule["number"].alias("number"),
+            rule["confidence"].alias("confidence"), rule["label"].alias("label")))
 
-    def interval(m: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-        gaps = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-        start = before + gaps
-        return F.struct(start.alias("start"), (-(start + F.length(m))).alias("back"), rule["tier"].alias("tier"),
-                        rule["number"].alias("number"), rule["confidence"].alias("confidence"), rule["label"].alias("label"))
+    return _let(both, intervals)
 
-    return F.transform(found, interval)
+
+def _uncovered(found: Column, tiers: list[int]) -> Column:
+    """The matches that no match before them (in order of start, longest first, tier, number) covers at an equal or
+    better tier: the smallest ``back`` so far is the largest end so far."""
+    def least(tier: int) -> Column:
+        return _let(F.transform(found, lambda m: F.when(m["tier"] <= tier, m["back"])),
+                    lambda v: _running(v, lambda a, x: F.least(a, x)))
+
+    def keep(so_far: Column) -> Column:
+        def stays(m: Column, i: Column) -> Column:
+            covered = [(m["tier"] == t) & (i > 0) & F.coalesce(F.get(so_far[f"t{t}"], i - 1) <= m["back"], F.lit(False))
+                       for t in tiers]
+            return ~reduce(lambda a, b: a | b, covered)
+        return F.filter(found, stays)
+
+    return _let(F.struct(*[least(t).alias(f"t{t}") for t in tiers]), keep)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -178,14 +209,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                  F.array_sort(F.array_distinct(base)).alias("base_labels"), held.alias("held"))
     found = F.flatten(F.transform(F.filter(rule_array, lambda r: F.array_contains("held", r["keyword"])),
                                   lambda r: _matches(F.col("joined"), r)))
-    d = d.withColumn("found", F.when(F.size("held") > 0, F.sort_array(found))).drop("joined", "held")
     tiers = sorted({r[2] for r in rules})
-    # smallest `back` (so the largest end) of each tier or better among the matches before this one
-    d = d.withColumns({f"back_{t}": F.transform("found", _back_if(t)) for t in tiers})
-    stays = F.filter("found", lambda m, i: ~reduce(lambda a, b: a | b, [
-        (m["tier"] >= t) & F.coalesce(F.array_min(F.slice(f"back_{t}", F.lit(1), i)) <= m["back"], F.lit(False))
-        for t in tiers]))
-    d = d.withColumn("found", F.coalesce(stays, F.array().cast(_FOUND))).drop(*[f"back_{t}" for t in tiers])
+    stays = _let(F.sort_array(found), lambda every: _uncovered(every, tiers))
+    d = d.withColumn("found", F.coalesce(F.when(F.size("held") > 0, stays), F.array().cast(_FOUND))).drop("joined", "held")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce(
         F.transform("found", lambda m: m["label"]), F.array().cast("array<string>"))))
     best = F.coalesce(F.array_max(F.transform("found", lambda m: m["confidence"])), F.lit(0.0))
@@ -199,7 +225,3 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _stands(ws: list[str]):
     return lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get("words", i + j) == F.lit(w), F.lit(False))
                                                 for j, w in enumerate(ws)])
-
-
-def _back_if(tier: int):
-    return lambda m: F.when(m["tier"] <= tier, m["back"])
