@@ -390,3 +390,49 @@ def test_html_query(spark):
     assert len(got) == pages.count()
     for r in pages.collect():
         assert got[r.page_id].text == html.render(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>x<td rowspan=0 colspan=2>y<tr><td>z<td>w</table>", "x  y\nz      w"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tr><td>\u65e5\u672c<td>b<tr><td>abc<td>d</table>", "\u65e5\u672c  b\nabc   d"),
+    ("<style>.a.b{display:none}</style><p class=a>x<p class='b a'>y<p class=b>z", "x\n\nz"),
+    ("<style>div .h{display:none}</style><p class=h>x</p><div><p><b class=h>y</b>w</div>", "x\n\nw"),
+    ("<style>div > .h{display:none}</style><div><b class=h>x</b><i><b class=h>y</b></i></div>", "y"),
+    ("<style>ul > li p > b{display:none}</style><ul><li><div><p><b>x</b>y</p></div></ul><p><b>z</b>", "- y\n\nz"),
+    ("<style>.h{display:none!important} p.h{display:block}</style><p class=h>x<p>y", "y"),
+    ("<style>#i{display:none} p{display:block}</style><p id=i>x<p>y", "y"),
+    ("<style>.h{display:none!important}</style><p class=h style='display:block'>x<p class=h style='display:block !important'>y", "y"),
+    ("<style>.h{display:none} .h{display:block}</style><p class=h>x", "x"),
+    ("<style>p:hover{display:none} a > > p{display:none} > p{display:none}</style><p>x", "x"),
+])
+def test_html_tables_and_selectors(page, text):
+    assert html.render(page) == text
+
+
+def test_html_tags_are_those_of_a_plain_scan():
+    """Against one regex that starts anew at each place."""
+    token = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</([A-Za-z][^\s/>]*+)[^>]*>|<[!?/][^>]*>", re.S)
+    rng = random.Random(6)
+    for _ in range(20_000):
+        page = "".join(rng.choices(["<", ">", '"', "'", "a", "B", "/", " ", "=", "!--", "-->", "?", "<a ", "</b", "\n"], k=rng.randrange(30)))
+        want = [(m.start(), m.end(), (m[1] or "").lower(), m[2] or "", (m[3] or "").lower()) for m in token.finditer(page)]
+        tags, got, at = html.Tags(page), [], 0
+        while m := tags.next(at):
+            got.append(m)
+            at = m[1]
+        assert got == want, page
+
+
+@pytest.mark.parametrize("page", [
+    '<a "' * 500_000, "<a <b" * 400_000, "</a" * 500_000 + ">", "<a<" * 500_000 + '"', "<!" * 900_000, "<a '\" " * 300_000,
+    "<title>" + "</title " * 200_000, "<a " + "=" * 1_000_000 + "/>", "<p>x" * 300_000,
+    "<style>" + "".join(f".c{k}{{display:none}}" for k in range(40_000)) + "</style>" + "".join(f"<p class=c{2 * k}>x" for k in range(40_000)),
+    "<style>" + ".c{display:none}" * 40_000 + "</style>" + "<p class=c>x" * 40_000,
+    "<table>" + "<tr><td>" + "x" * 400_000 + "<td>y" + "<tr><td>a<td>b" * 20_000 + "</table>",
+    "<table><tr>" + "<td rowspan=0>x" * 20_000 + "<tr><td>y" * 2_000 + "</table>"], ids=range(13))
+def test_html_large_pages(page):
+    begun = time.monotonic()
+    out = html.render(page)
+    assert time.monotonic() - begun < 30 and len(out) < 20 * len(page)

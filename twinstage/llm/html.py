@@ -5,12 +5,15 @@ paragraphs, list items, options and table parts, a tbody or tr that is missing)
 void elements; unmatched end tags are dropped. A renderer walks the tree and emits all
 visible text: blocks on lines of their own, paragraphs, headings, lists and tables set
 off by an empty line, list items with a bullet or number and indented by depth, table
-cells padded to the width of their column, preformatted text as it is, other white
-space collapsed.
+cells padded to the width of their column (wide characters take two places; a cell that
+spans rows or columns keeps those below and behind it in their columns; lines of over
+``WIDEST`` places are not padded for), preformatted text as it is, other white space
+collapsed.
 
 Invisible are: elements that are never shown (script, style, template, head, …), the
 attribute ``hidden``, ``display:none`` and ``visibility:hidden`` in a style attribute or
-in a style element's simple rules (tag, .class, #id or a tag with one of these), closed
+in a style element's rules (tags, classes and ids, joined by descent or >; !important,
+specificity and order decide; rules with other selectors do not count), closed
 details except their summary, closed dialogs, hidden inputs. Rules inside at-rules count
 where these hold on a screen of ``SCREEN`` pixels (@media with types, widths, heights and
 a few preferences; @supports unless negated; @layer); others are left out.
@@ -20,6 +23,8 @@ them, as in browsers. Of an svg the text elements and foreign objects are visibl
 math all but annotations and phantoms.
 
 Pages stay in the task that scans them: no shuffle. One page is one string in memory.
+Tags are found in time linear in the page, broken ones too; style rules are looked up by
+the id, class or tag they need.
 Elements nested deeper than ``DEPTH`` become children of the last level, as browsers do;
 their text is kept.
 
@@ -31,6 +36,7 @@ repeat are rendered each; empty tables give empty results.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 from html import unescape
 
@@ -67,9 +73,13 @@ _IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-_TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([A-Za-z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_MARK = re.compile(r"[>\"']")
+_GAP = re.compile(r"[\s/>]")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|[{};]|[^{};\"']+", re.S)
+WIDEST = 200    # columns; longer lines of a cell do not set the width of their column
+COLUMNS = 1000  # of a table, in which cells may cover rows below
 SCREEN = {"width": 1280, "height": 800}  # pixels, for media queries
 _LENGTH = r"\s*(\d*\.?\d+)(px|em|rem)?\s*\)"
 _BOUND = re.compile(r"\(\s*(min|max)-(?:device-)?(width|height)\s*:" + _LENGTH)
@@ -78,8 +88,7 @@ _PREFERENCE = {"orientation:landscape": True, "orientation:portrait": False, "pr
                "prefers-color-scheme:dark": False, "prefers-reduced-motion:no-preference": True,
                "prefers-reduced-motion:reduce": False, "hover:hover": True, "hover:none": False, "pointer:fine": True,
                "pointer:coarse": False, "pointer:none": False, "scripting:none": False}
-_SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?([.#][\w-]+)?\Z")
-_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")  # a last attribute without quotes owns the slash after it
+_COMPOUND = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 _LOOSE = re.compile(r"[\t\n\r\f]|  ")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -90,10 +99,153 @@ def _ends(tag: str) -> re.Pattern:
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "number")  # number: of an item of an ol
+    __slots__ = ("tag", "attrs", "children", "number", "look")  # number: of an item of an ol; look: by the style sheet
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children, self.number = tag, attrs, [], None
+        self.tag, self.attrs, self.children, self.number, self.look = tag, attrs, [], None, None
+
+
+class Tags:
+    """The tags of a page one after the other, in time linear in the page.
+
+    A start tag ends at the first > outside of quotes; without one the < is text. Whatever a search
+    has shown (no > behind here, no end of a tag that is outside of quotes here, next mark, end of a
+    name) is kept, so broken tags do not make later ones look again at the same places.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.dead: set[int] = set()   # quotes that open outside of quotes and lead to no >
+        self.mark = (0, -1)           # from, next mark at or after it
+        self.name = (0, -1)           # from, end of a name that starts there or later
+
+    def _ahead(self, known: tuple[int, int], pattern: re.Pattern, at: int) -> tuple[int, int]:
+        if known[0] <= at <= known[1]:
+            return known
+        m = pattern.search(self.page, at)
+        return at, m.start() if m else len(self.page)
+
+    def _close(self, at: int) -> int:
+        """Place of the > that ends a start tag whose name ends at ``at``, or -1."""
+        page, seen = self.page, []
+        self.mark = self._ahead(self.mark, _MARK, at)
+        k = self.mark[1]
+        while k < len(page) and k not in self.dead:
+            if page[k] == ">":
+                return k
+            seen.append(k)
+            other = page.find(page[k], k + 1)
+            m = _MARK.search(page, other + 1) if other >= 0 else None
+            k = m.start() if m else len(page)
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, name of a start tag, its attributes, name of an end tag) of the next tag or comment."""
+        page = self.page
+        while (k := page.find("<", at)) >= 0:
+            at = k + 1
+            c = page[at:at + 1]
+            if c.isascii() and c.isalpha():
+                self.name = self._ahead(self.name, _GAP, at)
+                stop = self._close(self.name[1]) if at <= self.last else -1
+                if stop >= 0:
+                    return k, stop + 1, page[at:self.name[1]].lower(), page[self.name[1]:stop], ""
+            elif page.startswith("!--", at):
+                stop = page.find("-->", at + 3)
+                return k, stop + 3 if stop >= 0 else len(page), "", "", ""
+            elif c and c in "!?/" and at < self.last:
+                m = _NAME.match(page, at + 1) if c == "/" else None
+                return k, page.index(">", at + 1) + 1, "", "", m[0].lower() if m else ""
+        return None
+
+
+def _owned(raw: str) -> bool:
+    """Is the end of a start tag part of a last attribute without quotes? Then it owns the slash there."""
+    k = next((i for i in range(len(raw) - 1, -1, -1) if raw[i] in "\"'>" or raw[i].isspace()), -1)
+    tail = raw[k + 1:]
+    return "=" in tail[:-1] or bool(tail and k >= 0 and raw[k].isspace() and raw[:k].rstrip()[-1:] == "=")
+
+
+class Sheet:
+    """Style rules by the id, class or tag that an element must have for them.
+
+    Selectors are compounds of a tag, ids and classes, joined by descent or ``>``; rules with others do
+    not count. !important, then ids, classes and tags, then order decide between rules, as on a screen.
+    """
+
+    def __init__(self):
+        self.rules: dict[tuple, tuple] = {}  # (selector, property, important) -> (specificity, order, value)
+        self.order = 0
+
+    def add(self, selector: str, found: dict[str, tuple[str, bool]]) -> None:
+        chain, link = [], " "
+        for part in selector.replace(">", " > ").split():
+            if part == ">":
+                if link == ">" or not chain:
+                    return
+                link = ">"
+                continue
+            m = _COMPOUND.fullmatch(part)
+            if not m:
+                return
+            marks = re.findall(r"[.#][\w-]+", m[2])
+            chain.append((link, (m[1] or "*").lower(), frozenset(x[1:] for x in marks if x[0] == "#"),
+                          frozenset(x[1:] for x in marks if x[0] == ".")))
+            link = " "
+        if not chain or link == ">":
+            return
+        weight = (sum(len(c[2]) for c in chain), sum(len(c[3]) for c in chain), sum(c[1] != "*" for c in chain))
+        for name, (value, important) in found.items():
+            self.order += 1
+            self.rules[tuple(chain), name, important] = (weight, self.order, value)
+
+    def dress(self, root: Node) -> None:
+        """Give every element its look: {property: value} by the rules and its own style."""
+        by: dict[str, list] = {}
+        for (chain, name, important), (weight, order, value) in self.rules.items():
+            _, tag, ids, classes = chain[-1]
+            key = "#" + min(ids) if ids else "." + min(classes) if classes else tag
+            by.setdefault(key, []).append((chain, name, ((important, False, weight, order), value)))
+        todo: list[tuple[Node, tuple | None]] = [(root, None)]
+        while todo:
+            n, up = todo.pop()
+            for c in n.children:
+                if isinstance(c, Node):
+                    me = (c.tag, c.attrs.get("id"), frozenset(c.attrs.get("class", "").split()), up)
+                    c.look = self._look(by, c, me)
+                    todo.append((c, me))
+
+    @staticmethod
+    def _look(by: dict[str, list], n: Node, me: tuple) -> dict[str, str]:
+        best = {k: ((important, True), v) for k, (v, important) in _visibility(n.attrs.get("style", "")).items()}
+        for key in ("*", n.tag, f"#{me[1]}", *("." + x for x in me[2])):
+            for chain, name, entry in by.get(key, ()):
+                if (name not in best or best[name][0] < entry[0]) and _fits(chain[-1], me) and _under(chain, me[3]):
+                    best[name] = entry
+        return {k: v for k, (_, v) in best.items()}
+
+
+def _fits(compound: tuple, element: tuple) -> bool:
+    """Has the element (tag, id, classes, element above) what the compound asks for?"""
+    _, tag, ids, classes = compound
+    return tag in ("*", element[0]) and (not ids or ids == {element[1]}) and classes <= element[2]
+
+
+def _under(chain: tuple, up: tuple | None) -> bool:
+    """Do the elements above fit the compounds before the last? From the top down, each looked at once."""
+    if len(chain) == 1:
+        return True
+    path = []
+    while up is not None:
+        path.append(up)
+        up = up[3]
+    here = ever = [False] * (len(chain) - 1)  # does a match of the first k + 1 compounds end at this element, at any so far?
+    for element in reversed(path):
+        here = [(k == 0 or (here if c[0] == ">" else ever)[k - 1]) and _fits(c, element) for k, c in enumerate(chain[:-1])]
+        ever = [a or b for a, b in zip(ever, here)]
+    return (here if chain[-1][0] == ">" else ever)[-1]
 
 
 class Builder:
@@ -104,7 +256,7 @@ class Builder:
         self.open = [self.root]
         self.newest = self.root
         self.inside = False  # has the page had an svg or math?
-        self.sheet: list[tuple[str, str, str, str]] = []  # (tag, mark, property, value)
+        self.sheet = Sheet()
 
     def _add(self, item) -> None:
         self.open[-1].children.append(item)
@@ -198,24 +350,23 @@ class Builder:
             self._add(s)
 
     def feed(self, page: str) -> Node:
-        at = 0
+        at, tags = 0, Tags(page)
         while at < len(page):
-            m = _TOKEN.search(page, at)
+            m = tags.next(at)
             if not m:
                 self.text(unescape(page[at:]))
                 break
-            self.text(unescape(page[at:m.start()]))
-            at = m.end()
-            if m[2]:
-                tag = m[2].lower()
-                raw = m[3]
+            begin, stop, tag, raw, ended = m
+            self.text(unescape(page[at:begin]))
+            at = stop
+            if tag:
                 attrs: dict[str, str] = {}
                 if raw and raw != "/":
                     for a in _ATTR.finditer(raw):
                         attrs.setdefault(a[1].lower(), unescape(next((v for v in a.groups()[1:] if v is not None), "")))
-                closed = raw[-1:] == "/" and not _UNQUOTED.search(raw)
+                closed = raw[-1:] == "/" and not _owned(raw)
                 if not self.start(tag, attrs, closed) and tag in RAW:
-                    stop = _ends(tag).search(page, at)
+                    stop = _ends(tag).search(page, at, max(tags.last + 1, at))
                     body = page[at:stop.start()] if stop else page[at:]
                     at = stop.end() if stop else len(page)
                     if tag == "style":
@@ -227,17 +378,15 @@ class Builder:
                         self._add(body)
                     if self.open[-1].tag == tag:
                         self.open.pop()
-            elif m[4]:
-                self.end(m[4].lower())
+            elif ended:
+                self.end(ended)
         return self.root
 
     def _styles(self, css: str) -> None:
         for selectors, body in _rules(re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)):
             found = _visibility(body)
             for sel in selectors.split(",") if found else ():
-                m = _SELECTOR.match(sel.strip())
-                if m and (m[1] or m[2]):
-                    self.sheet += [(m[1] or "*", m[2] or "", k, v) for k, v in found.items()]
+                self.sheet.add(sel, found)
 
 
 def _rules(css: str) -> list[tuple[str, str]]:
@@ -313,18 +462,39 @@ def _feature(p: str) -> bool | None:
     return _PREFERENCE.get(re.sub(r"[\s()]", "", p))
 
 
-def _visibility(style: str) -> dict[str, str]:
-    out = {}
-    for part in style.lower().split(";"):
+def _visibility(style: str) -> dict[str, tuple[str, bool]]:
+    """{property: (value, is it important?)} of the two properties that hide text."""
+    out: dict[str, tuple[str, bool]] = {}
+    for part in style.lower().split(";") if style else ():
         k, _, v = part.partition(":")
-        if k.strip() in ("display", "visibility"):
-            out[k.strip()] = v.replace("!important", "").strip()
+        k = k.strip()
+        if k in ("display", "visibility"):
+            important = "!important" in v.replace(" ", "")
+            if important or not out.get(k, ("", False))[1]:
+                out[k] = (v.partition("!")[0].strip(), important)
     return out
 
 
+def _look(n: Node) -> dict[str, str]:
+    if n.look is not None:
+        return n.look
+    return {k: v for k, (v, _) in _visibility(n.attrs["style"]).items()} if "style" in n.attrs else {}
+
+
+def _cells(s: str) -> int:
+    """Columns that a text takes: two for wide characters, none for combining ones."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def _span(n: Node, name: str, most: int) -> int:
+    v = n.attrs.get(name, "1")
+    return min(int(v), most) if re.fullmatch(r"[0-9]{1,5}", v) else 1
+
+
 class Renderer:
-    def __init__(self, sheet):
-        self.sheet = [r for r in sheet]
+    def __init__(self):
         self.lines: list[str] = []
         self.line = ""
         self.gap = 0          # line ends asked for before the next text
@@ -371,17 +541,6 @@ class Renderer:
             if part:
                 self.write(part)
 
-    # -- visibility ---------------------------------------------------------
-    def style(self, n: Node) -> dict[str, str]:
-        out: dict[str, str] = {}
-        for tag, mark, k, v in self.sheet:
-            if tag in ("*", n.tag) and (not mark or (mark[0] == "#" and n.attrs.get("id") == mark[1:])
-                                        or (mark[0] == "." and mark[1:] in n.attrs.get("class", "").split())):
-                out[k] = v
-        if "style" in n.attrs:
-            out |= _visibility(n.attrs["style"])
-        return out
-
     # -- walk ---------------------------------------------------------------
     def walk(self, n: Node, seen: bool = True, pre: bool = False) -> None:
         for c in n.children:
@@ -395,7 +554,7 @@ class Renderer:
         tag = n.tag
         if tag in NEVER or "hidden" in n.attrs or (tag == "dialog" and "open" not in n.attrs):
             return
-        style = self.style(n) if self.sheet or "style" in n.attrs else {}
+        style = _look(n)
         if style.get("display") == "none":
             return
         if "visibility" in style:
@@ -472,7 +631,7 @@ class Renderer:
             if isinstance(c, str) or c.tag in _UNSHOWN or c.tag in NEVER:
                 continue
             style = {k: c.attrs[k].strip().lower() for k in ("display", "visibility") if k in c.attrs}
-            style |= self.style(c) if self.sheet or "style" in c.attrs else {}
+            style |= _look(c)
             if style.get("display") == "none":
                 continue
             see = style["visibility"] not in ("hidden", "collapse") if "visibility" in style else seen
@@ -485,17 +644,18 @@ class Renderer:
 
     # -- tables -------------------------------------------------------------
     def table(self, n: Node, seen: bool) -> None:
-        rows: list[list[tuple[list[str], int]]] = []
+        rows: list[list[tuple[int, list[str], int]]] = []  # (column, lines, columns spanned)
         captions: list[list[str]] = []
 
         def cell(c: Node, visible: bool) -> list[str]:
-            sub = Renderer(self.sheet)
+            sub = Renderer()
             sub.walk(c, visible)
             sub.flush()
             return [x for x in sub.lines if x] or [""]
 
         def part(node: Node, visible: bool) -> None:
             loose = Node("div", {})
+            taken: dict[int, int] = {}  # column: rows of this part that a cell above still covers
             for c in node.children:
                 if isinstance(c, str):
                     if c.strip():
@@ -503,7 +663,7 @@ class Renderer:
                     continue
                 if c.tag in NEVER or "hidden" in c.attrs:
                     continue
-                style = self.style(c) if self.sheet or "style" in c.attrs else {}
+                style = _look(c)
                 if style.get("display") == "none":
                     continue
                 see = style["visibility"] not in ("hidden", "collapse") if "visibility" in style else visible
@@ -512,19 +672,24 @@ class Renderer:
                 elif c.tag in ("tbody", "thead", "tfoot"):
                     part(c, see)
                 elif c.tag == "tr":
-                    row = []
+                    row, at, fresh = [], 0, {}
                     for d in c.children:
                         if isinstance(d, str):
                             if d.strip():
                                 loose.children.append(d)
                             continue
-                        look = self.style(d) if self.sheet or "style" in d.attrs else {}
+                        look = _look(d)
                         if d.tag in NEVER or "hidden" in d.attrs or look.get("display") == "none":
                             continue
                         ok = look["visibility"] not in ("hidden", "collapse") if "visibility" in look else see
-                        span = d.attrs.get("colspan", "1")
-                        row.append((cell(d if d.tag in ("td", "th") else _wrap(d), ok),
-                                    min(int(span), 100) if re.fullmatch(r"\d{1,4}", span) and int(span) else 1))
+                        while at in taken:
+                            at += 1
+                        span, down = max(_span(d, "colspan", 100), 1), _span(d, "rowspan", 65534) or 65534  # 0: all rows of the part
+                        row.append((at, cell(d if d.tag in ("td", "th") else _wrap(d), ok), span))
+                        if down > 1:
+                            fresh |= {k: down for k in range(at, min(at + span, COLUMNS))}
+                        at += span
+                    taken = {k: v - 1 for k, v in (taken | fresh).items() if v > 1}
                     rows.append(row)
                 else:
                     loose.children.append(c)
@@ -534,23 +699,23 @@ class Renderer:
         part(n, seen)
         width: dict[int, int] = {}
         for row in rows:
-            at = 0
-            for lines, span in row:
+            for at, lines, span in row:
                 if span == 1:
-                    width[at] = max(width.get(at, 0), *map(len, lines))
-                at += span
+                    width[at] = max(width.get(at, 0), *(w for w in map(_cells, lines) if w <= WIDEST), 0)
         self.flush(2)
         for lines in captions:
             for x in filter(None, lines):
                 self.write(x)
                 self.flush(1)
         for row in rows:
-            for k in range(max((len(lines) for lines, _ in row), default=0)):
-                out, at = "", 0
-                for lines, span in row:
+            for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+                out, done = "", 0
+                for at, lines, span in row:
+                    out += " " * sum(width.get(i, 0) + 2 for i in range(done, at))
                     wide = sum(width.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                    out += (lines[k] if k < len(lines) else "").ljust(wide) + "  "
-                    at += span
+                    line = lines[k] if k < len(lines) else ""
+                    out += line + " " * (max(wide - _cells(line), 0) + 2)
+                    done = at + span
                 if out.strip():
                     self.write(out.rstrip())
                     self.flush(1)
@@ -568,9 +733,10 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     b = Builder()
-    r = Renderer(())
+    r = Renderer()
     root = b.feed(page)
-    r.sheet = b.sheet
+    if b.sheet.rules:
+        b.sheet.dress(root)
     r.walk(root)
     r.flush()
     while r.lines and not r.lines[-1]:
