@@ -436,6 +436,28 @@ def label_encode(spark: SparkSession, d: str) -> DataFrame:
     return m.transform(docs).withColumn("lang_idx", F.col("lang_idx").cast("int"))
 
 
+@register("dictionary_encode", """
+WITH d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders))
+SELECT c_custkey, CAST(i AS BIGINT) AS idx, CAST(COALESCE(i, (SELECT count(*) FROM d)) AS BIGINT) AS kept_idx
+FROM customer LEFT JOIN d ON v = CAST(c_custkey AS VARCHAR)""")
+def dictionary_encode(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by the dictionary of those with orders; the others are unseen."""
+    from ..operators import dictionary as D
+    keys = D.fit_dictionary(table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("v")), "v")
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("v"))
+    return D.encode(D.encode(c, keys, "v", "idx"), keys, "v", "kept_idx", unseen="keep").drop("v")
+
+
+@register("dictionary_decode", """
+SELECT event_id, event_type, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS BIGINT) AS idx, event_type AS decoded FROM events""")
+def dictionary_decode(spark: SparkSession, d: str) -> DataFrame:
+    """There and back; a value of ``event_type`` may be hot, its rows are then spread."""
+    from ..operators import dictionary as D
+    e = table(spark, d, "events").select("event_id", "event_type")
+    types = D.fit_dictionary(e, "event_type")
+    return D.decode(D.encode(e, types, "event_type", "idx"), types, "idx", "decoded")
+
+
 @register("distinct_labels", """
 SELECT lang, CAST(count(*) OVER () AS BIGINT) AS n_classes FROM (SELECT DISTINCT lang FROM documents)""")
 def distinct_labels(spark: SparkSession, d: str) -> DataFrame:
