@@ -221,6 +221,27 @@ def test_url_rules_at_large(spark):
         urls.judge_urls(pages, urls.rules_frame(spark, [("a", None, "block")]))
 
 
+def test_url_rules_with_long_paths(spark):
+    """Rules and URLs on both sides of the looked-up length, rules that agree in it, many shapes."""
+    rng = random.Random(5)
+    k = urls.KEY_PATH
+    base = "/" + "ab" * k
+    rules = [("x.org", base[:m] + tail, rng.choice(["allow", "block"])) for m in (k - 2, k - 1, k, k + 1, 2 * k - 1)
+             for tail in ("", "c", "cc", "d")] + [(f"h{i}." * (i % 9) + "y.org", "/" + "q" * i, "block") for i in range(1500)]
+    hosts = ["x.org", "a.x.org", "ax.org", "y.org", *rng.sample([h for h, _, _ in rules], 20)]
+    table = [(i, f"s://{rng.choice(hosts)}{rng.choice([base[:m] + t, '/' + 'q' * rng.randrange(1600)])}")
+             for i, (m, t) in enumerate((m, t) for m in (1, k - 1, k, k + 1, 2 * k - 1, 2 * k) for t in ("", "c", "cce", "d", "/z") for _ in range(4))]
+    table += [(1000 + i, f"http://a.x.org{p}more") for i, (h, p, _) in enumerate(rules) if h == "x.org"]
+    pages = spark.createDataFrame(table, "page_id long, url string").withColumn("rule", F.lit("other"))
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, urls.rules_frame(spark, rules)).collect()}
+    assert len(got) == len(table)
+    for i, url in table:
+        host, path = re.match(r"[^:]*://([^/]*)(.*)", url).groups()
+        fits = [(len(h + p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == ((max(fits)[3], max(fits)[2]) if fits else (None, "allow")), (host, len(path))
+    assert sum(v[0] is not None and len(v[0]) > len("x.org") + k for v in got.values()) >= 10  # rules longer than what is looked up
+
+
 @pytest.fixture(scope="module")
 def codec():
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -7,8 +7,10 @@ bounded by the shapes among the rules and not by the URL. Expressions meet the r
 an equi-join on the first four bytes of a SHA-256; a full digest then confirms each
 match, and the longest rule wins (ties: the longer host, then block before allow).
 
-The list of shapes comes to the driver; it is bounded by 128 labels and ``MAX_PATH``
-path lengths whatever the number of rules. Rules are matched once per distinct
+The list of shapes comes to the driver and goes into the plan as one literal; it is bounded
+by the label counts of hosts (127 in the DNS) and ``KEY_PATH`` path lengths whatever the
+number of rules. A rule with a longer path is looked up by its first ``KEY_PATH`` code points,
+and where these agree a digest of its whole path decides. Rules are matched once per distinct
 (host, path), so repeated URLs cost one aggregate; the join to the pages is on the URL
 and Spark splits it where one URL is frequent.
 
@@ -17,13 +19,14 @@ from there up to ``?``, ``#`` or the end; both empty if the URL is null or has n
 A rule fits its host and all subdomains if the path starts with the rule's path, code
 point by code point. No match gives a null rule and ``default``.
 
-Edge cases: rules with a null host, path or verdict, or a path over ``MAX_PATH`` code
-points, are refused; rules that repeat (host, path) count once, block before allow. Rows
+Edge cases: rules with a null host, path or verdict are refused; paths of rules and URLs
+may be of any length; rules that repeat (host, path) count once, block before allow. Rows
 that repeat a page, and null pages, are judged each. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common as X
 
-MAX_PATH = 2048
+KEY_PATH = 2048  # code points of a rule's path that are looked up; the rest is compared where these agree
 RULE_COLUMNS = "host string, path string, verdict string"
 # The rules of the registered query (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -65,26 +68,32 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
                default: str = "allow") -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict."""
     bad = rules.where(F.col("host").isNull() | F.col("path").isNull() | F.col("verdict").isNull()
-                      | (F.length("path") > MAX_PATH) | ~F.col("verdict").isin("allow", "block")).limit(1).collect()
+                      | ~F.col("verdict").isin("allow", "block")).limit(1).collect()
     if bad:
         raise ValueError(f"not a rule: {bad[0]}")
+    head = F.substring("path", 1, KEY_PATH)
     known = (rules.groupBy("host", "path").agg(F.max("verdict").alias("rule_verdict"))  # 'block' > 'allow'
-             .select(_digest(_expression(F.col("host"), F.col("path"))).alias("rule_digest"),
-                     F.concat("host", "path").alias("rule"), F.length("host").alias("host_len"), "rule_verdict")
+             .select(_digest(_expression(F.col("host"), head)).alias("rule_digest"),
+                     F.when(F.length("path") > KEY_PATH, _digest(F.col("path"))).alias("whole_digest"),
+                     F.length("path").alias("path_len"), F.concat("host", "path").alias("rule"),
+                     F.length("host").alias("host_len"), "rule_verdict")
              .withColumn("prefix", F.substring("rule_digest", 1, 8)))
-    shapes = sorted(tuple(r) for r in rules.select(F.size(F.split("host", r"\.")), F.length("path")).distinct().collect())
+    shapes = sorted(tuple(r) for r in rules.select(F.size(F.split("host", r"\.")), F.length(head)).distinct().collect())
+    shape = F.from_json(F.lit(json.dumps([{"k": k, "m": m} for k, m in shapes])), "array<struct<k:int,m:int>>")  # one literal
 
     seen = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     seen = seen.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = seen.select("host", "path").distinct().withColumn("labels", F.split("host", r"\."))
     n = F.size("labels")
-    made = [F.when((n >= k) & (F.length("path") >= m), _expression(
-        F.array_join(F.slice("labels", n - k + 1, k), "."), F.substring("path", 1, m))) for k, m in shapes]
-    expressions = F.array_compact(F.array(*made)) if made else F.array().cast("array<string>")
-    tried = (urls.select("host", "path", F.explode(expressions).alias("expression"))
-             .withColumn("digest", _digest(F.col("expression")))
-             .withColumn("prefix", F.substring("digest", 1, 8)).drop("expression"))
-    fits = tried.join(known, "prefix").where(F.col("digest") == F.col("rule_digest"))
+    fitting = F.filter(shape, lambda s: (s["k"] <= n) & (s["m"] <= F.length("path")))
+    expression = _expression(F.array_join(F.slice("labels", n - F.col("s.k") + 1, F.col("s.k")), "."),
+                             F.substring(F.col("path"), F.lit(1), F.col("s.m")))
+    tried = (urls.select("host", "path", "labels", F.explode(fitting).alias("s"))
+             .select("host", "path", _digest(expression).alias("digest"))
+             .withColumn("prefix", F.substring("digest", 1, 8)))
+    whole = _digest(F.substring(F.col("path"), F.lit(1), F.col("path_len")))
+    fits = tried.join(known, "prefix").where((F.col("digest") == F.col("rule_digest"))
+                                             & F.when(F.col("whole_digest").isNull(), True).otherwise(whole == F.col("whole_digest")))
     order = F.struct(F.length("rule").alias("n"), "host_len", "rule_verdict", "rule")
     best = fits.groupBy("host", "path").agg(F.max(order).alias("best"))
     return (seen.join(best, ["host", "path"], "left")
