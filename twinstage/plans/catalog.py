@@ -240,6 +240,31 @@ def feature_groups(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumns({c: r6(F.col(c).cast("double")) for c in dbl + ["bytes_received"]})
 
 
+@register("trim_names", """
+SELECT c_custkey, c_name, c_mktsegment FROM customer""")
+def trim_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names padded as in the headers of published flow files."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    padded = c.toDF(*[f" {name}  " for name in c.columns])
+    return P.trim_column_names(padded).select("c_custkey", "c_name", "c_mktsegment")
+
+
+_ROLES = [("o_custkey", "numeric"), ("o_totalprice", "numeric"), ("o_orderstatus", "categorical"),
+          ("o_orderdate", "categorical"), ("o_orderpriority", "categorical")]
+
+
+@register("column_roles", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{role}' AS role, count({c}) AS n_present, count(DISTINCT {c}) AS n_values FROM orders"
+    for c, role in _ROLES) + ")")
+def column_roles(spark: SparkSession, d: str) -> DataFrame:
+    """P3 by type, the key left out: each column's role, rows with a value, and distinct values."""
+    o = table(spark, d, "orders")
+    nums, cats = P.column_roles(o, exclude=["o_orderkey"])
+    long = o.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit("numeric" if c in nums else "categorical").alias("role"),
+                                                 F.col(c).cast("string").alias("v")) for c in [*nums, *cats]])).alias("x"))
+    return long.groupBy("x.column_name", "x.role").agg(F.count("x.v").alias("n_present"), F.count_distinct("x.v").alias("n_values"))
+
+
 @register("drop_raw_columns", f"""
 WITH {SIEM} SELECT event_id, src_port, dst_port, round(bytes_sent, 6) AS bytes_sent, bytes_received FROM siem""")
 def drop_raw_columns(spark: SparkSession, d: str) -> DataFrame:
