@@ -197,3 +197,41 @@ def test_time_split_on_text_timestamps(spark):
     assert s.columns == ["id", "t", "is_train"]
     assert s.agg(F.sum("is_train")).first()[0] == 210
     assert s.where("t = 'bad' AND is_train = 1").count() == 0  # unparseable sorts last
+
+
+def test_middle_values_with_ties_and_empty_columns(spark):
+    """One value on half of the rows, spread values, no values: the two middle ranks, also with a coarse sketch."""
+    n = 20_001
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit(7.0)).otherwise(F.col("id") - 10_000.5).alias("ties"),
+                               F.pmod(F.xxhash64("id"), F.lit(10**15)).alias("wide"), F.lit(None).cast("double").alias("none"),
+                               F.when(F.col("id") < 4, F.col("id")).alias("few"))
+    rows = df.toPandas()
+    for accuracy in (50, 10_000):
+        got = RK.middle_values(df, df.columns, accuracy)
+        assert got["none"] is None
+        for c in ("ties", "wide", "few"):
+            v = sorted(rows[c].dropna().astype(float))
+            assert got[c] == (v[(len(v) - 1) // 2], v[len(v) // 2]), (accuracy, c)
+
+
+def test_time_split_reads_ranges_of_the_raw_column(spark):
+    """Half of the rows share a time; any cut, both timestamp types, in a zone with clock changes."""
+    n = 4000
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        for kind in ("timestamp", "timestamp_ntz"):
+            base = F.lit("2024-03-10 01:30:00").cast(kind)
+            step = F.when(F.col("id") % 2 == 0, 1000).otherwise(F.col("id")).cast("long")
+            df = spark.range(n).select("id", F.when(F.col("id") % 10 < 9, base + F.make_dt_interval(mins=step.cast("int"))).alias("ts"))
+            order = {r.id: r.k for r in df.selectExpr("id", "row_number() over (order by ts nulls last, id) as k").collect()}
+            for frac in (0.001, 0.3, 0.7, 0.9, 0.95):
+                train = {r.id for r in R.time_split(df, "ts", "id", frac).where("is_train = 1").select("id").collect()}
+                assert train == {i for i, k in order.items() if k <= int(n * frac)}, (kind, frac)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_wrong_ends_do_not_matter(spark):
+    df = spark.range(1000).select("id", F.timestamp_seconds("id").alias("ts"))
+    for near in ((0, 5_000_000), (990_000_000, 1 << 62), (None, None)):
+        assert RK.kth_in_order(df, "ts", "id", 500, 1000, near) == (500_000_000, 500)

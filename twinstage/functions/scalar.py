@@ -6,6 +6,8 @@ Every function takes and returns ``Column``s, so callers compose them in one
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,6 +104,16 @@ def epoch_micros(ts, dtype: str) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def time_literal(us: int | None, dtype: str) -> Column | None:
+    """The timestamp of type ``dtype`` at ``us`` epoch microseconds, a constant that filters push to the file reader;
+    None for None and for times outside the years 1 to 9999."""
+    if us is None or not -62_135_596_800_000_000 <= us < 253_402_300_800_000_000:
+        return None
+    if dtype == "timestamp_ntz":
+        return F.lit(str(datetime(1970, 1, 1) + timedelta(microseconds=us))).cast("timestamp_ntz")
+    return F.timestamp_micros(F.lit(us))
+
+
 def hour_of(ts, bad: str = "null") -> Column:
     h = F.hour(col_of(ts))
     return F.coalesce(h, F.lit(0)) if bad == "zero" else h

@@ -9,6 +9,9 @@ puts the biggest class in one task. Two operators replace it:
   no window partition outgrows ``rows_per_bucket`` and small classes are not split.
   A running sum over the table of bucket sizes gives each bucket's offset.
 
+* ``middle_values`` / ``kth_in_order`` — exact order statistics of a table in two scans: a quantile sketch
+  gives ends around the wanted rank, then what lies between them is counted or written, and searched there.
+
 * ``kth_smallest`` / ``kth_smallest_many`` — exact order statistics by narrowing an
   open interval around the wanted rank: pivots from the data, one count per interval
   (map-side aggregate), until a pivot *is* the answer. The same rounds at every size,
@@ -20,8 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import epoch_micros, time_literal
+from .small import checkpointed
+
 HASH_BITS = 40                 # leading bits of the md5 used as bucket number
 ROWS_PER_BUCKET = 1 << 20      # target rows per (class, bucket) window partition
+ACCURACY = 10_000              # of quantile sketches: a rank is off by at most rows / ACCURACY
 
 
 def hash_bucket(h: Column, bits: Column | int) -> Column:
@@ -112,25 +119,84 @@ def kth_smallest(df: DataFrame, key: str, k: int, where: Column | None = None,
     raise RuntimeError("selection did not converge")
 
 
-def kth_in_order(df: DataFrame, ts: str, id_col: str, k: int, non_null: int | None = None):
-    """Key (ts, id) of the k-th row (0-based) in the order ts ascending nulls last, then id.
-    ``non_null``: the count of non-null ``ts`` if the caller already has it."""
-    nn = non_null if non_null is not None else df.agg(F.count(F.col(ts))).first()[0]
-    if k < nn:
-        # timestamps: select on epoch microseconds, which come back zone-free
-        from ..functions.scalar import epoch_micros
-        micros = df.select(epoch_micros(ts, dict(df.dtypes)[ts]).alias("_us"), F.col(id_col))
-        t_us, j = kth_smallest(micros, "_us", k)
-        id_k, _ = kth_smallest(micros, id_col, j, where=F.col("_us") == F.lit(t_us))
-        return t_us, id_k
-    id_k, _ = kth_smallest(df, id_col, k - nn, where=F.col(ts).isNull())
-    return None, id_k
+def kth_in_order(df: DataFrame, ts: str, id_col: str, k: int, non_null: int, near: tuple = (None, None)):
+    """Key (ts, id) of the k-th row (0-based) in the order ts ascending nulls last, then id; ``ts`` a timestamp.
+
+    ``near``: epoch microseconds that a sketch holds the answer's time to lie between (None: open). Rows
+    between them are written once, (time, id) only, and searched there; rows on the shorter side of them are
+    counted. The two are disjoint ranges of the raw column with literal ends, so both filters are
+    pushed into the file reader. Should the ends not hold the answer, the search takes all rows.
+    """
+    c, dtype = F.col(ts), dict(df.dtypes)[ts]
+    if k >= non_null:
+        ids = checkpointed(df.where(c.isNull()).select(id_col))
+        return None, kth_smallest(ids, id_col, k - non_null)[0]
+    for lo, hi in (near, (None, None)):
+        low, high = time_literal(lo, dtype), time_literal(hi, dtype)
+        rows = df.where(c.isNotNull())
+        held = rows if low is None else rows.where(c >= low)
+        held = held if high is None else held.where(c <= high)
+        held = checkpointed(held.select(epoch_micros(ts, dtype).alias("_us"), F.col(id_col)))
+        n = held.count()
+        if low is not None and (high is None or 2 * k < non_null):
+            below = rows.where(c < low).count()
+        else:
+            below = non_null - n - (0 if high is None else rows.where(c > high).count())
+        if below <= k < below + n:
+            us, j = kth_smallest(held, "_us", k - below)
+            return us, kth_smallest(held, id_col, j, where=F.col("_us") == F.lit(us))[0]
+    raise RuntimeError("the table changed between two scans")
+
+
+def _finite(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+
+
+def middle_values(df: DataFrame, cols: list[str], accuracy: int = ACCURACY) -> dict[str, tuple[float, float] | None]:
+    """Column → the values at ranks ⌊(n-1)/2⌋ and ⌊n/2⌋ (0-based) of its n finite values; None without any.
+
+    Two scans of ``df`` for all columns together, at every size. The first keeps a quantile sketch per column
+    (rank error n / accuracy) and asks it for ends on either side of the middle. The second counts values
+    between the ends by value and those below as one (map-side), into a table of some 6 n / accuracy values a
+    column at most, however often one value comes; the ranks are found there. A column whose ends do not
+    hold both ranks is counted again without ends.
+    """
+    if not cols:
+        return {}
+    base = df.select(*[_finite(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    probs = [0.5 - 2.0 / accuracy, 0.5 + 2.0 / accuracy]
+    got = base.agg(*[x for i in range(len(cols)) for x in (
+        F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", probs, accuracy).alias(f"q{i}"))]).first()
+    ends = {i: (got[f"q{i}"][0], got[f"q{i}"][1]) for i in range(len(cols)) if got[f"n{i}"]}
+    out: dict[str, tuple[float, float] | None] = dict.fromkeys(cols)
+    inf = float("inf")
+    while ends:
+        entries = []
+        for i, (lo, hi) in ends.items():
+            x = F.col(f"v{i}")
+            entries.append(F.when(x <= F.lit(hi), F.struct(F.lit(i).alias("c"), F.when(x >= F.lit(lo), x).alias("v"))))
+        counted = checkpointed(base.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+                               .groupBy("e.c", "e.v").agg(F.count(F.lit(1)).alias("n")))
+        c, v, n = F.col("c"), F.col("v"), F.col("n")
+        sums = {r["c"]: r for r in counted.groupBy("c").agg(
+            F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("below"),
+            F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("held")).collect()}  # a row per column
+        ranks = {i: ((got[f"n{i}"] - 1) // 2, got[f"n{i}"] // 2) for i in ends}
+        found = [i for i, (a, b) in ranks.items() if i in sums and sums[i]["below"] <= a
+                 and b < sums[i]["below"] + sums[i]["held"]]
+        wide = counted.select(*[F.when(c == i, v).alias(f"v{i}") for i in found], "n")
+        values = kth_smallest_many(wide, [(f"v{i}", k - sums[i]["below"]) for i in found for k in ranks[i]], weight="n")
+        for j, i in enumerate(found):
+            out[cols[i]] = (values[2 * j], values[2 * j + 1])
+        ends = {i: (-inf, inf) for i in ends if i not in found}
+    return out
 
 
 def kth_smallest_many(df: DataFrame, targets: list[tuple[str, int]], max_rounds: int = 100,
-                      accuracy: int = 10_000) -> list[float]:
+                      accuracy: int = ACCURACY, weight: str | None = None) -> list[float]:
     """Exact k-th smallest (0-based, as double) for many (column, k) targets at once; NaN and
-    infinities count as missing.
+    infinities count as missing. A row counts ``weight`` times (a column of whole numbers; None: once).
 
     Every round reads the data twice for all open columns together: approximate quantiles
     around the wanted ranks give pivots (values of the column), then one aggregate counts
@@ -138,12 +204,10 @@ def kth_smallest_many(df: DataFrame, targets: list[tuple[str, int]], max_rounds:
     """
     cols = sorted({c for c, _ in targets})
 
-    def finite(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
-
-    base = df.select(*[finite(c).alias(f"v{i}") for i, c in enumerate(cols)])
-    counts = base.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(cols))]).first() if cols else {}
+    times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    base = df.select(*[_finite(c).alias(f"v{i}") for i, c in enumerate(cols)], times.alias("w"))
+    counts = base.agg(*[F.coalesce(F.sum(F.when(F.col(f"v{i}").isNotNull(), F.col("w"))), F.lit(0)).alias(f"v{i}")
+                        for i in range(len(cols))]).first() if cols else {}
     st = []
     for c, k in targets:
         v = f"v{cols.index(c)}"
@@ -168,15 +232,17 @@ def kth_smallest_many(df: DataFrame, targets: list[tuple[str, int]], max_rounds:
             inside.append(F.when(cond, x))
         probs = []
         for (_, _, _, n), ts in ranges.items():
-            at = {(t["k"] + 0.5) / n + s * w for t in ts for s in (-1, 0, 1) for w in (2.0 / accuracy, 0.01, 0.1)}
+            # the sketch does not know weights: with these, ends at even steps of the distinct rows
+            at = ({(t["k"] + 0.5) / n + s * w for t in ts for s in (-1, 0, 1) for w in (2.0 / accuracy, 0.01, 0.1)}
+                  if weight is None else {i / 64 for i in range(65)})
             probs.append(sorted(min(max(p, 0.0), 1.0) for p in at))
         got = base.agg(*[F.percentile_approx(x, p, accuracy).alias(f"q{g}")
                          for g, (x, p) in enumerate(zip(inside, probs))]).first()
         pivots = [sorted(set(q)) for q in got]
         entries = [F.when(x.isNotNull(), F.struct(F.lit(g).alias("g"), _interval(
             x, F.array(*[F.lit(p) for p in ps])).alias("b"))) for g, (x, ps) in enumerate(zip(inside, pivots))]
-        hist = (base.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
-                .groupBy("e.g", "e.b").agg(F.count(F.lit(1)).alias("n")).collect())  # ≤ intervals of the open ranges
+        hist = (base.select(F.explode(F.array(*entries)).alias("e"), "w").where(F.col("e").isNotNull())
+                .groupBy("e.g", "e.b").agg(F.sum("w").alias("n")).collect())  # ≤ intervals of the open ranges
         for g, ts in enumerate(ranges.values()):
             rows = sorted((r["b"], r["n"]) for r in hist if r["g"] == g)
             for t in ts:

@@ -13,7 +13,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import hashed_rank, kth_in_order
+from ..functions.scalar import epoch_micros, parse_timestamp
+from .rank import ACCURACY, hashed_rank, kth_in_order
 
 
 def test_quotas(df: DataFrame, y: str, test_size: float) -> DataFrame:
@@ -65,25 +66,27 @@ def time_split(df: DataFrame, ts: str, id_col: str, train_frac: float = 0.7,
                out: str = "is_train") -> DataFrame:
     """Sort by (ts nulls last, id), the first ⌊n·frac⌋ rows are train.
 
-    The cut key is found by exact distributed selection; the split itself is
+    The cut key is found by exact distributed selection (a sketch over one scan, then
+    ranges of ``ts`` whose ends are pushed to the file reader); the split itself is
     then a per-row comparison (no global sort, no shuffle). A text ``ts`` is
-    parsed first (unparseable → null → last, like pandas' NaT).
+    parsed first (unparseable → null → last, like pandas' NaT) and prunes nothing.
     """
     if dict(df.dtypes)[ts] not in ("timestamp", "timestamp_ntz"):
-        from ..functions.scalar import parse_timestamp
         parsed = f"__{ts}_parsed"
         out_df = time_split(df.withColumn(parsed, parse_timestamp(ts)), parsed, id_col, train_frac, out)
         return out_df.drop(parsed)
-    stat = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(ts)).alias("nn")).first()  # one pass
+    us = epoch_micros(ts, dict(df.dtypes)[ts])
+    last = F.lit(1 << 62)  # stands for null, the last
+    probs = [min(1.0, max(0.0, train_frac + side * 2.0 / ACCURACY)) for side in (-1, 1)]
+    near = F.percentile_approx(F.coalesce(us, last), probs, ACCURACY)
+    stat = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(ts)).alias("nn"), near.alias("q")).first()
     n = stat["n"]
     cut = int(n * train_frac)
     if cut <= 0:
         return df.withColumn(out, F.lit(0))
     if cut >= n:
         return df.withColumn(out, F.lit(1))
-    t_us, id_k = kth_in_order(df, ts, id_col, cut - 1, non_null=stat["nn"])
-    from ..functions.scalar import epoch_micros
-    us = epoch_micros(ts, dict(df.dtypes)[ts])
+    t_us, id_k = kth_in_order(df, ts, id_col, cut - 1, stat["nn"], tuple(stat["q"]))
     i = F.col(id_col)
     if t_us is None:
         train = us.isNotNull() | (i <= F.lit(id_k))

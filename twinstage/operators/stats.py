@@ -60,20 +60,12 @@ def positive_weight(df: DataFrame, label: str) -> DataFrame:
 def medians(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Every column's interpolated median (as numpy / sklearn) — one row.
 
-    Exact selection of the middle ranks of all columns together: a few scans, memory
-    bounded by the interval counts at every size. Null, NaN and ±inf are missing; a
+    Exact selection of the middle ranks of all columns together in two scans. Null, NaN and ±inf are missing; a
     column without values has a null median.
     """
-    from .rank import kth_smallest_many
+    from .rank import middle_values
     cols = list(cols)
-
-    def usable(c):
-        x = F.col(c).cast("double")
-        return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
-    counts = df.agg(*[F.count(usable(c)).alias(c) for c in cols]).first() if cols else {}
-    live = [c for c in cols if counts[c]]
-    got = kth_smallest_many(df, [(c, k) for c in live for k in ((counts[c] - 1) // 2, counts[c] // 2)]) if live else []
-    med = {c: (got[2 * i] + got[2 * i + 1]) / 2.0 for i, c in enumerate(live)}
+    med = {c: (pair[0] + pair[1]) / 2.0 for c, pair in middle_values(df, cols).items() if pair}
     return df.sparkSession.range(1).select(*[F.lit(med.get(c)).cast("double").alias(c) for c in cols])
 
 
