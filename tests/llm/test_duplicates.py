@@ -51,6 +51,27 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(near_duplicates(rows, 2))
 
 
+def test_rows_without_an_id_and_of_one_id(spark):
+    """Near copies on rows of a null id and of one id: rows meet the set of their own text only, and a group's
+    bytes; results are those of brute force."""
+    rnd = random.Random(9)
+    base = [f"t{i}" for i in range(80)]
+
+    def near(k):
+        w = list(base)
+        for _ in range(k % 4):
+            w[rnd.randrange(80)] = f"n{rnd.randrange(30)}"
+        return " ".join(w)
+
+    rows = [(None, near(k)) for k in range(150)] + [(7, near(k)) for k in range(150)] + [(k, near(k)) for k in range(20, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = minhash.near_duplicates(d, shingle=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(near_duplicates(rows, 2), key=str)
+    cut = suffix.remove_repeats(d, group_bytes=4000).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in cut), key=str) \
+        == sorted(((*r[:4], sha(r[4])) for r in remove_repeats(rows)), key=str)
+
+
 def test_near_duplicates_keep_columns_of_any_name(spark):
     rows = [(1, "a b c d e f", "x", "sig"), (2, "A b c d e f", None, "y"), (3, None, "x", "z")]
     d = spark.createDataFrame(rows, "id long, text string, cls string, rep string")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 import re
 import time
 
@@ -79,6 +80,20 @@ def test_quality_reference_holds_against_skew(spark):
             assert all(bare[k] for k, *_ in clean + null) and not bare[1000]
 
 
+def test_medians_are_exact(spark, monkeypatch):
+    """Ties on most cells, one language of most cells, columns without values; also with a coarse sketch."""
+    rnd = random.Random(8)
+    rows = [("a" if k % 10 else f"l{k % 7}", 0.0 if rnd.random() < 0.7 else rnd.random(), rnd.random(), None if k % 10 else 1.5) for k in range(3001)]
+    d = spark.createDataFrame(rows, "lang string, x double, y double, z double").repartition(3)
+    for accuracy in (10_000, 40):
+        monkeypatch.setattr(quality, "_ACCURACY", accuracy)
+        got = {r.lang: r for r in quality._medians(d, ["x", "y", "z"]).collect()}
+        for lang in {r[0] for r in rows}:
+            for i, c in enumerate("xyz", 1):
+                v = [r[i] for r in rows if r[0] == lang and r[i] is not None]
+                assert got[lang][c] == (statistics.median(v) if v else None), (lang, c, accuracy)
+
+
 def test_js_distance(spark):
     rnd = random.Random(1)
     rows = [([rnd.randrange(9) for _ in range(5)], [rnd.randrange(1, 9) for _ in range(5)]) for _ in range(30)] + [([0] * 5, [1] * 5)]

@@ -115,7 +115,7 @@ def _collisions(a: str, b: str):
 
 def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """(cls, hashes): the full shingle set of each wanted class, made anew from the text of one member."""
-    wanted = wanted.distinct().join(classes.select("cls", "rep"), "cls")
+    wanted = wanted.distinct().join(classes.select("cls", "rep", "mark"), "cls")
 
     def sets(batches):
         for b in batches:
@@ -126,7 +126,9 @@ def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int)
                                              names=["cls", "hashes"])
             yield out.filter(keep)
 
-    full = (docs.join(wanted, docs["id"].eqNullSafe(wanted["rep"])).select("cls", "text")
+    # by id and text: rows of a null or repeated id meet the class of their own text only
+    rows = docs.select("id", "text", F.xxhash64("text").alias("own"))
+    full = (rows.join(wanted, rows["id"].eqNullSafe(wanted["rep"]) & (rows["own"] == wanted["mark"])).select("cls", "text")
             .mapInArrow(sets, "cls binary, hashes array<long>").groupBy("cls").agg(F.first("hashes").alias("hashes")))
     return X.stored(full, "sets")
 
@@ -143,11 +145,14 @@ def _semi(rows: DataFrame, others: DataFrame, cond) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, lanes: int = LANES,
                            threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """From docs (id, text): (members: id, n_shingles, cls; classes: cls, rep, root, component_id)."""
+    """From docs (id, text): (members: id, n_shingles, cls; classes: cls, rep, root, component_id). ``mark``: a hash
+    of the text of the class's row of the smallest id."""
     X.ready(docs.sparkSession)
-    members = X.stored(fingerprints(docs.select("id", "text"), "text", shingle, lanes), "signatures")
-    classes = X.stored(members.where(F.col("cls").isNotNull()).groupBy("cls").agg(
-        F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    members = X.stored(fingerprints(docs.select("id", "text", F.xxhash64("text").alias("mark")), "text", shingle, lanes), "signatures")
+    head = F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("m")  # a null id only where there is no other
+    classes = members.where(F.col("cls").isNotNull()).groupBy("cls").agg(
+        head, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = X.stored(classes.select("cls", F.col("m.id").alias("rep"), F.col("m.mark").alias("mark"), "n", "sig"), "classes")
     posted = X.stored(_postings(classes, lanes, threshold), "postings")
 
     pivot = posted.groupBy("key").agg(F.min(F.struct("rep", "cls", "n", "sig")).alias("p"))

@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as X
@@ -49,6 +49,7 @@ WINDOW = 8
 CELL = 8           # documents that an average of the reference has at least
 _CELLS = 1021      # cells of documents without a source, by language
 _UNIT = 1 << 30    # shares are added in this unit
+_ACCURACY = 10_000  # of the sketch that narrows the search for a median
 # Character classes, each counted on what the ones before it left.
 CLASSES = [("lower", "[a-z]+"), ("space", SPACE), ("other_script", r"[^\x00-\x7F]+"), ("upper", "[A-Z]+"),
            ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+")]
@@ -154,12 +155,31 @@ def _references(rows: DataFrame) -> DataFrame:
     d = d.groupBy("lang", F.when(~small, F.col("source")).alias("source"), F.when(~small, F.col("sub")).alias("sub"),
                   cell.alias("cell")).agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in sizes], *[F.sum(x).alias(x) for x in names])
     d = d.select("lang", *[(F.col(f"{c}_{k}") / F.col(f"n_{c}")).alias(f"{c}_{k}") for c, m in sizes.items() for k in range(m)])
-    # the median of an even number is the mean of the lower and the upper one
-    d = d.groupBy("lang").agg(*[((F.percentile_approx(x, 0.5) - F.percentile_approx(-F.col(x), 0.5)) / 2).alias(x) for x in names])
+    d = _medians(X.stored(d, "quality-cells"), names)
     return d.select(F.col("lang").alias("ref_lang"), *[
         F.when(F.col(f"{c}_0").isNotNull(), F.array(*[f"{c}_{k}" for k in range(m)])).alias(f"ref_{c}") for c, m in sizes.items()])
 
 
+def _medians(cells: DataFrame, names: list[str]) -> DataFrame:
+    """lang and the exact median of each named column (of an even number: the mean of the lower and the upper one).
+
+    A sketch, off by at most a rank in ``_ACCURACY``, gives ends on either side of the middle; values between
+    them are counted by value, those below as one (null), and the middle ranks found in the running count. A window
+    holds the values between the ends only.
+    """
+    rows = cells.select("lang", F.posexplode(F.array(*names)).alias("k", "v")).where(F.col("v").isNotNull())
+    probs = [0.5 - 2.0 / _ACCURACY, 0.5 + 2.0 / _ACCURACY]
+    ends = X.stored(rows.groupBy("lang", "k").agg(F.count("v").alias("n"), F.percentile_approx("v", probs, _ACCURACY).alias("q")),
+                    "quality-ends")
+    held = F.when(F.col("v") >= F.col("q")[0], F.col("v")).alias("v")
+    near = rows.join(ends, ["lang", "k"]).where(F.col("v") <= F.col("q")[1]).groupBy("lang", "k", "n", held).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("lang", "k").orderBy(F.col("v").asc_nulls_first()))
+    near = near.withColumn("upto", upto).where(F.col("v").isNotNull())
+    low, high = (F.min(F.when(F.col("upto") > F.floor(at / 2), F.col("v"))) for at in (F.col("n") - 1, F.col("n")))
+    middle = near.groupBy("lang", "k").agg(((low + high) / 2).alias("m"))
+    return middle.groupBy("lang").agg(*[F.max(F.when(F.col("k") == k, F.col("m"))).alias(x) for k, x in enumerate(names)])
+
+
 def limit(distance: float, n: Column, k: int) -> Column:
     """Largest distance that passes for a histogram of ``k`` classes and ``n`` counts."""
     noise = ((k - 1) + 3 * math.sqrt(2 * (k - 1))) / (8 * math.log(2))

@@ -28,7 +28,8 @@ send each anchor, record and string once however often they hold it. So the insi
 passage adds one record a group, and so does each string of a hot anchor; anchors with
 differing neighbours add one record a document until they are hot. What meets in one task
 for a single key is at most about ``hot`` records, or for one anchor (9 bytes) or one string
-(24 bytes) an entry a group. No task sees more than one group of documents or one bucket
+(24 bytes) an entry a group. Groups are dealt by id and text, so rows of a null or repeated id
+meet only where their texts are equal too. No task sees more than one group of documents or one bucket
 range; texts longer than a block are cut into
 overlapping blocks.
 
@@ -331,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = np.int64(1) << np.arange(span, dtype=np.int64)
     others = [F.col(c) for c in docs.columns if c != text_col]
     rows = docs.select(
-        F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(groups)).alias("grp"), F.col(id_col).cast("long").alias("id"),
+        F.pmod(F.xxhash64(id_col, text_col, F.lit(3)), F.lit(groups)).alias("grp"), F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(text_col).isNull().alias("none"), F.struct(*others).alias("row")] if with_text else []))
     binary = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
