@@ -1,7 +1,7 @@
 """Scalable exact ranking and selection.
 
 ``row_number() over (order by …)`` runs in one task, and ``partition by class``
-puts the biggest class in one task. Two operators replace it:
+puts the biggest class in one task. These operators replace it:
 
 * ``hashed_rank`` — exact rank by (lead, hash of the id) within a partition. Rows
   are bucketed by the leading bits of the hash, as many bits as *their own class*
