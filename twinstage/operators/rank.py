@@ -9,7 +9,7 @@ puts the biggest class in one task. These operators replace it:
   no window partition outgrows ``rows_per_bucket`` and small classes are not split.
   A running sum over the table of bucket sizes gives each bucket's offset.
 
-* ``middle_values`` / ``kth_in_order`` — exact order statistics of a table in two scans: a quantile sketch
+* ``middle_values`` / ``kth_in_order`` — exact order statistics of a table: a quantile sketch
   gives ends around the wanted rank, then what lies between them is counted or written, and searched there.
 
 * ``kth_smallest`` / ``kth_smallest_many`` — exact order statistics by narrowing an
@@ -125,7 +125,7 @@ def kth_in_order(df: DataFrame, ts: str, id_col: str, k: int, non_null: int, nea
     ``near``: epoch microseconds that a sketch holds the answer's time to lie between (None: open). Rows
     between them are written once, (time, id) only, and searched there; rows on the shorter side of them are
     counted. The two are disjoint ranges of the raw column with literal ends, so both filters are
-    pushed into the file reader. Should the ends not hold the answer, the search takes all rows.
+    pushed into the file reader (which skips no row groups for TIMESTAMP_NTZ and INT96). Should the ends not hold the answer, the search takes all rows.
     """
     c, dtype = F.col(ts), dict(df.dtypes)[ts]
     if k >= non_null:
