@@ -36,6 +36,7 @@ from . import common as X
 
 LEAF_ROWS = 1_000
 FAN_IN = 64
+BROADCAST = 10_000  # keys of the mix that are sent to all tasks, by count; more are met by a shuffle
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: float = 3.0) -> DataFrame:
@@ -164,15 +165,24 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (0 to ``max_copies`` times)."""
-    mix = mix_sources(docs, id_col, text_col, source_col, **options).select(
+    """The rows of ``docs``, each as often as the mix takes it (0 to ``max_copies`` times).
+
+    The mix is written once. A row that is alone with its id and source finds its copies by these: whole rows are
+    neither sorted nor counted again. Only rows that share both are counted and numbered as in the mix.
+    """
+    mix = X.stored(mix_sources(docs, id_col, text_col, source_col, **options).select(
         F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), F.col("size").alias("m_size"),
-        F.col("nth").alias("m_nth"), "copies").where("copies > 0")
-    size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(X.WORD))).cast("long")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"),
-                       docs[source_col].alias("source"), size.alias("size"))
-    same = Window.partitionBy("id", "source", "size").orderBy("id")
-    rows = rows.withColumn("nth", F.row_number().over(same).cast("long"))
-    both = rows.join(mix, F.col("id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source"))
-                     & (F.col("size") == F.col("m_size")) & (F.col("nth") == F.col("m_nth")))
+        F.col("nth").alias("m_nth"), "copies"), "mix")
+    keys = X.stored(mix.groupBy("m_id", "m_source").agg(F.count(F.lit(1)).alias("m_rows"), F.min("copies").alias("copies")), "mix-keys")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[source_col].alias("source"))
+    own = F.col("id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source"))
+    alone = keys.where("m_rows = 1 and copies > 0")
+    both = rows.join(alone.hint("shuffle_hash") if alone.count() > BROADCAST else F.broadcast(alone), own).select("row", "copies")
+    shared = keys.where("m_rows > 1").select("m_id", "m_source")
+    if not shared.isEmpty():
+        size = F.when(F.col(f"row.`{text_col}`").isNull(), 0).otherwise(F.regexp_count(F.col(f"row.`{text_col}`"), F.lit(X.WORD))).cast("long")
+        same = Window.partitionBy("id", "source", "size").orderBy("id")
+        again = rows.join(shared, own, "left_semi").withColumn("size", size).withColumn("nth", F.row_number().over(same).cast("long"))
+        both = both.union(again.join(mix.where("copies > 0"), own & (F.col("size") == F.col("m_size")) & (F.col("nth") == F.col("m_nth")))
+                          .select("row", "copies"))
     return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
